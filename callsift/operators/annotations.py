@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callsift.plans.ordering import with_group_position
+from callsift.plans.scratch import materialize
 from callsift.plans.skew import join_many_to_one
 
 # Fixed value.
@@ -44,7 +45,7 @@ def remove_annotations(annotations: DataFrame, removals: DataFrame) -> DataFrame
     """
     placed = with_group_position(annotations, ["record_id"], ["idx"], "_place")
     gone = removals.select("record_id", F.col("idx").cast("bigint").alias("_place")).distinct()
-    left = placed.join(gone, ["record_id", "_place"], "left_anti").drop("_place")
+    left = materialize(placed.join(gone, ["record_id", "_place"], "left_anti").drop("_place"))
     return with_group_position(left, ["record_id"], ["idx"], "_idx").drop("idx").withColumnRenamed(
         "_idx", "idx"
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from callsift.functions.headers import sorted_entries
 from callsift.plans.ordering import input_order, last_per_key, with_row_index
+from callsift.plans.rows import explode_structs
 
 # The compared fields; ids, times and durations always differ.
 COMPARED = (
@@ -107,9 +108,8 @@ def compare_sets(
 
 def comparison_diffs(compared: DataFrame) -> DataFrame:
     """Long form of the differences of matched pairs."""
-    return compared.select(
-        "match_method", "match_path", "baseline_id", "current_id", F.explode("diffs").alias("d")
-    ).select("match_method", "match_path", "baseline_id", "current_id", "d.*")
+    keys = ["match_method", "match_path", "baseline_id", "current_id"]
+    return explode_structs(compared, keys, "diffs")
 
 
 def comparison_summary(compared: DataFrame) -> DataFrame:
@@ -159,15 +159,9 @@ def _diff_two(df: DataFrame, is_a: Column, is_b: Column, order: Sequence[str]) -
         F.min_by(_record(), F.when(is_a, position)).alias("old"),
         F.min_by(_record(), F.when(is_b, position)).alias("new"),
     )
-    return (
-        pair.where(F.col("old").isNotNull() & F.col("new").isNotNull())
-        .select(
-            F.col("old.id").alias("id_a"),
-            F.col("new.id").alias("id_b"),
-            F.explode(_diffs("old", "new")).alias("d"),
-        )
-        .select("id_a", "id_b", "d.*")
-    )
+    both = pair.where(F.col("old").isNotNull() & F.col("new").isNotNull())
+    ids = [F.col("old.id").alias("id_a"), F.col("new.id").alias("id_b")]
+    return explode_structs(both, ids, _diffs("old", "new"))
 
 
 def diff_by_id(

@@ -11,6 +11,7 @@ from callsift.functions.headers import header_any_case
 from callsift.functions.text import fixed_decimals, float_text, has_text, is_blank
 from callsift.functions.validity import json_valid
 from callsift.plans.ordering import input_order
+from callsift.plans.rows import explode_structs
 
 # Thresholds and points of the anomaly score.
 SERVER_ERROR, CLIENT_ERROR = 500, 400
@@ -114,6 +115,4 @@ def inspect(df: DataFrame, slow_threshold_ms: float = 1000.0) -> DataFrame:
 
 def inspection_warnings(inspected: DataFrame) -> DataFrame:
     """Long form: one row (record_id, position, field, message) per warning."""
-    return inspected.select(
-        F.col("id").alias("record_id"), F.posexplode("warnings").alias("position", "w")
-    ).select("record_id", "position", "w.field", "w.message")
+    return explode_structs(inspected, [F.col("id").alias("record_id")], "warnings", "position")

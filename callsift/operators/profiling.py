@@ -47,10 +47,12 @@ def latency_profile(
     timed = df.where(F.col("duration_ms").isNotNull()).select(*by, F.col("duration_ms").alias("_v"))
     if approximate:
         return _approximate(timed, by, percentiles)
-    values = timed.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
-    # Monotone in _v, so bins keep the order of the values.
-    bin_of = F.floor(F.signum("_v") * F.log1p(F.abs("_v")) * _BINS_PER_E).alias("_bin")
-    bins = values.groupBy(*by, bin_of).agg(
+    # Monotone in _v, so bins keep the order of the values.  Both uses of the counts
+    # below need a bin, and the common filter lets them share one shuffle.
+    bin_of = F.floor(F.signum("_v") * F.log1p(F.abs("_v")) * _BINS_PER_E)
+    binned = timed.withColumn("_bin", bin_of).where(F.col("_bin").isNotNull())
+    values = binned.groupBy(*by, "_bin", "_v").agg(F.count("*").alias("_n"))
+    bins = values.groupBy(*by, "_bin").agg(
         F.sum("_n").alias("_n"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
@@ -79,12 +81,11 @@ def latency_profile(
         .drop("_n", "_upto")
         .withColumnsRenamed({k: f"_t_{k}" for k in by} | {"_bin": "_t_bin"})
     )
-    candidates = values.withColumn("_bin", bin_of)
-    same = [candidates[k].eqNullSafe(targets[f"_t_{k}"]) for k in by]
-    same.append(candidates["_bin"] == targets["_t_bin"])
+    same = [values[k].eqNullSafe(targets[f"_t_{k}"]) for k in by]
+    same.append(values["_bin"] == targets["_t_bin"])
     inside = Window.partitionBy(*by, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        candidates.join(targets, same)
+        values.join(targets, same)
         .withColumn("_seen", F.sum("_n").over(inside))
         .where((F.col("_rank") <= F.col("_seen")) & (F.col("_rank") > F.col("_seen") - F.col("_n")))
     )

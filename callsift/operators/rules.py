@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from callsift.functions.keys import as_condition
 from callsift.functions.text import strip
+from callsift.plans.rows import explode_structs
 
 
 @dataclass(frozen=True)
@@ -79,9 +80,8 @@ def label(df: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
 
 
 def label_counts(labeled: DataFrame) -> DataFrame:
-    return labeled.select(F.explode("labels").alias("label")).groupBy("label").agg(
-        F.count("*").alias("n")
-    )
+    names = labeled.select(F.explode_outer("labels").alias("label"))
+    return names.where(F.col("label").isNotNull()).groupBy("label").agg(F.count("*").alias("n"))
 
 
 def label_totals(labeled: DataFrame) -> DataFrame:
@@ -137,9 +137,9 @@ def validate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         return df.where(F.lit(False)).select(
             F.col("id").alias("record_id"), F.lit("").alias("rule_name"), F.lit("").alias("message")
         )
-    return df.select(
-        F.col("id").alias("record_id"), F.explode(F.array_compact(F.array(*failures))).alias("e")
-    ).select("record_id", "e.rule_name", "e.message")
+    return explode_structs(
+        df, [F.col("id").alias("record_id")], F.array_compact(F.array(*failures))
+    )
 
 
 def validation_summary(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:

@@ -69,21 +69,18 @@ def with_group_position(
 def with_previous(df: DataFrame, column: str, order: Sequence[str], name: str) -> DataFrame:
     """Add the value ``column`` has in the preceding row of the given order.
 
-    ``column`` must be the leading order column.  The lag runs inside blocks of
-    :data:`BLOCK_ROWS` rows; the first row of a block takes the largest value of
-    the block before it.
+    The lag runs inside blocks of :data:`BLOCK_ROWS` rows.  The last row of each
+    block is copied to the front of the next one, where it only serves as the
+    predecessor and is dropped again.
     """
+    at, block = F.col("_at"), F.col("_block")
+    own = F.floor(at / BLOCK_ROWS)
+    last = at % BLOCK_ROWS == BLOCK_ROWS - 1
     blocks = with_row_index(df, order, "_at").withColumn(
-        "_block", F.floor(F.col("_at") / BLOCK_ROWS)
-    )
-    edges = blocks.groupBy((F.col("_block") + 1).alias("_block")).agg(F.max(column).alias("_edge"))
-    inside = F.lag(column).over(Window.partitionBy("_block").orderBy("_at"))
-    return (
-        blocks.withColumn("_inside", inside)
-        .join(edges, "_block", "left")
-        .withColumn(name, F.when(F.col("_at") % BLOCK_ROWS == 0, F.col("_edge")).otherwise(F.col("_inside")))
-        .drop("_at", "_block", "_inside", "_edge")
+        "_block", F.explode(F.when(last, F.array(own, own + 1)).otherwise(F.array(own)))
     )
+    before = F.lag(column).over(Window.partitionBy("_block").orderBy("_at"))
+    return blocks.withColumn(name, before).where(block == own).drop("_at", "_block")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -19,3 +19,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         base = spark.conf.get("callsift.scratch.dir", None) or tempfile.mkdtemp(prefix="callsift-")
         spark.conf.set("callsift.scratch.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """A checkpoint of ``df``, for results that several later branches read."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(scratch_path(df.sparkSession, "checkpoints"))
+    return df.checkpoint()

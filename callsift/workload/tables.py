@@ -28,8 +28,7 @@ def _no_headers() -> Column:
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per row of ``events``."""
     events = _table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
-    kind, status = F.col("event_type"), F.col("response_status")
+    k, kind, status = F.col("k"), F.col("event_type"), F.col("response_status")
     method = (
         F.when(kind == "view", "GET")
         .when(kind == "click", "get")
@@ -59,7 +58,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("")
     )
     seconds = epoch_seconds(F.col("ts"), events.schema["ts"].dataType)
-    return events.withColumn("response_status", code.cast("int")).select(
+    # A projection of its own, so that the JSON is parsed once per row.
+    parsed = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return parsed.withColumn("response_status", code.cast("int")).select(
         F.col("event_id").cast("string").alias("id"),
         F.col("event_id").alias("seq"),
         seconds.alias("timestamp"),
@@ -187,13 +188,14 @@ def removals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replay_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to three replay attempts per record from ``events``."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.col("k")
     failed = F.col("event_type") == "error"
     lost = failed & (k % 4 == 0)
     status = (
         F.when(lost, None).when(failed, 500 + k % 4).when(k % 10 == 0, 404).otherwise(200)
     )
-    return _table(spark, sf_dir, "events").select(
+    events = _table(spark, sf_dir, "events")
+    return events.withColumn("k", F.get_json_object("props", "$.k").cast("int")).select(
         F.expr("event_id div 3").alias("record_id"),
         F.expr("event_id div 3000").alias("run"),
         (F.col("event_id") % 3 + 1).cast("int").alias("attempt"),
