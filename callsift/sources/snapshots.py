@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,8 +55,7 @@ class SnapshotStore:
         if not self._spark.catalog.tableExists(self._table):
             return self._spark.createDataFrame([], "name string, created_at string, records bigint")
         named = self._spark.sql(f"SHOW PARTITIONS {self._table}").select(
-            F.url_decode(F.regexp_extract("partition", "name=([^/]*)", 1)).alias("name"),
-            F.url_decode(F.regexp_extract("partition", "created_at=([^/]*)", 1)).alias("created_at"),
+            _partition_value("name").alias("name"), _partition_value("created_at").alias("created_at")
         )
         counted = snapshot_list(self._spark.table(self._table)).select("name", "records")
         return named.join(counted, "name", "left").na.fill(0, ["records"]).orderBy("name")
@@ -79,8 +78,13 @@ class SnapshotStore:
         if not self._spark.catalog.tableExists(self._table):
             return []
         rows = self._spark.sql(f"SHOW PARTITIONS {self._table} PARTITION (name = {_literal(name)})")
-        stamp = F.url_decode(F.regexp_extract("partition", "created_at=([^/]*)", 1))
-        return [r[0] for r in rows.select(stamp).collect()]
+        return [r[0] for r in rows.select(_partition_value("created_at")).collect()]
+
+
+def _partition_value(column: str) -> Column:
+    """Value of a partition column in SHOW PARTITIONS, where ``+`` is not escaped."""
+    text = F.regexp_extract("partition", f"{column}=([^/]*)", 1)
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
 
 
 def _literal(text: str) -> str:
