@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callsift.functions.keys import fingerprint
@@ -15,26 +15,31 @@ from callsift.plans.skew import join_many_to_one
 MERGE_KEY = ("timestamp", "method", "path", "response_status")
 
 
+def _short_fingerprint() -> Column:
+    """The fingerprint as 32 bytes: half the shuffle of its hex text."""
+    return F.unhex(fingerprint())
+
+
 def dedup_unique(df: DataFrame, order_cols: Sequence[str] | None = None) -> DataFrame:
     """The first request of each fingerprint; time, status and response are ignored."""
     order = input_order(df, order_cols)
-    return first_per_key(df.withColumn("_fp", fingerprint()), ["_fp"], order).drop("_fp")
+    return first_per_key(df.withColumn("_fp", _short_fingerprint()), ["_fp"], order).drop("_fp")
 
 
 def dedup_duplicates(df: DataFrame, order_cols: Sequence[str] | None = None) -> DataFrame:
     """Every request but the first of its fingerprint; any number of copies is fine."""
     order = input_order(df, order_cols)
-    placed = with_group_position(df.withColumn("_fp", fingerprint()), ["_fp"], order, "_copy")
+    keyed = df.withColumn("_fp", _short_fingerprint())
+    placed = with_group_position(keyed, ["_fp"], order, "_copy")
     return placed.where(F.col("_copy") > 0).drop("_fp", "_copy")
 
 
 def duplicate_groups(df: DataFrame) -> DataFrame:
     """Fingerprints with several requests, in long form: (fingerprint, group_size, id)."""
-    members = df.select(fingerprint().alias("fingerprint"), "id")
-    sizes = members.groupBy("fingerprint").agg(F.count("*").alias("group_size"))
-    return join_many_to_one(
-        members, sizes.where(F.col("group_size") > 1), ["fingerprint"], rows="group_size"
-    )
+    members = df.select(_short_fingerprint().alias("_fp"), "id")
+    sizes = members.groupBy("_fp").agg(F.count("*").alias("group_size"))
+    grouped = join_many_to_one(members, sizes.where(F.col("group_size") > 1), ["_fp"], rows="group_size")
+    return grouped.select(F.lower(F.hex("_fp")).alias("fingerprint"), "group_size", "id")
 
 
 def merge(

@@ -53,12 +53,13 @@ def score(df: DataFrame, min_score: int = 0, order_cols: Sequence[str] | None =
     for condition, n in points:
         total = total + F.when(condition, n).otherwise(0)
     band = F.when(F.col("score") >= HIGH_SCORE, "HIGH").when(F.col("score") >= MEDIUM_SCORE, "MED")
+    # Texts come after the sort, which would sample and shuffle them.
     return (
         df.withColumn("score", total)
         .where(F.col("score") >= min_score)
+        .orderBy(F.col("score").desc(), *input_order(df, order_cols))
         .withColumn("band", band.otherwise("LOW"))
         .withColumn("reasons", F.array_compact(F.array(*reasons)))
-        .orderBy(F.col("score").desc(), *input_order(df, order_cols))
     )
 
 

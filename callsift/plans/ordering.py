@@ -11,6 +11,8 @@ from callsift.plans.skew import join_many_to_one
 
 # Rows per block when a global neighbour is looked up inside blocks.
 BLOCK_ROWS = 100_000
+# Session setting for what the row index keeps while it counts rows.
+INDEX_CACHE = "pandas_on_Spark.compute.default_index_cache"
 # Largest row count that is taken with a top-k (merged in one task).
 TOP_K_ROWS = 10_000
 
@@ -38,7 +40,12 @@ def with_row_index(df: DataFrame, order: Sequence[Column | str], name: str = "ro
     The global sort range-partitions on sampled keys, so equal-sized ranges go
     to the tasks however the keys are spread; the index is then attached inside
     the JVM from the row counts of the ranges.  No window over all rows.
+    Counting the ranges re-reads the shuffle; it does not cache the sorted rows
+    unless the session asks for that.
     """
+    conf = df.sparkSession.conf
+    if conf.get(INDEX_CACHE, None) is None:
+        conf.set(INDEX_CACHE, '"NONE"')
     return df.orderBy(*order).pandas_api().to_spark(index_col=name)
 
 

@@ -9,8 +9,10 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # The row index (plans/ordering.py) re-reads its sorted shuffle instead of caching it.
-    "pandas_on_Spark.compute.default_index_cache": '"NONE"',
+    # Seen ids of a watched log outgrow memory; see streaming/watch.py.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 

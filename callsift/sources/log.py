@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime, timezone
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ _NAMES = {
 }
 _ACCEPTED = [*[n for names in _NAMES.values() for n in names], SECONDS_ALIAS]
 CORRUPT = "_corrupt_record"
+DAY = "day"
 
 
 def _line_schema() -> T.StructType:
@@ -39,9 +42,14 @@ def read_log(
     format: str = "json",
     strict: bool = True,
     mode: str = "FAILFAST",
+    since: float | None = None,
+    until: float | None = None,
 ) -> DataFrame:
     """Requests in canonical form; an absent path gives no rows.
 
+    ``since`` (inclusive) and ``until`` (exclusive) bound the timestamp; on a
+    Parquet log partitioned by day they also select the days that are read.
+
     JSON Lines: blank lines are skipped.  ``FAILFAST`` raises on a malformed
     line; with ``strict`` also on unknown or missing fields of any line.
     ``PERMISSIVE`` keeps such lines in ``_corrupt_record``, other columns null.
@@ -51,12 +59,29 @@ def read_log(
     paths = [path] if isinstance(path, str) else list(path)
     try:
         if format == "parquet":
-            return conform(spark.read.parquet(*paths), strict)
-        return parse_lines(spark.read.text(paths), strict, mode)
+            stored = spark.read.parquet(*paths)
+            if DAY in stored.columns:
+                stored = _between(stored, DAY, _day(since), _day(until), whole_end=True).drop(DAY)
+            requests = conform(stored, strict)
+        else:
+            requests = parse_lines(spark.read.text(paths), strict, mode)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], REQUEST_SCHEMA)
+    return _between(requests, "timestamp", since, until)
+
+
+def _between(df: DataFrame, column: str, since, until, whole_end: bool = False) -> DataFrame:
+    if since is not None:
+        df = df.where(F.col(column) >= since)
+    if until is not None:
+        df = df.where(F.col(column) <= until if whole_end else F.col(column) < until)
+    return df
+
+
+def _day(instant: float | None) -> date | None:
+    return None if instant is None else datetime.fromtimestamp(instant, timezone.utc).date()
 
 
 def parse_lines(lines: DataFrame, strict: bool = True, mode: str = "FAILFAST") -> DataFrame:
@@ -109,12 +134,20 @@ def _problem(strict: bool) -> Column:
     return F.coalesce(malformed, listed("unknown", unknown), listed("missing", missing))
 
 
-def append_log(df: DataFrame, path: str, format: str = "json") -> None:
-    """Append requests as new files; existing files are never changed."""
-    writer = df.write.mode("append")
+def append_log(df: DataFrame, path: str, format: str = "json", daily: bool = False) -> None:
+    """Append requests as new files; existing files are never changed.
+
+    ``daily`` partitions a Parquet log by UTC day.  Rows are rebalanced by day
+    first: few files per day, and several tasks for a busy one.
+    """
+    if format not in ("json", "parquet"):
+        raise ValueError(f"format must be 'json' or 'parquet', got '{format}'")
     if format == "json":
-        writer.option("ignoreNullFields", "false").json(path)
-    elif format == "parquet":
-        writer.parquet(path)
+        df.write.mode("append").option("ignoreNullFields", "false").json(path)
+        return
+    if daily:
+        day = F.date_add(F.lit(date(1970, 1, 1)), F.floor(F.col("timestamp") / 86400).cast("int"))
+        dated = df.withColumn(DAY, day).hint("rebalance", DAY)
+        dated.write.mode("append").partitionBy(DAY).parquet(path)
     else:
-        raise ValueError(f"format must be 'json' or 'parquet', got '{format}'")
+        df.write.mode("append").parquet(path)

@@ -17,9 +17,9 @@ def bucket_name(bucket: Column) -> Column:
 def write_split(df: DataFrame, key: str | Column, path: str, depth: int = 1) -> None:
     """Write every matched request below ``bucket_name=<name>``.
 
-    Different buckets can share a name, so the exact bucket stays a column.  A
-    bucket of any size is written by all the tasks that hold rows of it.
+    Different buckets can share a name, so the exact bucket stays a column.  The
+    rebalance gathers small buckets into few files and splits large ones.
     """
     bucketed = split_buckets(df, key, depth).where(F.col("bucket").isNotNull())
     named = bucketed.withColumn("bucket_name", bucket_name(F.col("bucket")))
-    named.write.mode("append").partitionBy("bucket_name").parquet(path)
+    named.hint("rebalance", "bucket_name").write.mode("append").partitionBy("bucket_name").parquet(path)

@@ -106,6 +106,19 @@ def test_append_and_read_back(spark, tmp_path, log, values):
         logs.append_log(df, "x", "csv")
 
 
+def test_daily_log_prunes_days(spark, tmp_path, log, values):
+    path, day = str(tmp_path / "daily"), 86400.0
+    df = log(*[{"timestamp": t} for t in (0.0, day - 1, day, 2.5 * day, -1.0)])
+    logs.append_log(df, path, "parquet", daily=True)
+    assert (tmp_path / "daily" / "day=1970-01-02").exists()
+    whole = logs.read_log(spark, path, "parquet")
+    assert (whole.columns, whole.count()) == (df.columns, 5)
+    part = logs.read_log(spark, path, "parquet", since=10.0, until=2 * day)
+    assert sorted(values(part, "id")) == ["1", "2"]
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "day#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_conform_checks_columns(spark, log):
     df = log({})
     assert conform(df).schema.simpleString() == df.schema.simpleString()
