@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callsift.functions.keys import fingerprint
-from callsift.plans.ordering import first_per_key, input_order, with_group_position
+from callsift.plans.ordering import all_but_one, first_per_key, input_order
 from callsift.plans.skew import join_many_to_one
 
 # Fixed value: the columns that make two requests of merged logs the same.
@@ -27,11 +27,26 @@ def dedup_unique(df: DataFrame, order_cols: Sequence[str] | None = None) -> Data
 
 
 def dedup_duplicates(df: DataFrame, order_cols: Sequence[str] | None = None) -> DataFrame:
-    """Every request but the first of its fingerprint; any number of copies is fine."""
+    """Every request but the first of its fingerprint; any number of copies is fine.
+
+    Each request is compared with the first position of its group, which partial
+    aggregates find.  Where several rows share that very position (copies of one
+    record), exactly one of them stays.
+    """
     order = input_order(df, order_cols)
     keyed = df.withColumn("_fp", _short_fingerprint())
-    placed = with_group_position(keyed, ["_fp"], order, "_copy")
-    return placed.where(F.col("_copy") > 0).drop("_fp", "_copy")
+    positions = keyed.groupBy("_fp", *order).agg(F.count("*").alias("_here"))
+    groups = (
+        positions.groupBy("_fp")
+        .agg(F.min(F.struct(*order, "_here")).alias("_first"), F.sum("_here").alias("_rows"))
+        .where(F.col("_rows") > 1)
+    )
+    placed = join_many_to_one(keyed, groups, ["_fp"], rows="_rows")
+    here, first = F.struct(*order), F.struct(*[F.col(f"_first.{c}").alias(c) for c in order])
+    later = placed.where(here > first)
+    shared = placed.where((here == first) & (F.col("_first._here") > 1))
+    extra = all_but_one(shared, ["_fp"])
+    return later.select(*df.columns).unionByName(extra.select(*df.columns))
 
 
 def duplicate_groups(df: DataFrame) -> DataFrame:

@@ -18,6 +18,12 @@ SERVER_ERROR, CLIENT_ERROR = 500, 400
 VERY_SLOW_MS, SLOW_MS = 3000, 1000
 LARGE_BODY_CHARS = 10_000
 HIGH_SCORE, MEDIUM_SCORE = 10, 5
+# Texts of inspection warnings.
+SLOW_TEXT = " ms exceeds threshold {:.1f} ms"
+SERVER_ERROR_TEXT = "Server error: HTTP "
+UNTYPED_BODY_TEXT = "Non-empty request body has no Content-Type header"
+NOT_JSON_TEXT = "Content-Type is application/json but body is not valid JSON"
+EMPTY_PATH_TEXT = "Request path is empty"
 
 
 def score(df: DataFrame, min_score: int = 0, order_cols: Sequence[str] | None = None) -> DataFrame:
@@ -78,7 +84,7 @@ def inspect(df: DataFrame, slow_threshold_ms: float = 1000.0) -> DataFrame:
         return has_text(F.col(f"{side}_body")) & ~F.col(f"_{side}_json")
 
     slow_text = F.concat(
-        fixed_decimals(duration, 1), F.lit(f" ms exceeds threshold {slow_threshold_ms:.1f} ms")
+        fixed_decimals(duration, 1), F.lit(SLOW_TEXT.format(slow_threshold_ms))
     )
     claims = {
         side: F.contains(
@@ -97,18 +103,17 @@ def inspect(df: DataFrame, slow_threshold_ms: float = 1000.0) -> DataFrame:
     untyped = has_text(F.col("request_body")) & (
         header_any_case(F.col("request_headers"), "content-type") == ""
     )
-    not_json = "Content-Type is application/json but body is not valid JSON"
     warnings = F.array(
         warning(duration > slow_threshold_ms, "duration_ms", slow_text),
         warning(
             status >= SERVER_ERROR,
             "response_status",
-            F.concat(F.lit("Server error: HTTP "), status.cast("string")),
+            F.concat(F.lit(SERVER_ERROR_TEXT), status.cast("string")),
         ),
-        warning(untyped, "request_headers", "Non-empty request body has no Content-Type header"),
-        warning(bad_json("request"), "request_body", not_json),
-        warning(bad_json("response"), "response_body", not_json),
-        warning(is_blank(F.col("path")), "path", "Request path is empty"),
+        warning(untyped, "request_headers", UNTYPED_BODY_TEXT),
+        warning(bad_json("request"), "request_body", NOT_JSON_TEXT),
+        warning(bad_json("response"), "response_body", NOT_JSON_TEXT),
+        warning(is_blank(F.col("path")), "path", EMPTY_PATH_TEXT),
     )
     helpers = [f"_{s}_{h}" for s in claims for h in ("claims", "json")]
     return checked.withColumn("warnings", F.array_compact(warnings)).drop(*helpers)

@@ -108,6 +108,7 @@ def highlighted_only(df: DataFrame, rules: Sequence[Rule] = DEFAULT_HIGHLIGHTS)
     return highlight(df, rules).where(F.col("rule").isNotNull())
 
 
+# Names and messages of the built-in checks.
 def status_below_500() -> Rule:
     return Rule("no_server_error", "response_status < 500", "Response status code is 5xx (server error).")
 

@@ -102,3 +102,21 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     return first_per_key(df, keys, [F.col(c).desc() for c in order])
+
+
+def all_but_one(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All rows except one arbitrary row of each key.
+
+    Rows are numbered per key and input partition first; then only the leading
+    row of each partition competes to be the one left out.  So the rows of a hot
+    key stay spread over as many groups as there are input partitions.
+    """
+    parts = df.withColumn("_part", F.spark_partition_id())
+    local = Window.partitionBy(*keys, "_part").orderBy("_part")
+    led = parts.withColumn("_local", F.row_number().over(local)).withColumn(
+        "_heat", F.when(F.col("_local") == 1, -1).otherwise(F.col("_part"))
+    )
+    final = Window.partitionBy(*keys, "_heat").orderBy("_part")
+    chosen = (F.col("_heat") == -1) & (F.col("_final") == 1)
+    numbered = led.withColumn("_final", F.row_number().over(final))
+    return numbered.where(~chosen).drop("_part", "_local", "_heat", "_final")

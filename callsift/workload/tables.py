@@ -17,8 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _map(**entries: Column) -> Column:
     """Header map of the non-null entries; ``_`` in a name stands for ``-``."""
-    pairs = [c for name, value in entries.items() for c in (F.lit(name.replace("_", "-")), value)]
-    return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
+    parts = []
+    for name, value in entries.items():
+        one = F.create_map(F.lit(name.replace("_", "-")), value)
+        parts.append(F.when(value.isNotNull(), one).otherwise(_no_headers()))
+    return F.map_concat(*parts)
 
 
 def _no_headers() -> Column:
