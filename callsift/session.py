@@ -9,6 +9,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Recording the Python line of every column expression takes longer than planning.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Seen ids of a watched log outgrow memory; see streaming/watch.py.
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

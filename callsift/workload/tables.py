@@ -28,61 +28,45 @@ def _no_headers() -> Column:
     return F.create_map().cast("map<string,string>")
 
 
+_K = "cast(get_json_object(props, '$.k') as int) as k"
+_NONE = "cast(map() as map<string,string>)"
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per row of ``events``."""
     events = _table(spark, sf_dir, "events")
-    k, kind, status = F.col("k"), F.col("event_type"), F.col("response_status")
-    method = (
-        F.when(kind == "view", "GET")
-        .when(kind == "click", "get")
-        .when(kind == "purchase", "POST")
-        .when(kind == "signup", "PUT")
-        .otherwise("DELETE")
-    )
-    code = (
-        F.when(kind == "error", 500 + k % 4)
-        .when(k % 10 == 0, 404)
-        .when(k % 10 == 1, 301)
-        .otherwise(200)
-    )
-    body = (
-        F.when(kind.isin("purchase", "error"), F.col("props"))
-        .when(kind == "signup", F.replace(F.col("props"), F.lit("}"), F.lit("")))
-    )
-    correlation = F.when(
-        k % 4 != 0, F.concat(F.lit("corr-"), F.col("user_id"), F.lit("-"), k % 7)
-    )
-    content_type = F.when(kind == "purchase", "application/json").when(
-        kind == "signup", "application/json; charset=utf-8"
-    )
-    answer = (
-        F.when(status >= 500, F.concat(F.lit('{"error": '), status))
-        .when(status == 404, F.concat(F.lit('{"error": '), status, F.lit("}")))
-        .otherwise("")
+    # Projections of their own, so that the JSON is parsed once per row.
+    parsed = events.withColumn(
+        "timestamp", epoch_seconds(F.col("ts"), events.schema["ts"].dataType)
+    ).selectExpr("*", _K)
+    coded = parsed.selectExpr(
+        "*",
+        """cast(case when event_type = 'error' then 500 + k % 4 when k % 10 = 0 then 404
+          when k % 10 = 1 then 301 else 200 end as int) as response_status""",
     )
-    seconds = epoch_seconds(F.col("ts"), events.schema["ts"].dataType)
-    # A projection of its own, so that the JSON is parsed once per row.
-    parsed = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    return parsed.withColumn("response_status", code.cast("int")).select(
-        F.col("event_id").cast("string").alias("id"),
-        F.col("event_id").alias("seq"),
-        seconds.alias("timestamp"),
-        method.alias("method"),
-        F.concat(F.lit("/api/"), kind, F.lit("/"), F.col("user_id") % 10).alias("path"),
-        F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("k="), k)).alias("query_string"),
-        _map(
-            Host=F.concat(F.lit("svc"), k % 5), X_Correlation_ID=correlation, Content_Type=content_type
-        ).alias("request_headers"),
-        body.alias("request_body"),
+    return coded.selectExpr(
+        "cast(event_id as string) as id",
+        "event_id as seq",
+        "timestamp",
+        """case event_type when 'view' then 'GET' when 'click' then 'get' when 'purchase' then 'POST'
+          when 'signup' then 'PUT' else 'DELETE' end as method""",
+        "concat('/api/', event_type, '/', user_id % 10) as path",
+        "if(k % 3 = 0, '', concat('k=', k)) as query_string",
+        f"""map_concat(map('Host', concat('svc', k % 5)),
+          if(k % 4 <> 0, map('X-Correlation-ID', concat('corr-', user_id, '-', k % 7)), {_NONE}),
+          case event_type when 'purchase' then map('Content-Type', 'application/json')
+            when 'signup' then map('Content-Type', 'application/json; charset=utf-8')
+            else {_NONE} end) as request_headers""",
+        """case when event_type in ('purchase', 'error') then props
+          when event_type = 'signup' then replace(props, '}', '') end as request_body""",
         "response_status",
-        _map(
-            Content_Type=F.when(status >= 400, "application/json").otherwise("text/html")
-        ).alias("response_headers"),
-        answer.alias("response_body"),
-        (F.col("value") * 10).alias("duration_ms"),
-        F.array_compact(
-            F.array(kind, F.when(k % 5 == 0, "canary"), F.when(status >= 500, "alert"))
-        ).alias("tags"),
+        """map('Content-Type', if(response_status >= 400, 'application/json', 'text/html'))
+          as response_headers""",
+        """case when response_status >= 500 then concat('{"error": ', response_status)
+          when response_status = 404 then '{"error": 404}' else '' end as response_body""",
+        "value * 10 as duration_ms",
+        """array_compact(array(event_type, if(k % 5 = 0, 'canary', null),
+          if(response_status >= 500, 'alert', null))) as tags""",
     )
 
 
@@ -191,20 +175,16 @@ def removals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replay_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to three replay attempts per record from ``events``."""
-    k = F.col("k")
-    failed = F.col("event_type") == "error"
-    lost = failed & (k % 4 == 0)
-    status = (
-        F.when(lost, None).when(failed, 500 + k % 4).when(k % 10 == 0, 404).otherwise(200)
-    )
-    events = _table(spark, sf_dir, "events")
-    return events.withColumn("k", F.get_json_object("props", "$.k").cast("int")).select(
-        F.expr("event_id div 3").alias("record_id"),
-        F.expr("event_id div 3000").alias("run"),
-        (F.col("event_id") % 3 + 1).cast("int").alias("attempt"),
-        status.cast("int").alias("status"),
-        F.when(lost, "timeout").alias("error"),
-        (F.col("value") * 10).alias("duration_ms"),
+    parsed = _table(spark, sf_dir, "events").selectExpr("*", _K)
+    return parsed.selectExpr(
+        "event_id div 3 as record_id",
+        "event_id div 3000 as run",
+        "cast(event_id % 3 + 1 as int) as attempt",
+        """cast(case when event_type = 'error' and k % 4 = 0 then null
+          when event_type = 'error' then 500 + k % 4 when k % 10 = 0 then 404 else 200 end as int)
+          as status""",
+        "if(event_type = 'error' and k % 4 = 0, 'timeout', null) as error",
+        "value * 10 as duration_ms",
     )
 
 
