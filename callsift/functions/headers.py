@@ -47,7 +47,7 @@ def normalized(headers: Column) -> Column:
 
 def sorted_entries(headers: Column) -> Column:
     """Entries as a sorted array: maps themselves have no equality or order."""
-    return F.array_sort(F.map_entries(headers))
+    return F.sort_array(F.map_entries(headers))
 
 
 def correlation_id(headers: Column) -> Column:

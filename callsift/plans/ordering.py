@@ -104,19 +104,29 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return first_per_key(df, keys, [F.col(c).desc() for c in order])
 
 
+def _content_hash(df: DataFrame) -> Column:
+    """A hash of the whole row; maps enter as sorted entries."""
+    parts = [
+        F.sort_array(F.map_entries(f.name)) if f.dataType.typeName() == "map" else F.col(f.name)
+        for f in df.schema
+    ]
+    return F.xxhash64(*parts)
+
+
 def all_but_one(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """All rows except one arbitrary row of each key.
+    """All rows except one of each key, the one with the smallest content hash per part.
 
     Rows are numbered per key and input partition first; then only the leading
     row of each partition competes to be the one left out.  So the rows of a hot
-    key stay spread over as many groups as there are input partitions.
+    key stay spread over as many groups as there are input partitions.  Ordering
+    by content makes a re-run task choose alike; equal rows are interchangeable.
     """
-    parts = df.withColumn("_part", F.spark_partition_id())
-    local = Window.partitionBy(*keys, "_part").orderBy("_part")
+    parts = df.withColumn("_hash", _content_hash(df)).withColumn("_part", F.spark_partition_id())
+    local = Window.partitionBy(*keys, "_part").orderBy("_hash")
     led = parts.withColumn("_local", F.row_number().over(local)).withColumn(
         "_heat", F.when(F.col("_local") == 1, -1).otherwise(F.col("_part"))
     )
-    final = Window.partitionBy(*keys, "_heat").orderBy("_part")
+    final = Window.partitionBy(*keys, "_heat").orderBy("_hash", "_part")
     chosen = (F.col("_heat") == -1) & (F.col("_final") == 1)
     numbered = led.withColumn("_final", F.row_number().over(final))
-    return numbered.where(~chosen).drop("_part", "_local", "_heat", "_final")
+    return numbered.where(~chosen).drop("_hash", "_part", "_local", "_heat", "_final")

@@ -166,6 +166,17 @@ def test_hot_keys_are_split_over_partitions(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_all_but_one_drops_one_row_per_key(spark):
+    df = _hot_frame(spark).select("key", "at")
+    copies = df.unionAll(df.where("key = -1")).withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    left = ordering.all_but_one(copies, ["key"])
+    assert left.columns == copies.columns
+    keys = copies.select("key").distinct().count()
+    assert left.count() == copies.count() - keys
+    sizes = copies.groupBy("key").count().join(left.groupBy("key").agg(F.count("*").alias("n")), "key")
+    assert sizes.where("count - n <> 1").count() == 0
+
+
 def test_ranked_windows_are_limited_before_the_shuffle(spark, log):
     plan = timeseries.throttle_kept(log({}, {}), 2)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
