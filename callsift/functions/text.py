@@ -73,15 +73,30 @@ def float_text(number: Column) -> Column:
 
 
 def java_pattern(pattern: str) -> str:
-    """A Python-style pattern as a case-insensitive Java regex with Unicode classes."""
+    """A Python-style pattern as a case-insensitive Java regex.
+
+    Flags: Unicode classes, and only ``\\n`` as a line end, as Python has it.
+    """
     translated = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
     translated = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", translated)
-    return "(?iU)" + translated.replace(r"\Z", r"\z")
+    return "(?idU)" + re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", translated)
+
+
+# Control characters that a replacement may write as escapes.
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
 
 def java_replacement(replacement: str) -> str:
-    """A Python-style replacement (``\\1``, ``\\g<name>``) in Java syntax, ``$`` literal."""
-    escaped = replacement.replace("$", r"\$")
-    escaped = re.sub(r"\\g<(\d+)>", r"$\1", escaped)
-    escaped = re.sub(r"\\g<(\w+)>", r"${\1}", escaped)
-    return re.sub(r"\\(\d)", r"$\1", escaped)
+    """A Python-style replacement (``\\1``, ``\\g<name>``, ``\\n``) in Java syntax, ``$`` literal."""
+
+    def translate(token: re.Match) -> str:
+        if token["group"]:
+            return f"${token['group']}" if token["group"].isdigit() else f"${{{token['group']}}}"
+        if token["number"]:
+            return f"${token['number']}"
+        if token["escape"]:
+            return _ESCAPES.get(token["escape"], "\\\\" + token["escape"].replace("\\", ""))
+        return "\\$"
+
+    parts = r"\\g<(?P<group>\w+)>|\\(?P<number>[1-9]\d?)|\\(?P<escape>.)|\$"
+    return re.sub(parts, translate, replacement, flags=re.DOTALL)

@@ -172,6 +172,26 @@ def test_path_prefix(spark, values):
         assert values(df, text.path_prefix(F.col("p"), depth)) == [prefix(p, depth) for p in paths]
 
 
-def test_java_pattern_helpers():
-    assert text.java_pattern("(?P<a>x)(?P=a)\\Z") == "(?iU)(?<a>x)\\k<a>\\z"
-    assert re.fullmatch(r"\$\{a\}\\\$", text.java_replacement(r"\g<a>$"))
+@pytest.mark.parametrize(
+    "pattern, replacement",
+    [
+        (r"a.b", "x"),
+        (r"B$", "x"),
+        (r"b\Z", "x"),
+        (r"(?P<l>[a-z])(?P=l)", r"<\g<l>>"),
+        (r"(a)(b)?", r"\1\\$\n"),
+        (r"(c)", r"\g<1>2"),
+        (r"\bß\w", "$1"),
+        (r"\s+", r"_\t"),
+    ],
+)
+def test_patterns_and_replacements_mean_what_python_means(log, values, pattern, replacement):
+    bodies = ["a\rb a\nb", "ab\n", "AAb bb ccb", "c\u2003ßé c", "x$y \\ b"]
+    df = log(*[{"request_body": b} for b in bodies])
+    got = tr.redact(df, [tr.RedactRule("request_body", pattern, replacement)]).orderBy("seq")
+    want = [re.sub(pattern, replacement, b, flags=re.IGNORECASE) for b in bodies]
+    assert values(got, "request_body") == want
+
+
+def test_java_pattern_names_groups():
+    assert text.java_pattern("(?P<a>x)(?P=a)\\Z\\\\Z") == "(?idU)(?<a>x)\\k<a>\\z\\\\Z"
