@@ -44,7 +44,9 @@ def dedup_duplicates(df: DataFrame, order_cols: Sequence[str] | None = None) ->
     placed = join_many_to_one(keyed, groups, ["_fp"], rows="_rows")
     here, first = F.struct(*order), F.struct(*[F.col(f"_first.{c}").alias(c) for c in order])
     later = placed.where(here > first)
-    shared = placed.where((here == first) & (F.col("_first._here") > 1))
+    # No row comes before the first; "not later" rather than "equal" leaves the join keys
+    # as they are, so that both uses share one shuffle of the rows.
+    shared = placed.where(~(here > first) & (F.col("_first._here") > 1))
     extra = all_but_one(shared, ["_fp"])
     return later.select(*df.columns).unionByName(extra.select(*df.columns))
 
