@@ -11,13 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``.
 
-    Only where no such folder is configured, as in local tests, a temporary one
-    is made and set for the session.
+    Where that is unset, a local session gets a temporary folder of its own; on
+    a cluster that would be another disk on each machine, so there it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = spark.conf.get("callsift.scratch.dir", None) or tempfile.mkdtemp(prefix="callsift-")
-        spark.conf.set("callsift.scratch.dir", base)
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="callsift-")
+        context.setCheckpointDir(base)
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
