@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from callsift.llm import license
+from callsift.llm.bpe import encode_decode
 from callsift.llm.exact import exact_dedup
+from callsift.llm.sharding import shard_documents
+
+# Where the tokenizer vocabularies lie on every machine.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 QUERIES = {}
 ORACLES = {}
@@ -34,3 +40,21 @@ g as (
     count(*) over (partition by norm) as group_size
   from t)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from g"""
+
+
+@_query
+def op2_vector_sharding(spark, sf_dir):
+    return shard_documents(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_bpe_codec(spark, sf_dir):
+    return encode_decode(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+@_query
+def op10_license_scan(spark, sf_dir):
+    return license.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op10_license_scan"] = license.oracle()
