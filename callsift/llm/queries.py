@@ -7,7 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from callsift.llm import license
 from callsift.llm.bpe import encode_decode
 from callsift.llm.exact import exact_dedup
+from callsift.llm.minhash import near_duplicates
+from callsift.llm.packing import pack_documents
+from callsift.llm.quality import classify_quality
 from callsift.llm.sharding import shard_documents
+from callsift.llm.toxicity import classify_toxicity
 
 # Where the tokenizer vocabularies lie on every machine.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -58,3 +62,23 @@ def op10_license_scan(spark, sf_dir):
 
 
 ORACLES["op10_license_scan"] = license.oracle()
+
+
+@_query
+def op1_minhash_near_dedup(spark, sf_dir):
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_best_fit_packing(spark, sf_dir):
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_quality_classifier(spark, sf_dir):
+    return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op9_toxicity(spark, sf_dir):
+    return classify_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))

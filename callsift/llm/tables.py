@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +31,35 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def whole_text(text_col: str) -> Column:
     """The text, or the empty text for null."""
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+
+def map_groups(
+    df: DataFrame, keys: list[str], function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
+) -> DataFrame:
+    """Apply ``function`` to the rows of each group, which must be bounded and have no null key.
+
+    The rows are shuffled by the keys and sorted; one pass over each sorted
+    partition cuts it into groups, without a Python call's overhead per group in
+    Spark.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            changed = np.zeros(batch.num_rows - 1, dtype=bool)
+            for key in keys:
+                column = batch.column(key)
+                changed |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+            starts = [0, *(np.flatnonzero(changed) + 1).tolist()]
+            for first, last in zip(starts, starts[1:], strict=False):
+                if (made := function(batch.slice(first, last - first))) is not None:
+                    yield made
+            held = batch.slice(starts[-1])
+        if held is not None and (made := function(held)) is not None:
+            yield made
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
