@@ -11,6 +11,7 @@ from callsift.llm.minhash import near_duplicates
 from callsift.llm.packing import pack_documents
 from callsift.llm.quality import classify_quality
 from callsift.llm.sharding import shard_documents
+from callsift.llm.substring import substring_dedup
 from callsift.llm.toxicity import classify_toxicity
 
 # Where the tokenizer vocabularies lie on every machine.
@@ -82,3 +83,8 @@ def op6_quality_classifier(spark, sf_dir):
 @_query
 def op9_toxicity(spark, sf_dir):
     return classify_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op7_substring_dedup(spark, sf_dir):
+    return substring_dedup(_table(spark, sf_dir, "documents"))
