@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from callsift.llm import license
 from callsift.llm.bpe import encode_decode
+from callsift.llm.embedding import embedding_duplicates
 from callsift.llm.exact import exact_dedup
 from callsift.llm.minhash import near_duplicates
 from callsift.llm.packing import pack_documents
@@ -88,3 +89,8 @@ def op9_toxicity(spark, sf_dir):
 @_query
 def op7_substring_dedup(spark, sf_dir):
     return substring_dedup(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_nn_descent(spark, sf_dir):
+    return embedding_duplicates(_table(spark, sf_dir, "embeddings"))
