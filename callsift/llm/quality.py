@@ -204,6 +204,19 @@ def quality_scores(docs: DataFrame, model: NBSVM, threshold: float = 0.5) -> Dat
     return kept.mapInArrow(run, schema)
 
 
+def keep_quality(docs: DataFrame, model: NBSVM, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least the threshold, with all their columns."""
+    at, names = docs.columns.index("text"), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = text_features(batch.column(at).cast(pa.string()))
+            keep = pa.array([model.score(row) >= threshold for row in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays(batch.columns, names=names).filter(keep)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """Score all documents for quality with a model learnt from the labels.
 

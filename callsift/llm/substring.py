@@ -291,10 +291,44 @@ def repeated_segments(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
+def _keyed(id_col: str, text_col: str) -> dict:
+    """Key, mark and text under names that no table is likely to have."""
+    text = F.col(text_col).cast("string")
+    return {
+        "key": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID).cast("long")),
+        "mark": F.hash(text),
+        "text": text,
+    }
+
+
+def _cuts(keyed: DataFrame, window: int) -> DataFrame:
+    """``key, mark, cuts`` of the documents that lose words."""
+    if not ANCHOR_WORDS <= window <= ANCHOR_WORDS + 50:
+        raise ValueError("the window must have 12 to 62 words")
+    found = repeated_segments(keyed, window)
+    return found.groupBy("key", "mark").agg(F.collect_set(F.struct("start", "mask")).alias("cuts"))
+
+
+def _kept_words(texts: pa.Array, cuts: pa.Array, window: int) -> Iterator[tuple[int, int, bytes]]:
+    """(words, kept words, kept words joined by a space) of each text."""
+    for at, (words, first, count, chosen, _) in enumerate(_anchors(texts, window)):
+        keep = np.ones(count, dtype=bool)
+        if cuts[at].is_valid:
+            lasts = np.append(np.flatnonzero(np.diff(chosen)) + 1, len(chosen))
+            for cut in cuts[at].as_py():
+                start, mask = cut["start"], cut["mask"]
+                size = int(lasts[np.searchsorted(lasts, start, side="right")]) - start
+                for shift in range(size):
+                    if mask >> shift & 1:
+                        keep[start + shift : start + shift + window] = False
+        rest = np.flatnonzero(keep) + first
+        yield count, len(rest), b" ".join([words.data[words.starts[w] : words.ends[w]].tobytes() for w in rest.tolist()])
+
+
 def substring_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW
 ) -> DataFrame:
-    """Remove every word covered by a window of 35 words whose words also start anywhere else.
+    """Find every word covered by a window of 35 words whose words also start anywhere else.
 
     1. Each window has an anchor, its 12-gram of the smallest hash, so equal
        windows have equal anchors.  Windows whose anchor occurs once are unique.
@@ -307,58 +341,51 @@ def substring_dedup(
     4. The marks are joined back to the documents.
 
     Windows are judged on the input.  Returns one row per input row: ``doc_id,
-    n_words, n_removed, kept_sha256``, and with ``with_text`` ``kept_text`` (the
-    text as it was where nothing is removed, null for null; else the kept words
-    joined by one space).  Words are compared unchanged.  Texts of fewer than 35
-    words lose nothing; null counts as no words.  Repeated rows are documents of
-    their own, so they lose all their windows.  Other columns are ignored; an
-    empty table gives an empty result.
+    n_words, n_removed, kept_sha256`` (of the kept words joined by one space).
+    Words are compared unchanged.  Texts of fewer than 35 words lose nothing;
+    null counts as no words.  Repeated rows are documents of their own, so they
+    lose all their windows.  Other columns are ignored; an empty table gives an
+    empty result.
     """
-    if not ANCHOR_WORDS <= window <= ANCHOR_WORDS + 50:
-        raise ValueError("the window must have 12 to 62 words")
-    text = F.col(text_col).cast("string")
-    keyed = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID).cast("long")).alias("key"),
-        F.hash(text).alias("mark"),
-        text.alias("text"),
-    )
-    removed = repeated_segments(keyed, window).groupBy("key", "mark").agg(
-        F.collect_set(F.struct("start", "mask")).alias("cuts")
-    )
-    fields = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
+    keyed = docs.select(*[column.alias(name) for name, column in _keyed(id_col, text_col).items()])
+    fields = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     names = [f.split()[0] for f in fields.split(", ")]
 
-    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, gone, digests, kept_texts = [], [], [], []
-            texts, cuts = batch.column("text"), batch.column("cuts")
-            for at, (words, first, count, chosen, _) in enumerate(_anchors(texts, window)):
-                keep = np.ones(count, dtype=bool)
-                if cuts[at].is_valid:
-                    lasts = np.append(np.flatnonzero(np.diff(chosen)) + 1, len(chosen))
-                    for cut in cuts[at].as_py():
-                        start, mask = cut["start"], cut["mask"]
-                        size = int(lasts[np.searchsorted(lasts, start, side="right")]) - start
-                        for shift in range(size):
-                            if mask >> shift & 1:
-                                keep[start + shift : start + shift + window] = False
-                rest = np.flatnonzero(keep) + first
-                kept = b" ".join([words.data[words.starts[w] : words.ends[w]].tobytes() for w in rest.tolist()])
+            counts, gone, digests = [], [], []
+            for count, kept, words in _kept_words(batch.column("text"), batch.column("cuts"), window):
                 counts.append(count)
-                gone.append(count - len(rest))
-                digests.append(hashlib.sha256(kept).hexdigest())
-                if with_text:
-                    kept_texts.append(texts[at].as_py() if len(rest) == count else kept.decode())
-            ids = batch.column("key")
-            ids = _null_ids(ids)
-            columns = [ids, pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())]
-            columns += [pa.array(kept_texts, pa.string())] if with_text else []
+                gone.append(count - kept)
+                digests.append(hashlib.sha256(words).hexdigest())
+            ids = batch.column("key").to_numpy()
+            columns = [pa.array(ids, pa.int64(), mask=ids == _NO_ID), pa.array(counts, pa.int64())]
+            columns += [pa.array(gone, pa.int64()), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return keyed.join(removed, ["key", "mark"], "left").mapInArrow(rebuild, fields)
+    return keyed.join(_cuts(keyed, window), ["key", "mark"], "left").mapInArrow(digest, fields)
 
 
-def _null_ids(ids: pa.Array) -> pa.Array:
-    """Ids with the stand-in for null turned back."""
-    values = ids.to_numpy()
-    return pa.array(values, pa.int64(), mask=values == _NO_ID)
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """``docs`` without the words that :func:`substring_dedup` finds.
+
+    A text that loses words becomes its kept words joined by one space; all other
+    texts and columns stay as they are, and no row goes.
+    """
+    columns = _keyed(id_col, text_col)
+    own = {"key": "__callsift_key", "mark": "__callsift_mark"}
+    wide = docs.withColumns({own[name]: columns[name] for name in own})
+    cuts = _cuts(docs.select(*[column.alias(name) for name, column in columns.items()]), window)
+    joined = wide.join(cuts.withColumnsRenamed({**own, "cuts": "__callsift_cuts"}), list(own.values()), "left")
+    at, names = docs.columns.index(text_col), docs.columns
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).cast(pa.string())
+            found = _kept_words(texts, batch.column(len(names)), window)
+            new = [t.as_py() if kept == count else words.decode() for t, (count, kept, words) in zip(texts, found, strict=True)]
+            out = batch.columns[: len(names)]
+            out[at] = pa.array(new, pa.string())
+            yield pa.RecordBatch.from_arrays(out, names=names)
+
+    return joined.select(*[F.col(f"`{n}`") for n in names], "__callsift_cuts").mapInArrow(rewrite, docs.schema)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callsift.plans.scratch import scratch_path
@@ -17,6 +18,30 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+# Where :func:`stored` notes the tables it writes, innermost last; see :func:`noting_tables`.
+_notes: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def noting_tables(notes: list[tuple[SparkSession, str]]) -> Iterator[None]:
+    """Note the tables that are written inside in ``notes``, for :func:`delete_tables`."""
+    _notes.append(notes)
+    try:
+        yield
+    finally:
+        _notes.pop()
+
+
+def delete_tables(notes: list[tuple[SparkSession, str]]) -> None:
+    """Delete the noted tables; call it when the results made from them are written."""
+    while notes:
+        spark, path = notes.pop()
+        if spark.sparkContext._jsc is None:  # a stopped session
+            continue
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
@@ -24,6 +49,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     nothing: later stages read the files again.
     """
     path = scratch_path(df.sparkSession, label)
+    if _notes:
+        _notes[-1].append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
