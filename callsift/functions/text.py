@@ -72,14 +72,22 @@ def float_text(number: Column) -> Column:
     )
 
 
+def _group(name: str) -> str:
+    """A group name that Java accepts: letters and digits only."""
+    return name.replace("_", "U95") if "_" in name else name
+
+
 def java_pattern(pattern: str) -> str:
     """A Python-style pattern as a case-insensitive Java regex.
 
     Flags: Unicode classes, and only ``\\n`` as a line end, as Python has it.
     """
-    translated = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
-    translated = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", translated)
-    return "(?idU)" + re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", translated)
+    translated = re.sub(r"(?<!\\)((?:\\\\)*)\(\?#[^)]*\)", r"\1", pattern)
+    translated = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{_group(m[1])}>", translated)
+    translated = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\k<{_group(m[1])}>", translated)
+    # Unicode classes and letters only where the pattern has any: they cost time.
+    wide = re.search(r"\\[wWsSdDbB]", translated) or not translated.isascii()
+    return ("(?idU)" if wide else "(?id)") + re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", translated)
 
 
 # Control characters that a replacement may write as escapes.
@@ -91,7 +99,8 @@ def java_replacement(replacement: str) -> str:
 
     def translate(token: re.Match) -> str:
         if token["group"]:
-            return f"${token['group']}" if token["group"].isdigit() else f"${{{token['group']}}}"
+            name = token["group"]
+            return f"${name}" if name.isdigit() else f"${{{_group(name)}}}"
         if token["number"]:
             return f"${token['number']}"
         if token["escape"]:

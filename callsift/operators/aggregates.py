@@ -12,6 +12,8 @@ from callsift.functions.keys import named_key, status_text
 from callsift.plans.ordering import first_rows, input_order
 
 ENDPOINT = ("method", "path")
+# Column of a pivot for values that have none of their own.
+OTHER = "other"
 
 
 def _errors() -> Column:
@@ -26,9 +28,10 @@ def endpoint_stats(df: DataFrame, order_cols: Sequence[str] | None = None) -> Da
     """Per (method, path): requests, durations, errors (status from 400), rates.
 
     The average divides by all requests, also those without a duration.
-    ``first_seen`` is the leading input-order column, used to break ties.
+    ``first_seen`` is the position of the first request (a struct of the
+    input-order columns), used to break ties.
     """
-    lead = input_order(df, order_cols)[0]
+    position = F.struct(*input_order(df, order_cols))
     total = F.coalesce(F.sum("duration_ms"), F.lit(0.0))
     return df.groupBy(*ENDPOINT).agg(
         _count().alias("requests"),
@@ -36,7 +39,7 @@ def endpoint_stats(df: DataFrame, order_cols: Sequence[str] | None = None) -> Da
         (total / _count()).alias("avg_duration_ms"),
         _errors().alias("errors"),
         (_errors() / _count()).alias("error_rate"),
-        F.min(lead).alias("first_seen"),
+        F.min(position).alias("first_seen"),
     )
 
 
@@ -86,8 +89,8 @@ def status_counts(df: DataFrame) -> DataFrame:
 
 def top_paths(df: DataFrame, n: int = 5, order_cols: Sequence[str] | None = None) -> DataFrame:
     """The ``n`` most frequent paths; the one seen first wins a tie."""
-    lead = input_order(df, order_cols)[0]
-    counted = df.groupBy("path").agg(_count().alias("n"), F.min(lead).alias("first_seen"))
+    position = F.struct(*input_order(df, order_cols))
+    counted = df.groupBy("path").agg(_count().alias("n"), F.min(position).alias("first_seen"))
     return first_rows(counted, [F.col("n").desc(), "first_seen", "path"], n).drop("first_seen")
 
 
@@ -129,10 +132,15 @@ def pivot(
 ) -> DataFrame:
     """Frequency table in wide form: sorted rows, one sorted column per value, 0 when absent.
 
-    ``values`` fixes the columns; without it Spark first lists the distinct ones.
+    ``values`` fixes the columns; requests with any other value, or none, count
+    in a last column ``other``.  Without it Spark first lists the distinct ones.
     """
     counted = pivot_long(df, row_by, col_by)
-    wide = counted.groupBy("row").pivot("col", sorted(values) if values else None).agg(F.sum("n"))
+    if values:
+        listed = F.when(F.col("col").isin(list(values)), F.col("col")).otherwise(F.lit(OTHER))
+        counted = counted.withColumn("col", listed)
+    columns = [*sorted(set(values) - {OTHER}), OTHER] if values else None
+    wide = counted.groupBy("row").pivot("col", columns).agg(F.sum("n"))
     return wide.na.fill(0).orderBy("row")
 
 

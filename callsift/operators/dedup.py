@@ -29,25 +29,20 @@ def dedup_unique(df: DataFrame, order_cols: Sequence[str] | None = None) -> Data
 def dedup_duplicates(df: DataFrame, order_cols: Sequence[str] | None = None) -> DataFrame:
     """Every request but the first of its fingerprint; any number of copies is fine.
 
-    Each request is compared with the first position of its group, which partial
-    aggregates find.  Where several rows share that very position (copies of one
-    record), exactly one of them stays.
+    Each request is compared with the first position of its group, found by one
+    partial aggregate together with the number of rows at it.  Where several
+    rows share that very position (copies of one record), exactly one stays.
     """
     order = input_order(df, order_cols)
     keyed = df.withColumn("_fp", _short_fingerprint())
-    positions = keyed.groupBy("_fp", *order).agg(F.count("*").alias("_here"))
-    groups = (
-        positions.groupBy("_fp")
-        .agg(F.min(F.struct(*order, "_here")).alias("_first"), F.sum("_here").alias("_rows"))
-        .where(F.col("_rows") > 1)
-    )
+    here = F.struct(*order)
+    places = keyed.groupBy("_fp").agg(F.min(here).alias("_first"), F.count("*").alias("_rows"))
+    groups = places.where(F.col("_rows") > 1)
     placed = join_many_to_one(keyed, groups, ["_fp"], rows="_rows")
-    here, first = F.struct(*order), F.struct(*[F.col(f"_first.{c}").alias(c) for c in order])
-    later = placed.where(here > first)
+    later = placed.where(here > F.col("_first"))
     # No row comes before the first; "not later" rather than "equal" leaves the join keys
     # as they are, so that both uses share one shuffle of the rows.
-    shared = placed.where(~(here > first) & (F.col("_first._here") > 1))
-    extra = all_but_one(shared, ["_fp"])
+    extra = all_but_one(placed.where(~(here > F.col("_first"))), ["_fp"])
     return later.select(*df.columns).unionByName(extra.select(*df.columns))
 
 

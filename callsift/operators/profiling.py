@@ -49,7 +49,9 @@ def latency_profile(
         return _approximate(timed, by, percentiles)
     # Monotone in _v, so bins keep the order of the values.  Both uses of the counts
     # below need a bin, and the common filter lets them share one shuffle.
-    bin_of = F.floor(F.signum("_v") * F.log1p(F.abs("_v")) * _BINS_PER_E)
+    bin_of = F.when(F.isnan("_v"), F.lit((1 << 63) - 1)).otherwise(
+        F.floor(F.signum("_v") * F.log1p(F.abs("_v")) * _BINS_PER_E)
+    )
     binned = timed.withColumn("_bin", bin_of).where(F.col("_bin").isNotNull())
     values = binned.groupBy(*by, "_bin", "_v").agg(F.count("*").alias("_n"))
     bins = values.groupBy(*by, "_bin").agg(

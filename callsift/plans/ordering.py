@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callsift.plans.skew import join_many_to_one
+from callsift.plans.skew import content_hash, join_many_to_one
 
 # Rows per block when a global neighbour is looked up inside blocks.
 BLOCK_ROWS = 100_000
@@ -18,14 +18,14 @@ TOP_K_ROWS = 10_000
 
 
 def input_order(df: DataFrame, order_cols: Sequence[str] | None = None) -> list[str]:
-    """Columns that stand for the position in the log.
+    """Columns that stand for the position in the log: ``seq``, then ``timestamp`` and ``id``.
 
-    ``seq`` when the log has one, else ``timestamp, id``.  They should identify
-    a row; among rows equal in all of them, first and last are arbitrary.
+    A captured log has a ``seq`` column of nulls, so it is ordered by time and
+    id.  Among rows equal in all of them, first and last are arbitrary.
     """
     if order_cols:
         return list(order_cols)
-    return ["seq"] if "seq" in df.columns else ["timestamp", "id"]
+    return [c for c in ("seq", "timestamp", "id") if c in df.columns]
 
 
 def time_order(df: DataFrame, order_cols: Sequence[str] | None = None) -> list[str]:
@@ -41,12 +41,17 @@ def with_row_index(df: DataFrame, order: Sequence[Column | str], name: str = "ro
     to the tasks however the keys are spread; the index is then attached inside
     the JVM from the row counts of the ranges.  No window over all rows.
     Counting the ranges re-reads the shuffle; it does not cache the sorted rows
-    unless the session asks for that.
+    unless the session asks for that.  The session's setting is left as it was.
     """
     conf = df.sparkSession.conf
-    if conf.get(INDEX_CACHE, None) is None:
+    given = conf.get(INDEX_CACHE, None)
+    if given is None:
         conf.set(INDEX_CACHE, '"NONE"')
-    return df.orderBy(*order).pandas_api().to_spark(index_col=name)
+    try:
+        return df.orderBy(*order).pandas_api().to_spark(index_col=name)
+    finally:
+        if given is None:
+            conf.unset(INDEX_CACHE)
 
 
 def first_rows(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
@@ -104,15 +109,6 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return first_per_key(df, keys, [F.col(c).desc() for c in order])
 
 
-def _content_hash(df: DataFrame) -> Column:
-    """A hash of the whole row; maps enter as sorted entries."""
-    parts = [
-        F.sort_array(F.map_entries(f.name)) if f.dataType.typeName() == "map" else F.col(f.name)
-        for f in df.schema
-    ]
-    return F.xxhash64(*parts)
-
-
 def all_but_one(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All rows except one of each key, the one with the smallest content hash per part.
 
@@ -121,7 +117,7 @@ def all_but_one(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     key stay spread over as many groups as there are input partitions.  Ordering
     by content makes a re-run task choose alike; equal rows are interchangeable.
     """
-    parts = df.withColumn("_hash", _content_hash(df)).withColumn("_part", F.spark_partition_id())
+    parts = df.withColumn("_hash", content_hash(df)).withColumn("_part", F.spark_partition_id())
     local = Window.partitionBy(*keys, "_part").orderBy("_hash")
     led = parts.withColumn("_local", F.row_number().over(local)).withColumn(
         "_heat", F.when(F.col("_local") == 1, -1).otherwise(F.col("_part"))

@@ -38,21 +38,21 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def _quoted_lines(headers: Column, before: str, after: str) -> Column:
-    """Array with one text per header, in map order."""
+    """Array with one text per header, in map order; a null value is empty."""
     return F.transform(
         F.map_entries(headers),
-        lambda e: F.concat(F.lit(before), e["key"], F.lit(": "), e["value"], F.lit(after)),
+        lambda e: F.concat(F.lit(before), e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("")), F.lit(after)),
     )
 
 
 def curl_commands(df: DataFrame) -> DataFrame:
-    """(id, command): an equivalent curl call of each request."""
+    """(id, command): an equivalent curl call of each request (fixed texts)."""
     host = header(F.col("request_headers"), "Host", "localhost")
     query = F.when(has_text(F.col("query_string")), F.concat(F.lit("?"), "query_string"))
-    url = F.concat(F.lit("  'http://"), host, F.col("path"), F.coalesce(query, F.lit("")), F.lit("'"))
+    url = F.concat(F.lit("  'http://"), host, F.coalesce("path", F.lit("")), F.coalesce(query, F.lit("")), F.lit("'"))
     body = F.replace(F.col("request_body"), F.lit("'"), F.lit("'\\''"))
     data = F.when(has_text(F.col("request_body")), F.concat(F.lit("  -d '"), body, F.lit("'")))
-    first = F.concat(F.lit("curl -X "), F.col("method"))
+    first = F.concat(F.lit("curl -X "), F.coalesce("method", F.lit("GET")))
     parts = F.concat(
         F.array(first),
         _quoted_lines(F.col("request_headers"), "  -H '", "'"),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime, timezone
+from functools import reduce
+from operator import or_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,10 +31,15 @@ DAY = "day"
 
 
 def _line_schema() -> T.StructType:
-    """Every accepted name; times as text because they are numbers or ISO-8601."""
+    """Every accepted name; times as text because they are numbers or ISO-8601.
+
+    Whole numbers are read as doubles, since writers may put ``200.0``.
+    """
     fields = [T.StructField(SECONDS_ALIAS, T.DoubleType())]
     for target in REQUEST_SCHEMA:
         data_type = T.StringType() if target.name == "timestamp" else target.dataType
+        if isinstance(data_type, T.IntegerType):
+            data_type = T.DoubleType()
         fields += [T.StructField(name, data_type) for name in _NAMES[target.name]]
     return T.StructType(fields)
 
@@ -50,8 +58,9 @@ def read_log(
     ``since`` (inclusive) and ``until`` (exclusive) bound the timestamp; on a
     Parquet log partitioned by day they also select the days that are read.
 
-    JSON Lines: blank lines are skipped.  ``FAILFAST`` raises on a malformed
-    line; with ``strict`` also on unknown or missing fields of any line.
+    JSON Lines: blank lines are skipped.  ``FAILFAST`` raises on a line that is
+    not exactly one record, has a value of a wrong type or a null id, also when
+    rows are only counted; with ``strict`` also on unknown or missing fields.
     ``PERMISSIVE`` keeps such lines in ``_corrupt_record``, other columns null.
     """
     if format not in ("json", "parquet"):
@@ -88,19 +97,31 @@ def parse_lines(lines: DataFrame, strict: bool = True, mode: str = "FAILFAST") -
     """Canonical requests from a DataFrame (or stream) of JSON lines in ``value``."""
     if mode not in ("FAILFAST", "PERMISSIVE"):
         raise ValueError(f"mode must be 'FAILFAST' or 'PERMISSIVE', got '{mode}'")
-    problem, record = _problem(strict), F.from_json("value", _line_schema())
-    if mode == "FAILFAST":
-        record = F.when(problem.isNotNull(), F.raise_error(problem)).otherwise(record)
-    else:
-        record = F.when(problem.isNull(), record)
-    parsed = lines.where(F.trim("value") != "").select(
-        record.alias("r"), F.when(problem.isNotNull(), F.col("value")).alias(CORRUPT)
+    # In brackets the line is an array, and whatever follows its record is an error.
+    whole = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<map<string,string>>")
+    read = lines.where(F.trim("value") != "").select(
+        "value", F.when(F.size(whole) == 1, F.get(whole, F.lit(0))).alias("f"), F.from_json("value", _line_schema()).alias("r")
     )
-    merged = parsed.select(*[_any_name(f.name).alias(f.name) for f in REQUEST_SCHEMA], CORRUPT)
+    judged = read.select("value", "r", _problem(strict).alias("p"))
+    if mode == "FAILFAST":
+        # A filter runs even where no column is asked for.
+        judged = judged.where(_raised())
+    record = F.when(F.col("p").isNull(), F.col("r"))
+    parsed = judged.select(record.alias("r"), F.when(F.col("p").isNotNull(), F.col("value")).alias(CORRUPT))
+    merged = parsed.select(*[_any_name(f.name).cast(_kind(f)).alias(f.name) for f in REQUEST_SCHEMA], CORRUPT)
     columns = canonical_columns(merged)
     return merged.select(*columns) if mode == "FAILFAST" else merged.select(*columns, CORRUPT)
 
 
+def _raised() -> Column:
+    """True for a good line; the error of a bad one."""
+    return F.when(F.col("p").isNull(), F.lit(True)).otherwise(F.raise_error(F.col("p")).cast("boolean"))
+
+
+def _kind(field: T.StructField) -> T.DataType:
+    return T.StringType() if field.name == "timestamp" else field.dataType
+
+
 def _any_name(name: str) -> Column:
     """The value of a canonical column under whichever accepted name the line has."""
     values = [F.col(f"r.{n}") for n in _NAMES[name]]
@@ -110,11 +131,29 @@ def _any_name(name: str) -> Column:
 
 
 def _problem(strict: bool) -> Column:
-    """What is wrong with a line, null when nothing is."""
-    keys = F.json_object_keys("value")
-    malformed = F.when(keys.isNull(), F.concat(F.lit("malformed record: "), F.col("value")))
+    """What is wrong with a line, null when nothing is.
+
+    ``f`` holds the line's fields as text (null if the line is not exactly one
+    record), ``r`` the typed ones.
+    """
+
+    def listed(label: str, names: Column) -> Column:
+        where = F.concat(F.lit(f"{label} field(s) "), F.array_join(names, ", "), F.lit(" in record: "))
+        return F.when(F.size(names) > 0, F.concat(where, F.col("value")))
+
+    def given(name: str) -> Column:
+        return F.try_element_at("f", F.lit(name)).isNotNull()
+
+    malformed = F.when(F.col("f").isNull(), F.concat(F.lit("malformed record: "), F.col("value")))
+    wrong = [F.when(given(n) & F.col(f"r.{n}").isNull(), F.lit(n)) for n in _ACCEPTED]
+    whole = F.col("r.response_status")
+    wrong.append(F.when(whole != F.floor(whole), F.lit("response_status")))
+    keys = F.map_keys("f")
+    nameless = F.arrays_overlap(keys, F.array(*[F.lit(n) for n in _NAMES["id"]])) & ~_any_given(_NAMES["id"], given)
+    wrong.append(F.when(nameless, F.lit("id")))
+    mistyped = listed("wrong type in", F.array_compact(F.array(*wrong)))
     if not strict:
-        return malformed
+        return F.coalesce(malformed, mistyped)
     unknown = F.array_except(keys, F.array(*[F.lit(n) for n in _ACCEPTED]))
     groups = {n: _NAMES[n] for n in _NAMES if n not in OPTIONAL} | {"path": ["path", "url"]}
     groups["duration_ms"] = [*groups["duration_ms"], SECONDS_ALIAS]
@@ -126,12 +165,11 @@ def _problem(strict: bool) -> Column:
             ]
         )
     )
+    return F.coalesce(malformed, listed("unknown", unknown), listed("missing", missing), mistyped)
 
-    def listed(label: str, names: Column) -> Column:
-        where = F.concat(F.lit(f"{label} field(s) "), F.array_join(names, ", "), F.lit(" in record: "))
-        return F.when(F.size(names) > 0, F.concat(where, F.col("value")))
 
-    return F.coalesce(malformed, listed("unknown", unknown), listed("missing", missing))
+def _any_given(names: list[str], given: Callable[[str], Column]) -> Column:
+    return reduce(or_, [given(n) for n in names])
 
 
 def append_log(df: DataFrame, path: str, format: str = "json", daily: bool = False) -> None:

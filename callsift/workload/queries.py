@@ -153,6 +153,99 @@ def snapshot_list(spark, sf_dir):
     return snapshots.snapshot_list(tables.snapshots(spark, sf_dir))
 
 
+# --------------------------------------------------------------------------- logs without seq
+
+_CAPTURED = """
+select * replace (row_number() over (order by timestamp, id) as seq) from requests"""
+
+
+def _captured(spark, sf_dir):
+    """The requests as a capture writes them, without ``seq``, read back from JSON Lines."""
+    path = scratch_path(spark, "captured")
+    log.append_log(tables.requests(spark, sf_dir).drop("seq"), path)
+    return log.read_log(spark, path)
+
+
+def _on_captured(body: str, **more: str) -> str:
+    return with_tables("requests", body=body, captured=_CAPTURED, **more)
+
+
+@_register(
+    _on_captured("""
+select id from captured qualify row_number() over (
+  partition by method, path, query_string, host, correlation, content_type, request_body order by seq) = 1""")
+)
+def dedup_unsequenced(spark, sf_dir):
+    return dedup.dedup_unique(_captured(spark, sf_dir)).select("id")
+
+
+@_register(_on_captured("select id, path from captured order by seq limit 50 offset 300"))
+def page_unsequenced(spark, sf_dir):
+    return paging.paginate(_captured(spark, sf_dir), 7, 50).select("id", "path")
+
+
+@_register(
+    _on_captured(
+        """
+select cast(ceil(least(count(*) filter (ok), 120) / 25) as bigint) as batches,
+  least(count(*) filter (ok), 120) as records,
+  count(*) filter (not ok and seq < coalesce((select seq from accepted where n = 121),
+    (select max(seq) + 1 from captured))) as filtered_out
+from (select *, response_status >= 400 as ok from captured)""",
+        accepted="""
+select seq, row_number() over (order by seq) as n from captured where response_status >= 400""",
+    )
+)
+def batch_stats_unsequenced(spark, sf_dir):
+    return timeseries.batch_stats(
+        _captured(spark, sf_dir), 25, max_records=120, predicate="response_status >= 400"
+    )
+
+
+@_register(
+    _on_captured("""
+select id, row_number() over (order by duration_ms desc, seq) - 1 as position from captured""")
+)
+def sort_unsequenced(spark, sf_dir):
+    return paging.ranked(_captured(spark, sf_dir), "duration_ms", "desc").select("id", "position")
+
+
+@_register(
+    _on_captured("""
+select path, n from (select path, count(*) as n, min(seq) as first_seen from captured group by path)
+order by n desc, first_seen limit 5""")
+)
+def top_paths_unsequenced(spark, sf_dir):
+    return aggregates.top_paths(_captured(spark, sf_dir))
+
+
+@_register(
+    _on_captured("""
+select kind, count(*) as n from (
+  select case seq % 5 when 1 then 'trailing' when 2 then 'two' when 3 then 'type' when 4 then 'cut' else 'good' end
+    as kind from (select event_id as seq from events)) group by kind""")
+)
+def bad_lines(spark, sf_dir):
+    """Lines of five kinds, of which the reader sets four aside."""
+    good = tables.requests(spark, sf_dir)
+    line = F.to_json(F.struct(*good.columns), {"ignoreNullFields": "false"})
+    kind = F.col("seq") % 5
+    bad = (
+        F.when(kind == 1, F.concat(line, F.lit(" garbage")))
+        .when(kind == 2, F.concat(line, line))
+        .when(kind == 3, F.regexp_replace(line, '"response_status":[0-9]+', '"response_status":"oops"'))
+        .when(kind == 4, F.substring(line, 1, 20))
+        .otherwise(line)
+    )
+    read = log.parse_lines(good.select(bad.alias("value")), mode="PERMISSIVE")
+    raw = F.col(log.CORRUPT)
+    found = (
+        F.when(raw.isNull(), "good").when(raw.endswith("garbage"), "trailing").when(raw.contains("}{"), "two")
+        .when(raw.contains("oops"), "type").otherwise("cut")
+    )
+    return read.groupBy(found.alias("kind")).agg(F.count("*").alias("n"))
+
+
 # --------------------------------------------------------------------------- filters
 
 
@@ -594,7 +687,7 @@ from requests group by method, path"""
 def _endpoints(df: DataFrame) -> DataFrame:
     return df.select(
         "method", "path", "requests", _rounded("total_duration_ms", 4), _rounded("avg_duration_ms", 4),
-        "errors", _rounded("error_rate"), "first_seen",
+        "errors", _rounded("error_rate"), F.col("first_seen.seq").alias("first_seen"),
     )
 
 
@@ -741,11 +834,18 @@ def latency_histogram(spark, sf_dir):
 select upper(method) as "row", count(*) filter (response_status // 100 = 2) as "2xx",
   count(*) filter (response_status // 100 = 3) as "3xx",
   count(*) filter (response_status // 100 = 4) as "4xx",
-  count(*) filter (response_status // 100 = 5) as "5xx" from requests group by 1""")
+  count(*) filter (response_status // 100 = 5) as "5xx",
+  count(*) filter (response_status is null or response_status // 100 not between 2 and 5) as other
+from (select method, case when k % 6 = 0 then null when k % 6 = 1 then 101 else response_status end
+    as response_status from (select *, seq % 97 as k from requests))
+group by 1""")
 )
 def pivot_method_status(spark, sf_dir):
     classes = ["2xx", "3xx", "4xx", "5xx"]
-    return aggregates.pivot(tables.requests(spark, sf_dir), values=classes)
+    odd = F.col("seq") % 97 % 6
+    status = F.when(odd == 1, F.lit(101)).when(odd != 0, F.col("response_status"))
+    some = tables.requests(spark, sf_dir).withColumn("response_status", status)
+    return aggregates.pivot(some, values=classes)
 
 
 @_register(

@@ -34,8 +34,12 @@ from (
     cast(case when event_type = 'error' then 500 + {_K} % 4 when {_K} % 10 = 0 then 404
       when {_K} % 10 = 1 then 301 else 200 end as int) as response_status
   from events)""",
-    "baseline": f"select * from requests where timestamp < {MIDDLE} and path <> '/api/signup/0'",
-    "current_log": f"select * from requests where timestamp >= {MIDDLE} and path <> '/api/view/1'",
+    "baseline": f"""
+select * replace (case when path = '/api/signup/0' then '/api/register/0' else path end as path)
+from requests where timestamp < {MIDDLE}""",
+    "current_log": f"""
+select * replace (case when path = '/api/view/1' then '/api/show/1' else path end as path)
+from requests where timestamp >= {MIDDLE}""",
     "overlapping": f"""
 select 0 as source_index, * from requests where timestamp < {MIDDLE}
 union all select 1, * from requests where timestamp >= {EARLY} and timestamp < {LATE}

@@ -71,15 +71,20 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first half of the capture, before one endpoint existed."""
-    r = requests(spark, sf_dir)
-    return r.where((F.col("timestamp") < MIDDLE) & (F.col("path") != "/api/signup/0"))
+    """The first half of the capture, when one endpoint had another path."""
+    r = requests(spark, sf_dir).where(F.col("timestamp") < MIDDLE)
+    return _moved(r, "/api/signup/0", "/api/register/0")
 
 
 def current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second half, after one endpoint was removed."""
-    r = requests(spark, sf_dir)
-    return r.where((F.col("timestamp") >= MIDDLE) & (F.col("path") != "/api/view/1"))
+    """The second half, after another endpoint moved."""
+    r = requests(spark, sf_dir).where(F.col("timestamp") >= MIDDLE)
+    return _moved(r, "/api/view/1", "/api/show/1")
+
+
+def _moved(requests: DataFrame, old: str, new: str) -> DataFrame:
+    path = F.col("path")
+    return requests.withColumn("path", F.when(path == old, F.lit(new)).otherwise(path))
 
 
 def overlapping(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
