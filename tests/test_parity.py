@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from callsift.workload.queries import ORACLES, QUERIES
 from tests.parity import connect, difference
 
 SF_DIR = "/root/testdata/sf0.001"
-ORACLES = oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -17,12 +17,12 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_oracle(spark, duck, name):
-    problem = difference(spark, duck, queries()[name], ORACLES[name], SF_DIR)
+    problem = difference(spark, duck, QUERIES[name], ORACLES[name], SF_DIR)
     assert problem in (None, "no rows on either side")
 
 
