@@ -15,7 +15,7 @@ SLOT_ROWS = 2048
 
 _DIMENSIONS = ("size", "tokens", "rows")
 # Bytes lead, since the law is theirs.
-WEIGHTS = (10.0, 1.0, 1.0)
+WEIGHTS = (3.0, 1.0, 1.0)
 
 
 def place(items: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS) -> np.ndarray:
@@ -24,7 +24,9 @@ def place(items: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS)
     Items come in decreasing order of their largest share; each goes where the
     dot product of its shares with what is left of the shard's capacity is
     highest, to the first such shard on a tie.  ``weights`` are the dimensions'
-    parts in the product.
+    parts in the product.  Shards without room for the item in the first
+    dimension are passed over, as long as one has room; else the one with most
+    room there takes it.
     """
     totals = items.sum(axis=0, dtype=float)
     shares = items / np.where(totals > 0, totals, 1)
@@ -32,7 +34,10 @@ def place(items: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS)
     left = np.full((shards, items.shape[1]), 1.0 / shards)
     chosen = np.zeros(len(items), dtype=np.int64)
     for at in order:
-        best = int(np.argmax(left @ (shares[at] * weights)))
+        room = left[:, 0]
+        fits = room >= shares[at, 0]
+        fitness = np.where(fits, left @ (shares[at] * weights), -np.inf) if fits.any() else room
+        best = int(np.argmax(fitness))
         chosen[at] = best
         left[best] -= shares[at]
     return chosen
