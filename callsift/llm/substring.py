@@ -196,7 +196,7 @@ def repeated_segments(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"key": [], "mark": [], "start": [], "anchor": [], "body": []}
+            out = {"key": [], "mark": [], "start": [], "size": [], "anchor": [], "body": []}
             keys, marks, lists = (batch.column(c) for c in ("key", "mark", "places"))
             for at, (words, first, _, chosen, grams) in enumerate(_anchors(batch.column("text"), window)):
                 edges = np.flatnonzero(np.diff(chosen)) + 1
@@ -208,15 +208,16 @@ def repeated_segments(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
                     body = words.data[words.starts[a] : words.ends[b]].tobytes()
                     out["body"].append(b" ".join(body.split()))
                     out["start"].append(start)
+                    out["size"].append(end - start)
                     out["anchor"].append(int(grams[chosen[start]].astype(np.int64)))
                     out["key"].append(keys[at].as_py())
                     out["mark"].append(marks[at].as_py())
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
             columns = [pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=list(out))
 
     read = keyed.join(places, ["key", "mark"])
-    cut = read.mapInArrow(segments, "key long, mark int, start int, anchor long, body binary")
+    cut = read.mapInArrow(segments, "key long, mark int, start int, size int, anchor long, body binary")
     found = stored(cut.withColumn("content", F.xxhash64("body")), "segments")
 
     unique = found.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.first("body").alias("body"))
@@ -285,9 +286,10 @@ def repeated_segments(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     decided = unique.select("anchor", "content", "copies").join(masks, ["anchor", "content"], "left").where(
         "copies > 1 or mask is not null"
     )
+    every = F.expr("shiftleft(1L, size) - 1")
     return (
-        join_many_to_one(found.select("key", "mark", "start", "anchor", "content"), decided, ["anchor", "content"], rows="copies")
-        .select("key", "mark", "start", F.when(F.col("copies") > 1, F.lit(-1)).otherwise(F.col("mask")).alias("mask"))
+        join_many_to_one(found.select("key", "mark", "start", "size", "anchor", "content"), decided, ["anchor", "content"], rows="copies")
+        .select("key", "mark", "start", F.when(F.col("copies") > 1, every).otherwise(F.col("mask")).alias("mask"))
     )
 
 
@@ -311,18 +313,21 @@ def _cuts(keyed: DataFrame, window: int) -> DataFrame:
 
 def _kept_words(texts: pa.Array, cuts: pa.Array, window: int) -> Iterator[tuple[int, int, bytes]]:
     """(words, kept words, kept words joined by a space) of each text."""
-    for at, (words, first, count, chosen, _) in enumerate(_anchors(texts, window)):
-        keep = np.ones(count, dtype=bool)
-        if cuts[at].is_valid:
-            lasts = np.append(np.flatnonzero(np.diff(chosen)) + 1, len(chosen))
-            for cut in cuts[at].as_py():
-                start, mask = cut["start"], cut["mask"]
-                size = int(lasts[np.searchsorted(lasts, start, side="right")]) - start
-                for shift in range(size):
-                    if mask >> shift & 1:
-                        keep[start + shift : start + shift + window] = False
-        rest = np.flatnonzero(keep) + first
-        yield count, len(rest), b" ".join([words.data[words.starts[w] : words.ends[w]].tobytes() for w in rest.tolist()])
+    for base, data, offsets in text_blocks(texts):
+        words = Words(data, offsets)
+        for at in range(len(offsets) - 1):
+            first, count = int(words.first[at]), int(words.first[at + 1] - words.first[at])
+            keep = np.ones(count, dtype=bool)
+            if cuts[base + at].is_valid:
+                for cut in cuts[base + at].as_py():
+                    start, mask = cut["start"], cut["mask"]
+                    while mask:
+                        low = (mask & -mask).bit_length() - 1
+                        keep[start + low : start + low + window] = False
+                        mask &= mask - 1
+            rest = (np.flatnonzero(keep) + first).tolist()
+            kept = b" ".join([data[a:b].tobytes() for a, b in zip(words.starts[rest], words.ends[rest], strict=True)])
+            yield count, len(rest), kept
 
 
 def substring_dedup(
