@@ -243,7 +243,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
     wanted = texts.withColumnRenamed("doc_id", "class_id")
-    read = survivors.join(wanted, ["class_id", "mark"]).select(*_TILE[:-1], "text")
+    # The same join at every size: what is left of the classes grows with the data.
+    read = survivors.hint("merge").join(wanted, ["class_id", "mark"]).select(*_TILE[:-1], "text")
     edges = stored(map_groups(read, ["hub", "i", "j"], _verified, "a long, b long"), "links")
     found = connected_components(edges)
 
