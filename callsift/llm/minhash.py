@@ -22,7 +22,7 @@ BUCKET_BITS, MANTISSA_BITS, BAND_ROWS = 7, 10, 4
 BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // BAND_ROWS
 # Classes, and shingles, that one side of a tile has about.
-TILE_CLASSES, TILE_SHINGLES = 256, 1_000_000
+TILE_CLASSES, TILE_SHINGLES = 128, 500_000
 # Deviations of the estimate below the threshold at which a pair is still verified.
 SIGMAS = 6.0
 # Expected share of equal registers of disjoint sets of equal size, times 2 ** MANTISSA_BITS (fixed value).
