@@ -24,14 +24,22 @@ def _count() -> Column:
     return F.count(F.lit(1))
 
 
+def _first_seen(df: DataFrame, order_cols: Sequence[str] | None) -> Column:
+    """The least value of each column of the input order, as a struct.
+
+    The id, a text, is left out unless asked for: with it Spark would sort
+    before aggregating.  Groups first seen at the same ``seq`` and time tie.
+    """
+    columns = [c for c in input_order(df, order_cols) if order_cols or c != "id"]
+    return F.struct(*[F.min(c).alias(c) for c in columns]).alias("first_seen")
+
+
 def endpoint_stats(df: DataFrame, order_cols: Sequence[str] | None = None) -> DataFrame:
     """Per (method, path): requests, durations, errors (status from 400), rates.
 
     The average divides by all requests, also those without a duration.
-    ``first_seen`` is the position of the first request (a struct of the
-    input-order columns), used to break ties.
+    ``first_seen`` tells the position of the first request, to break ties.
     """
-    position = F.struct(*input_order(df, order_cols))
     total = F.coalesce(F.sum("duration_ms"), F.lit(0.0))
     return df.groupBy(*ENDPOINT).agg(
         _count().alias("requests"),
@@ -39,7 +47,7 @@ def endpoint_stats(df: DataFrame, order_cols: Sequence[str] | None = None) -> Da
         (total / _count()).alias("avg_duration_ms"),
         _errors().alias("errors"),
         (_errors() / _count()).alias("error_rate"),
-        F.min(position).alias("first_seen"),
+        _first_seen(df, order_cols),
     )
 
 
@@ -89,8 +97,7 @@ def status_counts(df: DataFrame) -> DataFrame:
 
 def top_paths(df: DataFrame, n: int = 5, order_cols: Sequence[str] | None = None) -> DataFrame:
     """The ``n`` most frequent paths; the one seen first wins a tie."""
-    position = F.struct(*input_order(df, order_cols))
-    counted = df.groupBy("path").agg(_count().alias("n"), F.min(position).alias("first_seen"))
+    counted = df.groupBy("path").agg(_count().alias("n"), _first_seen(df, order_cols))
     return first_rows(counted, [F.col("n").desc(), "first_seen", "path"], n).drop("first_seen")
 
 

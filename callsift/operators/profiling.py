@@ -13,6 +13,10 @@ PERCENTILES = (50, 90, 99)
 
 # Bins per e-fold of duration when narrowing down a percentile.
 _BINS_PER_E = 4096
+# Bin of NaN, after every other one.
+_NAN_BIN = (1 << 63) - 1
+# Figures of a group that travel with its wanted ranks.
+_FOUND = ("requests", "min_ms", "max_ms", "_total")
 
 
 def bucket_label(duration: Column, boundaries: Sequence[float] = BOUNDARIES_MS) -> Column:
@@ -36,24 +40,33 @@ def latency_profile(
     by: Sequence[str] = (),
     percentiles: Sequence[int] = PERCENTILES,
     approximate: bool = False,
+    accuracy: int = 10_000,
 ) -> DataFrame:
     """Count, min, max, mean and percentiles of durations, overall or per ``by`` columns.
 
-    Percentiles are exact (nearest rank): distinct values are counted, summed
-    into logarithmic bins, and only the bins that hold a wanted rank are
-    searched value by value.  So neither memory nor a single task grows with
-    the number of rows of a group.  ``approximate`` uses Spark's sketch instead.
+    Percentiles are exact (nearest rank): distinct values are counted and summed
+    into logarithmic bins; the bin that holds a wanted rank is searched by parts,
+    and the part value by value.  A part is 1/16,777,216 of an e-fold, so a task
+    gets few values unless durations are finer than seven digits.  NaN counts as
+    larger than every number.  ``approximate`` uses Spark's sketch of the given
+    ``accuracy`` instead.
     """
     timed = df.where(F.col("duration_ms").isNotNull()).select(*by, F.col("duration_ms").alias("_v"))
     if approximate:
-        return _approximate(timed, by, percentiles)
-    # Monotone in _v, so bins keep the order of the values.  Both uses of the counts
-    # below need a bin, and the common filter lets them share one shuffle.
-    bin_of = F.when(F.isnan("_v"), F.lit((1 << 63) - 1)).otherwise(
-        F.floor(F.signum("_v") * F.log1p(F.abs("_v")) * _BINS_PER_E)
+        return _approximate(timed, by, percentiles, accuracy)
+    # Monotone in _v, so bins keep the order of the values; NaN comes after all of them.
+    place = F.signum("_v") * F.log1p(F.abs("_v")) * _BINS_PER_E
+    last = F.isnan("_v")
+    binned = timed.select(
+        *by,
+        "_v",
+        F.when(last, F.lit(_NAN_BIN)).otherwise(F.floor(place)).alias("_bin"),
+        F.when(last, F.lit(0)).otherwise(F.floor((place - F.floor(place)) * _BINS_PER_E)).alias("_part"),
+    )
+    # Both uses of the counts below need a bin, and the common filter lets them share one shuffle.
+    values = (
+        binned.where(F.col("_bin").isNotNull()).groupBy(*by, "_bin", "_part", "_v").agg(F.count("*").alias("_n"))
     )
-    binned = timed.withColumn("_bin", bin_of).where(F.col("_bin").isNotNull())
-    values = binned.groupBy(*by, "_bin", "_v").agg(F.count("*").alias("_n"))
     bins = values.groupBy(*by, "_bin").agg(
         F.sum("_n").alias("_n"),
         F.min("_v").alias("_min"),
@@ -61,14 +74,12 @@ def latency_profile(
         F.sum(F.col("_v") * F.col("_n")).alias("_sum"),
     )
     everything = Window.partitionBy(*by)
-    upto = everything.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     # Bins per group are bounded by the range of durations, not by the number of rows:
     # about 70,000 from 0 to 10 hours.
-    ranked = bins.select(
+    totals = bins.select(
         *by,
         "_bin",
         "_n",
-        F.sum("_n").over(upto).alias("_upto"),
         F.sum("_n").over(everything).alias("requests"),
         F.min("_min").over(everything).alias("min_ms"),
         F.max("_max").over(everything).alias("max_ms"),
@@ -76,22 +87,14 @@ def latency_profile(
     )
     wanted = F.explode(F.array(*[F.lit(p) for p in percentiles])).alias("_p")
     rank = F.greatest(F.ceil(F.col("_p") / F.lit(100.0) * F.col("requests")), F.lit(1))
-    targets = (
-        ranked.select("*", wanted)
-        .withColumn("_rank", rank)
-        .where((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n")))
-        .withColumn("_rank", F.col("_rank") - (F.col("_upto") - F.col("_n")))
-        .drop("_n", "_upto")
-        .withColumnsRenamed({k: f"_t_{k}" for k in by} | {"_bin": "_t_bin"})
-    )
-    same = [values[k].eqNullSafe(targets[f"_t_{k}"]) for k in by]
-    same.append(values["_bin"] == targets["_t_bin"])
-    inside = Window.partitionBy(*by, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    found = (
-        values.join(targets, same)
-        .withColumn("_seen", F.sum("_n").over(inside))
-        .where((F.col("_rank") <= F.col("_seen")) & (F.col("_rank") > F.col("_seen") - F.col("_n")))
+    targets = _holding(totals.select("*", wanted).withColumn("_rank", rank), by, "_bin")
+    # A bin may have very many different values: its parts are searched before them.
+    parts = _inside(values, targets, by, ["_bin"])
+    summed = parts.groupBy(*by, "_p", "_bin", "_part").agg(
+        F.sum("_n").alias("_n"), *[F.first(c).alias(c) for c in ("_rank", *_FOUND)]
     )
+    found = _inside(values, _holding(summed, by, "_part"), by, ["_bin", "_part"])
+    found = _holding(found, by, "_v")
     none = F.lit(0.0)
     return found.groupBy(*by).agg(
         F.coalesce(F.max("requests"), F.lit(0)).alias("requests"),
@@ -105,7 +108,31 @@ def latency_profile(
     )
 
 
-def _approximate(timed: DataFrame, by: Sequence[str], percentiles: Sequence[int]) -> DataFrame:
+def _holding(counted: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """Of each group and percentile, the row in which the count ``_n`` reaches ``_rank``.
+
+    ``_rank`` becomes the rank within that row.
+    """
+    upto = Window.partitionBy(*by, "_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("_upto", F.sum("_n").over(upto))
+    before = F.col("_upto") - F.col("_n")
+    here = placed.where((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > before))
+    return here.withColumn("_rank", F.col("_rank") - before).drop("_upto")
+
+
+def _inside(values: DataFrame, targets: DataFrame, by: Sequence[str], bins: Sequence[str]) -> DataFrame:
+    """The counted values in the bins that hold a wanted rank."""
+    keys = [*by, *bins]
+    renamed = targets.select(
+        *[F.col(k).alias(f"_t_{i}") for i, k in enumerate(keys)], "_p", "_rank", *_FOUND
+    )
+    same = [values[k].eqNullSafe(renamed[f"_t_{i}"]) for i, k in enumerate(keys)]
+    return values.join(renamed, same).drop(*[f"_t_{i}" for i in range(len(keys))])
+
+
+def _approximate(
+    timed: DataFrame, by: Sequence[str], percentiles: Sequence[int], accuracy: int
+) -> DataFrame:
     none = F.lit(0.0)
     return timed.groupBy(*by).agg(
         F.count("*").alias("requests"),
@@ -113,7 +140,7 @@ def _approximate(timed: DataFrame, by: Sequence[str], percentiles: Sequence[int]
         F.coalesce(F.max("_v"), none).alias("max_ms"),
         F.coalesce(F.avg("_v"), none).alias("mean_ms"),
         *[
-            F.coalesce(F.percentile_approx("_v", p / 100.0, 10_000), none).alias(f"p{p}_ms")
+            F.coalesce(F.percentile_approx("_v", p / 100.0, accuracy), none).alias(f"p{p}_ms")
             for p in percentiles
         ],
     )

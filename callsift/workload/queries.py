@@ -213,7 +213,7 @@ def sort_unsequenced(spark, sf_dir):
 @_register(
     _on_captured("""
 select path, n from (select path, count(*) as n, min(seq) as first_seen from captured group by path)
-order by n desc, first_seen limit 5""")
+order by n desc, first_seen, path limit 5""")
 )
 def top_paths_unsequenced(spark, sf_dir):
     return aggregates.top_paths(_captured(spark, sf_dir))

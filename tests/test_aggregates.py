@@ -72,7 +72,7 @@ def test_pivot_fills_gaps_and_sorts(log, values):
     table = ag.pivot(df)
     assert table.columns == ["row", "2xx", "5xx"]
     assert values(table) == [("GET", 1, 1), ("POST", 1, 0)]
-    assert ag.pivot(df, col_by="status", values=["500", "404"]).columns == ["row", "404", "500"]
+    assert ag.pivot(df, col_by="status", values=["500", "404"]).columns == ["row", "404", "500", "other"]
     with pytest.raises(ValueError):
         ag.pivot(df, row_by="nope")
 
@@ -121,3 +121,22 @@ def test_histogram_labels(log, values):
     df = log({"duration_ms": 49.9}, {"duration_ms": 50.0}, {"duration_ms": 5000.0}, {"duration_ms": None})
     assert sorted(values(profiling.latency_histogram(df))) == [("<100ms", 1), ("<50ms", 1), (">=5000ms", 1)]
     assert sorted(values(profiling.latency_histogram(df, [60]))) == [("<60ms", 2), (">=60ms", 1)]
+
+
+def test_profile_of_many_values_in_one_bin_and_nan(spark, values):
+    """Half a million different values within one bin, and NaN above all numbers."""
+    near = spark.range(500_000).select((1000.0 + F.col("id") / 1e7).alias("duration_ms"))
+    row = profiling.latency_profile(near).first()
+    assert (row.requests, row.p50_ms, row.p90_ms, row.p99_ms) == (
+        500_000, 1000.0 + 249_999 / 1e7, 1000.0 + 449_999 / 1e7, 1000.0 + 494_999 / 1e7,
+    )
+    some = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (float("nan"),)], "duration_ms double")
+    row = profiling.latency_profile(some).first()
+    assert (row.p50_ms, str(row.p99_ms), str(row.max_ms)) == (2.0, "nan", "nan")
+
+
+def test_pivot_with_listed_values_counts_every_request(spark):
+    rows = [("GET", 200), ("GET", 101), ("GET", None), ("PUT", None)]
+    df = spark.createDataFrame(rows, "method string, response_status int")
+    found = ag.pivot(df, values=["2xx", "3xx"]).collect()
+    assert [tuple(r) for r in found] == [("GET", 1, 0, 2), ("PUT", 0, 0, 1)]
