@@ -239,9 +239,10 @@ def embedding_duplicates(
     lists = stored(_best(_leaves(points).distinct()), "lists")
     fresh, done = lists, 0
     while True:
-        found = stored(connected_components(lists.where(F.col("sim") >= threshold)), "groups")
-        if done >= LEAST_ROUNDS and (done >= MOST_ROUNDS or _audit(points, found, threshold) >= RECALL):
-            break
+        if done >= LEAST_ROUNDS:
+            found = stored(connected_components(lists.where(F.col("sim") >= threshold)), "groups")
+            if done >= MOST_ROUNDS or _audit(points, found, threshold) >= RECALL:
+                break
         better = _refine(points, lists, fresh).groupBy("a", "b").agg(F.max("sim").alias("sim"))
         both = lists.withColumn("old", F.lit(1)).unionByName(better.withColumn("old", F.lit(0)))
         merged = both.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
