@@ -250,11 +250,13 @@ def embedding_duplicates(
         lists, fresh, done = marked.drop("old"), marked.where("old = 0"), done + 1
 
     counted = _link_counts(points, found, threshold)
-    least = points.join(found, points["cid"] == found["node"]).groupBy("component").agg(F.min("least").alias("component_id"))
+    # Points without a link stay out of the joins by component.
+    grouped = points.join(found, points["cid"] == found["node"])
+    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    named = join_many_to_one(found, least, ["component"], rows="members").select(F.col("node").alias("cid"), "component_id")
     decided = (
         points.select("label", "vec", "cid", "least", "copies")
-        .join(found.withColumnRenamed("node", "cid"), "cid", "left")
-        .join(least, "component", "left").join(counted, "cid", "left")
+        .join(named, "cid", "left").join(counted, "cid", "left")
         .select(
             "label", "vec", "copies",
             F.coalesce("component_id", "least").alias("component_id"),
