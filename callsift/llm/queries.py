@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callsift.llm import license
+from callsift.llm import license, oracles
 from callsift.llm.bpe import encode_decode
 from callsift.llm.embedding import embedding_duplicates
 from callsift.llm.exact import exact_dedup
@@ -15,9 +15,6 @@ from callsift.llm.sharding import shard_documents
 from callsift.llm.substring import substring_dedup
 from callsift.llm.toxicity import classify_toxicity
 
-# Where the tokenizer vocabularies lie on every machine.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-
 QUERIES = {}
 ORACLES = {}
 
@@ -31,23 +28,18 @@ def _query(function):
     return function
 
 
+def vocabulary() -> str:
+    """The byte-level BPE file of the installed public tokenizers, which every machine has."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 @_query
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-ORACLES["op3_exact_dedup"] = r"""
-with t as (
-  select doc_id, length(coalesce(text, '')) as cp,
-    regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') as norm
-  from documents),
-g as (
-  select *, first_value(doc_id) over (partition by norm order by cp desc, doc_id) as keep_id,
-    count(*) over (partition by norm) as group_size
-  from t)
-select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from g"""
-
-
 @_query
 def op2_vector_sharding(spark, sf_dir):
     return shard_documents(_table(spark, sf_dir, "documents"))
@@ -55,7 +47,7 @@ def op2_vector_sharding(spark, sf_dir):
 
 @_query
 def op4_bpe_codec(spark, sf_dir):
-    return encode_decode(_table(spark, sf_dir, "documents"), VOCABULARY)
+    return encode_decode(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 @_query
@@ -63,9 +55,6 @@ def op10_license_scan(spark, sf_dir):
     return license.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
-ORACLES["op10_license_scan"] = license.oracle()
-
-
 @_query
 def op1_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(_table(spark, sf_dir, "documents"))
@@ -94,3 +83,12 @@ def op7_substring_dedup(spark, sf_dir):
 @_query
 def op8_nn_descent(spark, sf_dir):
     return embedding_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+ORACLES.update(
+    op1_minhash_near_dedup=oracles.NEAR_DUPLICATES,
+    op3_exact_dedup=oracles.EXACT_DEDUP,
+    op7_substring_dedup=oracles.SUBSTRING_DEDUP,
+    op8_nn_descent=oracles.EMBEDDING_DUPLICATES,
+    op10_license_scan=license.oracle(),
+)

@@ -14,11 +14,12 @@ from callsift.llm.bpe import encode_decode, load_codec
 from callsift.llm.embedding import embedding_duplicates
 from callsift.llm.packing import Bins, pack, pack_documents
 from callsift.llm.quality import NBSVM, classify_quality, keep_quality
-from callsift.llm.queries import VOCABULARY
+from callsift.llm.queries import vocabulary
 from callsift.llm.toxicity import classify_toxicity, hits
 from tests.llm import brute
 
 SF_DIR = "/root/testdata/sf0.01"
+VOCABULARY = vocabulary()
 CLASHES = ("score", "predicted", "row", "grp", "bin", "piece", "label", "n_words", "held_out", "hits")
 
 
