@@ -27,7 +27,7 @@ from callsift.operators import (
     transforms,
 )
 from callsift.plans.scratch import scratch_path
-from callsift.sources import archive, exports, log, snapshots
+from callsift.sources import archive, exports, log, snapshots, split
 from callsift.streaming import watch
 from callsift.workload import tables
 from callsift.workload.sql import SPACE, on_requests, with_tables
@@ -153,6 +153,37 @@ def snapshot_list(spark, sf_dir):
     return snapshots.snapshot_list(tables.snapshots(spark, sf_dir))
 
 
+# --------------------------------------------------------------------------- round trips
+
+
+@_register(on_requests("select id, seq, path, response_status from requests"))
+def json_export_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "export")
+    exports.write_json(tables.requests(spark, sf_dir), path)
+    return log.read_log(spark, path).select("id", "seq", "path", "response_status")
+
+
+@_register(
+    on_requests("select id, seq, path, response_status, (select count(*) from requests) as archived from requests")
+)
+def archive_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "archive")
+    written = archive.archive(tables.requests(spark, sf_dir), path)
+    read = archive.read_archive(spark, path).select("id", "seq", "path", "response_status")
+    return read.join(archive.archived_ids(spark, path), "id").withColumn("archived", F.lit(written))
+
+
+@_register(
+    on_requests("""
+select lower(method) as bucket_name, method as bucket, count(*) as n from requests group by method""")
+)
+def split_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "split")
+    split.write_split(tables.requests(spark, sf_dir), F.col("method"), path)
+    read = spark.read.parquet(path)
+    return read.groupBy(F.lower("bucket_name").alias("bucket_name"), "bucket").agg(F.count("*").alias("n"))
+
+
 # --------------------------------------------------------------------------- logs without seq
 
 _CAPTURED = """
