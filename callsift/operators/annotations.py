@@ -17,7 +17,8 @@ def annotate_existing(notes: DataFrame, requests: DataFrame) -> DataFrame:
     """The new notes whose request is in the log, with the default author filled in."""
     if "author" not in notes.columns:
         notes = notes.withColumn("author", F.lit(None).cast("string"))
-    known = requests.select(F.col("id").alias("record_id")).distinct()
+    ids = requests.select(F.col("id").alias("record_id"))
+    known = ids.join(annotated_ids(notes), "record_id", "left_semi").distinct()
     return join_many_to_one(notes, known, ["record_id"]).withColumn(
         "author", F.coalesce("author", F.lit(DEFAULT_AUTHOR))
     )

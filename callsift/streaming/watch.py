@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from callsift.functions.keys import as_condition
+from callsift.plans.ordering import first_rows, input_order
 from callsift.sources.log import parse_lines
 
 
@@ -86,14 +88,54 @@ def _started_before(spark: SparkSession, checkpoint: str) -> bool:
         raise
 
 
+@dataclass
+class BatchCounts:
+    """What :func:`consume_batches` has handed on so far, in this run of the query."""
+
+    batches: int = 0
+    records: int = 0
+    filtered_out: int = 0
+    errors: list[str] = field(default_factory=list)
+
+
 def consume_batches(
     stream: DataFrame,
     consumer: Callable[[DataFrame, int], None],
     checkpoint: str,
     predicate: Column | str | None = None,
+    max_records: int | None = None,
+    counts: BatchCounts | None = None,
+    keep_going: bool = False,
     **trigger,
 ) -> StreamingQuery:
-    """Hand the requests that meet ``predicate`` to ``consumer``, batch by batch."""
-    return _start(
-        stream.where(as_condition(predicate)), consumer, checkpoint, trigger or {"availableNow": True}
-    )
+    """Hand the requests that meet ``predicate`` to ``consumer``, batch by batch.
+
+    ``max_records`` hands on that many, the first in input order, and none of the
+    later batches.  ``counts`` is filled in as batches are handed on.  With
+    ``keep_going`` an exception of the consumer is noted in ``counts`` and the
+    query goes on; otherwise it ends the query.  Both need one more count per
+    batch, so they cost nothing where they are not asked for.
+    """
+    given = counts if counts is not None else BatchCounts()
+    condition = as_condition(predicate)
+
+    def hand_on(batch: DataFrame, batch_id: int) -> None:
+        accepted = batch.where(condition)
+        if counts is not None or max_records is not None:
+            seen = batch.agg(F.count("*").alias("n"), F.count_if(condition).alias("ok")).first()
+            left = seen["ok"] if max_records is None else max_records - given.records
+            if left <= 0:
+                return
+            given.filtered_out += seen["n"] - seen["ok"]
+            given.records += min(left, seen["ok"])
+            if left < seen["ok"]:
+                accepted = first_rows(accepted, input_order(accepted), left)
+        given.batches += 1
+        try:
+            consumer(accepted, batch_id)
+        except Exception as error:
+            if not keep_going:
+                raise
+            given.errors.append(str(error))
+
+    return _start(stream, hand_on, checkpoint, trigger or {"availableNow": True})

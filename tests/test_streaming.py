@@ -76,3 +76,19 @@ def test_row_operators_give_the_same_on_a_stream(spark, tmp_path, log, values):
 
     streamed = _run(chain(watch.stream_log(spark, path)), tmp_path, "parity")
     assert sorted(values(streamed)) == sorted(values(chain(df)))
+
+
+def test_batches_are_counted_and_limited(spark, tmp_path, log, values):
+    path, got, counts = str(tmp_path / "log"), [], watch.BatchCounts()
+    append_log(log({"response_status": 500}, {}, {}, {"response_status": 404}, {}), path)
+
+    def consume(batch, i):
+        got.extend(values(batch.orderBy("seq"), "id"))
+        raise RuntimeError("full disk")
+
+    watch.consume_batches(
+        watch.stream_log(spark, path), consume, str(tmp_path / "c"), "response_status = 200",
+        max_records=2, counts=counts, keep_going=True,
+    ).awaitTermination()
+    assert got == ["1", "2"]
+    assert (counts.batches, counts.records, counts.filtered_out, counts.errors) == (1, 2, 2, ["full disk"])
