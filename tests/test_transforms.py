@@ -194,4 +194,6 @@ def test_patterns_and_replacements_mean_what_python_means(log, values, pattern,
 
 
 def test_java_pattern_names_groups():
-    assert text.java_pattern("(?P<a>x)(?P=a)\\Z\\\\Z") == "(?idU)(?<a>x)\\k<a>\\z\\\\Z"
+    assert text.java_pattern("(?P<a>x)(?P=a)\\Z\\\\Z") == "(?id)(?<a>x)\\k<a>\\z\\\\Z"
+    assert text.java_pattern(r"(?#note)(?P<my_key>\w+)(?P=my_key)") == r"(?idU)(?<myU95key>\w+)\k<myU95key>"
+    assert text.java_replacement(r"\g<my_key>") == "${myU95key}"
