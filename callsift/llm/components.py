@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callsift.llm.tables import stored
+from callsift.plans.skew import join_many_to_one
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,18 +17,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     the smallest), which ends in one star per component after a number of rounds
     that grows with the logarithm of the longest chain.  Each round is a table
     in the shared folder; smallest neighbours are found with partial
-    aggregation, so a node with very many neighbours is no hot spot.  Nothing
-    but a count and a checksum goes to the driver.
+    aggregation and joined with hot nodes split, so a node with very many
+    neighbours is no hot spot.  Nothing but a count and a checksum goes to the
+    driver.
     """
     high, low = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     links = stored(edges.where(F.col(a) != F.col(b)).select(high, low).distinct(), "edges")
     mark = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        nearest = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(nearest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        sized = [F.min("v").alias("m"), F.count("*").alias("n")]
+        least = both.groupBy("u").agg(*sized).select("u", F.least("u", "m").alias("m"), "n")
+        raised = join_many_to_one(both.where("v > u"), least, ["u"], rows="n")
+        large = raised.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        nearest = large.groupBy("u").agg(*sized)
+        lowered = join_many_to_one(large, nearest, ["u"], rows="n").where("v <> m")
+        moved = lowered.select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = stored(moved.unionByName(nearest.select("u", F.col("m").alias("v"))).distinct(), "stars")
         seen = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
