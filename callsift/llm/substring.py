@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -196,7 +197,8 @@ def repeated_segments(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"key": [], "mark": [], "start": [], "size": [], "anchor": [], "body": []}
+            out = {"key": [], "mark": [], "start": [], "size": [], "anchor": [], "content": [], "body": []}
+            sent = set()
             keys, marks, lists = (batch.column(c) for c in ("key", "mark", "places"))
             for at, (words, first, _, chosen, grams) in enumerate(_anchors(batch.column("text"), window)):
                 edges = np.flatnonzero(np.diff(chosen)) + 1
@@ -205,22 +207,26 @@ def repeated_segments(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
                 wanted = np.isin(chosen[starts], lists[at].values.to_numpy()) if len(chosen) else np.zeros(0, bool)
                 for start, end in zip(starts[wanted].tolist(), ends[wanted].tolist(), strict=True):
                     a, b = first + start, first + end - 1 + window - 1
-                    body = words.data[words.starts[a] : words.ends[b]].tobytes()
-                    out["body"].append(b" ".join(body.split()))
+                    body = b" ".join(words.data[words.starts[a] : words.ends[b]].tobytes().split())
+                    content = xxhash.xxh3_64_intdigest(body) - (1 << 63)
+                    # Copies of a segment in one batch need its words once.
+                    out["body"].append(None if content in sent else body)
+                    sent.add(content)
+                    out["content"].append(content)
                     out["start"].append(start)
                     out["size"].append(end - start)
                     out["anchor"].append(int(grams[chosen[start]].astype(np.int64)))
                     out["key"].append(keys[at].as_py())
                     out["mark"].append(marks[at].as_py())
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             columns = [pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=list(out))
 
     read = keyed.join(places, ["key", "mark"])
-    cut = read.mapInArrow(segments, "key long, mark int, start int, size int, anchor long, body binary")
-    found = stored(cut.withColumn("content", F.xxhash64("body")), "segments")
+    fields = "key long, mark int, start int, size int, anchor long, content long, body binary"
+    found = stored(read.mapInArrow(segments, fields), "segments")
 
-    unique = found.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.first("body").alias("body"))
+    unique = found.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.max("body").alias("body"))
     # A segment with copies is repeated as a whole; it still is text that others may match.
     busy = unique.groupBy("anchor").agg(F.count("*").alias("segments"))
     busy = busy.where(F.col("segments") > 1)
