@@ -15,7 +15,7 @@ from callsift.llm.tables import SPACES, stored, whole_text
 # Characters of the normalised text that enter the splitters; texts are compared whole.
 SPLITTER_CHARS = 32
 
-_RUNS = "id long, length long, sha string, part int, run long, edge string"
+_RUNS = "id long, row long, length long, sha string, part int, run long, edge string"
 
 
 def _mark_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,7 +39,7 @@ def _mark_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = [None] * len(norm)
         if last is None:
             edges[0] = norm[0].as_py()
-        out = [batch.column("id"), batch.column("length"), batch.column("sha")]
+        out = [batch.column(c) for c in ("id", "row", "length", "sha")]
         table = [*out, pa.array([part] * len(norm), pa.int32()), pa.array(runs, pa.int64())]
         run, last = int(runs[-1]), norm[-1].as_py()
         body = pa.RecordBatch.from_arrays([*table, pa.array(edges, pa.string())], names=_NAMES)
@@ -47,13 +47,15 @@ def _mark_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield body.slice(0, len(norm) - 1)
         held = body.slice(len(norm) - 1)
     if held is not None:
-        yield pa.RecordBatch.from_arrays([*held.columns[:5], pa.array([last], pa.string())], names=_NAMES)
+        yield pa.RecordBatch.from_arrays([*held.columns[:6], pa.array([last], pa.string())], names=_NAMES)
 
 
 _NAMES = [field.split()[0] for field in _RUNS.split(", ")]
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
+) -> DataFrame:
     """Group the documents whose texts are equal after deleting white space.
 
     Content sort: sampled splitters range-partition the normalised texts, each
@@ -68,12 +70,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stays, then the smallest id.  Null counts as the empty text; all empty texts
     are one group.  Rows with a null id take part and are kept only if their
     whole group has null ids.  Rows that repeat an id are separate rows; each
-    that carries the id of the kept row is marked kept.  Other columns are
-    ignored.  An empty table gives an empty result.
+    that carries the id of the kept row is marked kept.  ``row_col`` names a
+    column of numbers that tell all rows apart: it decides between rows of equal
+    length and id, exactly one row of a group is kept, and the column is
+    returned too.  Other columns are ignored.  An empty table gives an empty
+    result.
     """
     text = whole_text(text_col)
     texts = docs.select(
         F.col(id_col).cast("long").alias("id"),
+        (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"),
         F.length(text).cast("long").alias("length"),
         F.translate(text, SPACES, "").alias("norm"),
     ).select(
@@ -82,11 +88,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.xxhash64("norm").alias("mix"),
         F.substring("norm", 1, SPLITTER_CHARS).alias("head"),
     )
-    ranges = texts.repartitionByRange("head", "mix", F.desc("length"), F.asc_nulls_last("id"))
-    ordered = ranges.sortWithinPartitions("head", "mix", "norm", F.desc("length"), F.asc_nulls_last("id"))
-    rows = stored(ordered.select("id", "length", "sha", "norm").mapInArrow(_mark_runs, _RUNS), "content-sort")
+    order = [F.desc("length"), F.asc_nulls_last("id"), *([F.col("row")] if row_col else [])]
+    ranges = texts.repartitionByRange("head", "mix", *order)
+    ordered = ranges.sortWithinPartitions("head", "mix", "norm", *order)
+    rows = stored(ordered.select("id", "row", "length", "sha", "norm").mapInArrow(_mark_runs, _RUNS), "content-sort")
 
-    best = F.min(F.struct((-F.col("length")).alias("rank"), F.col("id").isNull().alias("unnamed"), F.col("id")))
+    best = F.min(F.struct((-F.col("length")).alias("rank"), F.col("id").isNull().alias("unnamed"), F.col("id"), F.col("row")))
     runs = rows.groupBy("part", "run").agg(F.count("*").alias("size"), best.alias("best"))
     at = F.struct("part", "run")
     borders = rows.where(F.col("edge").isNotNull()).select("edge", "part", "run").distinct()
@@ -94,22 +101,30 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     joined = borders.join(whole, "edge").select("part", "run", "whole")
     pieces = runs.join(joined, ["part", "run"], "left").withColumn("whole", F.coalesce("whole", at))
     groups = pieces.groupBy("whole").agg(
-        F.sum("size").alias("group_size"), F.min("best").getField("id").alias("keep_id")
+        F.sum("size").alias("group_size"), F.min("best").alias("first")
     )
-    decided = pieces.join(groups, "whole").select("part", "run", "group_size", "keep_id")
+    decided = pieces.join(groups, "whole").select(
+        "part", "run", "group_size", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row")
+    )
+    stays = F.col("row") == F.col("keep_row") if row_col else F.col("id").eqNullSafe(F.col("keep_id"))
     return rows.join(decided, ["part", "run"]).select(
         F.col("id").alias("doc_id"),
         "keep_id",
         "group_size",
-        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        stays.alias("kept"),
         F.col("sha").alias("text_sha256"),
+        *([F.col("row").alias(row_col)] if row_col else []),
     )
 
 
-def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
+) -> DataFrame:
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns.
 
-    Needs ids that identify a row; rows with a null id stay.
+    Without ``row_col`` the ids have to identify a row, and rows with a null id
+    stay; with it exactly one row of each group stays, whatever the ids.
     """
-    dropped = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col))
-    return docs.join(dropped, id_col, "left_anti")
+    key = row_col or id_col
+    found = exact_dedup(docs, id_col, text_col, row_col).where(~F.col("kept"))
+    return docs.join(found.select(F.col(row_col or "doc_id").alias(key)), key, "left_anti")

@@ -260,7 +260,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`near_duplicates` keeps, with all their columns."""
-    dropped = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col))
-    return docs.join(dropped, id_col, "left_anti")
+def keep_one_per_component(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
+) -> DataFrame:
+    """The rows of ``docs`` that :func:`near_duplicates` keeps, with all their columns.
+
+    ``row_col`` names a column of numbers that tell all rows apart.  With it,
+    rows that repeat an id and rows with a null id are documents like all
+    others, and exactly one row of each component stays: the one with the
+    smallest id, then of the smallest number; a null id stays only where no
+    other is.
+    """
+    if row_col is None:
+        dropped = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col))
+        return docs.join(dropped, id_col, "left_anti")
+    found = near_duplicates(docs, row_col, text_col).select(F.col("doc_id").alias("row"), "component_id")
+    ids = docs.select(F.col(row_col).cast("long").alias("row"), F.col(id_col).cast("long").alias("id"))
+    named = stored(found.join(ids, "row"), "components")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")).getField("row").alias("first")
+    shared = named.groupBy("component_id").agg(F.count("*").alias("members"), first).where("members > 1")
+    dropped = join_many_to_one(named, shared, ["component_id"], rows="members").where("row <> first")
+    return docs.join(dropped.select(F.col("row").alias(row_col)), row_col, "left_anti")

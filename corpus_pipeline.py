@@ -33,6 +33,15 @@ def _stage(function):
     return staged
 
 
+# Tells the rows of a stage apart, whatever their ids.
+ROW = "__callsift_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own in each row, written once so that all scans see the same."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+
+
 @_stage
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labels that are not held out."""
@@ -42,14 +51,14 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @_stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays, the one with the most code points."""
-    return keep_first_copies(docs)
+    """One row of each group of equal texts stays: most code points, then smallest id, whatever the ids."""
+    return keep_first_copies(_numbered(docs), row_col=ROW).select(docs.columns)
 
 
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates stays, the one with the smallest id."""
-    return keep_one_per_component(docs)
+    """One row of each component of near duplicates stays, the one with the smallest id."""
+    return keep_one_per_component(_numbered(docs), row_col=ROW).select(docs.columns)
 
 
 @_stage

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
@@ -56,3 +57,21 @@ def test_stages_equal_plain_versions(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF_DIR).count() > 0
+
+
+def test_stages_leave_one_row_of_copies_whatever_the_ids(spark):
+    """A repeated row, a null-id copy, a near copy with a null id, and one id with two texts."""
+    text, other, third = (" ".join(f"{letter}{i}" for i in range(80)) for letter in "abc")
+    near = text.replace("a40", "changed")
+    rows = [(1, text), (1, text), (None, text), (2, other), (2, third), (None, other), (None, near), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    stages, columns = dict(corpus_pipeline.STAGES), docs.columns
+    docs = stored(stages["exact_dedup"](spark, docs, SF_DIR), "exact")
+    found = [(r.doc_id, r.text or "") for r in docs.collect()]
+    assert sorted(found, key=str) == sorted([(1, text), (2, other), (2, third), (None, near), (None, "")], key=str)
+    docs = stored(stages["minhash_near_dedup"](spark, docs, SF_DIR), "near")
+    assert sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=str) == sorted(
+        [(1, text), (2, other), (2, third), (None, "")], key=str
+    )
+    docs = stored(stages["substring_dedup"](spark, docs, SF_DIR), "cut")
+    assert docs.columns == columns and sorted(r.text or "" for r in docs.collect()) == sorted([text, other, third, ""])
