@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from callsift.llm.text import Words, gram_hashes, mix, text_blocks
 from callsift.plans.skew import join_many_to_one
 
 SHINGLE_WORDS = 5
-# Links: PERCENT * union <= 100 * intersection.
+# Links: percent * union <= 100 * intersection; the percentage unless another is given.
 PERCENT = 85
 # 2 ** BUCKET_BITS registers of 16 bits (6 leading-zero count, MANTISSA_BITS mantissa), in bands.
 BUCKET_BITS, MANTISSA_BITS, BAND_ROWS = 7, 10, 4
@@ -82,7 +83,9 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return (equal - chance) / (1 - chance)
 
 
-def possible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def possible(
+    a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int = PERCENT
+) -> tuple[np.ndarray, np.ndarray]:
     """(which pairs need verification, their estimates).
 
     The sizes must allow the similarity, and the estimate may lie
@@ -92,20 +95,20 @@ def possible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     n_a, n_b = n_a.astype(float), n_b.astype(float)
     guess = estimate(a, b, n_a, n_b)
     least = np.minimum(n_a[:, None], n_b[None, :])
-    level = PERCENT / 100
+    level = percent / 100
     drawn = BUCKETS * -np.expm1(-least / BUCKETS)
     floor = level - SIGMAS * np.sqrt(level * (1 - level) / np.maximum(drawn, 1))
-    fits = 100 * least >= PERCENT * np.maximum(n_a[:, None], n_b[None, :])
+    fits = 100 * least >= percent * np.maximum(n_a[:, None], n_b[None, :])
     return fits & (guess >= floor), guess
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two sorted sets reach the similarity."""
     if len(a) > len(b):
         a, b = b, a
     at = np.searchsorted(b, a)
     both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,13 +129,13 @@ def _sides(blocks: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
 
 
-def _survivors(group: pa.RecordBatch) -> pa.RecordBatch | None:
+def _survivors(group: pa.RecordBatch, percent: int) -> pa.RecordBatch | None:
     """The rows of a tile that have a possible partner in it."""
     i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
     left, right = _sides(group.column("block").to_numpy(), i, j)
     registers = np.frombuffer(b"".join(group.column("registers").to_pylist()), dtype=np.uint16)
     registers, n = registers.reshape(-1, BUCKETS), group.column("n").to_numpy()
-    maybe, _ = possible(registers[left], registers[right], n[left], n[right])
+    maybe, _ = possible(registers[left], registers[right], n[left], n[right], percent)
     if i == j:
         np.fill_diagonal(maybe, False)
     keep = np.union1d(left[maybe.any(axis=1)], right[maybe.any(axis=0)])
@@ -143,7 +146,7 @@ _TILE = ["hub", "i", "j", "block", "class_id", "mark"]
 _TILE_SCHEMA = "hub long, i int, j int, block int, class_id long, mark long"
 
 
-def _verified(group: pa.RecordBatch) -> pa.RecordBatch | None:
+def _verified(group: pa.RecordBatch, percent: int) -> pa.RecordBatch | None:
     """A spanning forest of the links of a tile, checked on the full sets.
 
     Pairs come in decreasing order of their estimate; pairs that links found
@@ -156,7 +159,7 @@ def _verified(group: pa.RecordBatch) -> pa.RecordBatch | None:
     left, right = _sides(group.column("block").to_numpy(), i, j)
     sets = list(shingle_sets(group.column("text")))
     registers, n = np.array([sketch(s) for s in sets]), np.array([len(s) for s in sets])
-    maybe, guess = possible(registers[left], registers[right], n[left], n[right])
+    maybe, guess = possible(registers[left], registers[right], n[left], n[right], percent)
     if i == j:
         maybe &= np.tri(len(left), k=-1, dtype=bool)
     rows, columns = np.nonzero(maybe)
@@ -171,7 +174,7 @@ def _verified(group: pa.RecordBatch) -> pa.RecordBatch | None:
 
     for a, b in zip(left[rows[order]].tolist(), right[columns[order]].tolist(), strict=True):
         p, q = find(a), find(b)
-        if p != q and linked(sets[a], sets[b]):
+        if p != q and linked(sets[a], sets[b], percent):
             root[p] = q
             edges.append((ids[a], ids[b]))
     if not edges:
@@ -180,8 +183,10 @@ def _verified(group: pa.RecordBatch) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Components of documents whose sets of five-word shingles have a Jaccard similarity of 0.85 or more.
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT
+) -> DataFrame:
+    """Components of documents whose sets of five-word shingles have a Jaccard similarity of ``percent`` or more.
 
     1. One pass makes a HyperMinHash sketch of each document's full set; equal
        sets form a class, which goes on as one row.
@@ -195,7 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     5. Components of all forests are joined back to the classes' documents.
 
     A link of the least similarity misses all 32 bands with a chance below
-    1e-10.  Hashes of 64 bits stand for shingles; the sets themselves are exact.
+    1e-10 at 85 percent and below 1e-7 at 80.  Hashes of 64 bits stand for shingles; the sets themselves are exact.
 
     Returns one row per input row: ``doc_id, n_shingles, component_id, kept``.
     Words are lower-cased in A-Z.  Texts of one to four words have one shingle,
@@ -239,13 +244,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = others.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id")
     survivors = stored(
-        map_groups(tiles.join(cards, "class_id"), ["hub", "i", "j"], _survivors, _TILE_SCHEMA), "survivors"
+        map_groups(tiles.join(cards, "class_id"), ["hub", "i", "j"], partial(_survivors, percent=percent), _TILE_SCHEMA), "survivors"
     )
 
     wanted = texts.withColumnRenamed("doc_id", "class_id")
     # The same join at every size: what is left of the classes grows with the data.
     read = survivors.hint("merge").join(wanted, ["class_id", "mark"]).select(*_TILE[:-1], "text")
-    edges = stored(map_groups(read, ["hub", "i", "j"], _verified, "a long, b long"), "links")
+    edges = stored(map_groups(read, ["hub", "i", "j"], partial(_verified, percent=percent), "a long, b long"), "links")
     found = connected_components(edges)
 
     named = classes.join(found, classes["class_id"] == found["node"], "left").select(
@@ -261,7 +266,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_per_component(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    row_col: str | None = None,
+    percent: int = PERCENT,
 ) -> DataFrame:
     """The rows of ``docs`` that :func:`near_duplicates` keeps, with all their columns.
 
@@ -272,9 +281,9 @@ def keep_one_per_component(
     other is.
     """
     if row_col is None:
-        dropped = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col))
-        return docs.join(dropped, id_col, "left_anti")
-    found = near_duplicates(docs, row_col, text_col).select(F.col("doc_id").alias("row"), "component_id")
+        found = near_duplicates(docs, id_col, text_col, percent).where(~F.col("kept"))
+        return docs.join(found.select(F.col("doc_id").alias(id_col)), id_col, "left_anti")
+    found = near_duplicates(docs, row_col, text_col, percent).select(F.col("doc_id").alias("row"), "component_id")
     ids = docs.select(F.col(row_col).cast("long").alias("row"), F.col(id_col).cast("long").alias("id"))
     named = stored(found.join(ids, "row"), "components")
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")).getField("row").alias("first")

@@ -57,7 +57,7 @@ def op10_license_scan(spark, sf_dir):
 
 @_query
 def op1_minhash_near_dedup(spark, sf_dir):
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
 @_query

@@ -187,3 +187,12 @@ def test_index_counts_patterns():
             low, high = index.extend(np.array([word]), low, high)
         views = np.lib.stride_tricks.sliding_window_view(text, size)
         assert int(high[0] - low[0]) == int((views == pattern).all(axis=1).sum())
+
+
+def test_near_duplicates_take_a_similarity(table):
+    """300-word copies with five, six and eight words changed: 0.84, 0.82 and 0.76."""
+    base = [f"w{i}" for i in range(300)]
+    rows = [(0, " ".join(base))]
+    for n in (5, 6, 8):
+        rows.append((n, " ".join(f"{n}:{w}" if i % 33 == 16 and i // 33 < n else w for i, w in enumerate(base))))
+    assert sorted(r.doc_id for r in keep_one_per_component(table(rows), percent=80).collect()) == [0, 8]
