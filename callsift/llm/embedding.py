@@ -20,7 +20,7 @@ NEIGHBOURS = 10
 TABLES, LEAF_ROWS, TILE_ROWS = 8, 48, 256
 # Rounds of refinement: at least, at most, and the audited recall that ends them.
 LEAST_ROUNDS, MOST_ROUNDS, RECALL = 2, 6, 0.995
-# Points that an audit compares with all others, chosen by a hash.
+# Points that an audit compares with all others, chosen by a hash: half with links found, half without.
 AUDIT_POINTS = 256
 
 
@@ -46,12 +46,10 @@ def valid_vector(column: Column) -> Column:
     return F.coalesce(finite & F.exists(column, lambda x: x != 0), F.lit(False))
 
 
-def _leaves(points: DataFrame) -> DataFrame:
-    """First edges: points with equal signs on random hyperplanes, in leaves of bounded size.
+def _coded(points: DataFrame) -> DataFrame:
+    """The signs of each point on the random hyperplanes of each table.
 
-    A label of n points gets about log2(n / leaf) hyperplanes per table.  Larger
-    buckets are dealt into leaves by a hash that differs between the tables, so
-    the leaves of a dense cluster overlap.
+    A label of n points gets about log2(n / leaf) hyperplanes per table.
     """
     sizes = points.groupBy("label", "dim").agg(F.count("*").alias("rows"))
     bits = sizes.withColumn("bits", F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / LEAF_ROWS))).cast("int"))
@@ -71,16 +69,31 @@ def _leaves(points: DataFrame) -> DataFrame:
                     columns += [pa.array(np.full(len(code), table, np.int32)), pa.array(code)]
                     yield pa.RecordBatch.from_arrays(columns, names=["cid", "label", "dim", "tab", "code"])
 
-    coded = stored(
+    return stored(
         join_many_to_one(points, bits.select("label", "dim", "bits", "rows"), ["label", "dim"], rows="rows")
         .select("cid", "label", "dim", "bits", "vec")
         .mapInArrow(codes, "cid long, label int, dim int, tab int, code long"),
         "codes",
     )
-    bucket = ["label", "dim", "tab", "code"]
-    leaves = coded.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1")
-    leaf = F.pmod(F.xxhash64("cid", "tab"), F.ceil(F.col("size") / LEAF_ROWS)).cast("int")
-    dealt = join_many_to_one(coded, leaves, bucket, rows="size").withColumn("leaf", leaf)
+
+
+_BUCKET = ["label", "dim", "tab", "code"]
+
+
+def _dealt(coded: DataFrame, *turn: int) -> DataFrame:
+    """Points with equal signs, in leaves of bounded size.
+
+    Larger buckets are dealt into leaves by a hash that differs between the
+    tables and turns, so the leaves of a dense cluster overlap.
+    """
+    leaves = coded.groupBy(*_BUCKET).agg(F.count("*").alias("size")).where("size > 1")
+    own = F.xxhash64("cid", "tab", *[F.lit(t) for t in turn])
+    leaf = F.pmod(own, F.ceil(F.col("size") / LEAF_ROWS)).cast("int")
+    return join_many_to_one(coded, leaves, _BUCKET, rows="size").withColumn("leaf", leaf)
+
+
+def _leaves(points: DataFrame, coded: DataFrame) -> DataFrame:
+    """First edges: the nearest entries of each point in its leaves."""
 
     def compare(group: pa.RecordBatch) -> pa.RecordBatch | None:
         ids, vectors = group.column("cid").to_numpy(), _matrix(group.column("vec"))
@@ -91,8 +104,47 @@ def _leaves(points: DataFrame) -> DataFrame:
         return _edges(ids[a], ids[best.ravel()], sims[a, best.ravel()])
 
     # Points join on (label, id) order-free: the id alone identifies them.
-    full = dealt.join(points.select("cid", "vec"), "cid")
-    return map_groups(full, [*bucket, "leaf"], compare, _EDGE)
+    full = _dealt(coded).join(points.select("cid", "vec"), "cid")
+    return map_groups(full, [*_BUCKET, "leaf"], compare, _EDGE)
+
+
+def _named(points: DataFrame, found: DataFrame) -> DataFrame:
+    """``cid, label, dim, vec, component, linked``; a point without a link is its own component."""
+    return points.join(found, points["cid"] == found["node"], "left").select(
+        "cid", "label", "dim", "vec", F.coalesce("component", "cid").alias("component"), F.col("node").isNotNull().alias("linked")
+    )
+
+
+def _bridges(points: DataFrame, coded: DataFrame, found: DataFrame, threshold: float, turn: int) -> DataFrame:
+    """Links that leave a component: of each point in each leaf the nearest one.
+
+    A list full of links to its own component has no room for them.
+    """
+
+    def compare(group: pa.RecordBatch) -> pa.RecordBatch | None:
+        own = group.column("component").to_numpy()
+        if (own == own[0]).all():
+            return None
+        ids, vectors = group.column("cid").to_numpy(), _matrix(group.column("vec"))
+        sims = np.where(own[:, None] == own[None, :], -2, vectors @ vectors.T)
+        best = sims.argmax(axis=1)
+        a = np.flatnonzero(sims[np.arange(len(ids)), best] >= threshold)
+        return _edges(ids[a], ids[best[a]], sims[a, best[a]])
+
+    full = _dealt(coded, turn).join(_named(points, found).select("cid", "vec", "component"), "cid")
+    return map_groups(full, [*_BUCKET, "leaf"], compare, _EDGE)
+
+
+def _groups(points: DataFrame, coded: DataFrame, links: DataFrame, threshold: float, turn: int) -> DataFrame:
+    """Components of the links, joined by bridges until newly dealt leaves show none."""
+    found = stored(connected_components(links), "groups")
+    while True:
+        bridges = stored(_bridges(points, coded, found, threshold, turn), "bridges")
+        if bridges.isEmpty():
+            return found
+        edges = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = stored(connected_components(edges.unionByName(bridges.select("a", "b"))), "groups")
+        turn += 1
 
 
 def _best(edges: DataFrame, by: str = "a") -> DataFrame:
@@ -129,44 +181,59 @@ def _refine(points: DataFrame, lists: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def _audit(points: DataFrame, found: DataFrame, threshold: float) -> float:
-    """Share of the links of a bounded set of points that the graph has or connects."""
-    chosen = points.orderBy(F.xxhash64("cid"), "cid").limit(AUDIT_POINTS).select("cid", "label", "vec").collect()
-    groups: dict[tuple[int, int], tuple[list[int], list]] = {}
-    for row in chosen:
-        ids, vectors = groups.setdefault((row["label"], len(row["vec"])), ([], []))
-        ids.append(row["cid"])
-        vectors.append(row["vec"])
+    """Share of the links of a bounded set of points that the components hold.
+
+    Half of the points have links and half have none; both halves count by the
+    number of points they stand for.
+    """
+    named = _named(points, found)
+    total, linked = points.count(), found.count()
+    groups: dict[tuple[int, int], list] = {}
+    weights = {}
+    for kind, of in ((True, linked), (False, total - linked)):
+        half = named.where(F.col("linked") == kind).orderBy(F.xxhash64("cid"), "cid").limit(AUDIT_POINTS // 2)
+        chosen = half.select("cid", "label", "component", "vec").collect()
+        weights[kind] = of / max(len(chosen), 1)
+        for row in chosen:
+            groups.setdefault((row["label"], len(row["vec"])), []).append((row["cid"], row["component"], kind, row["vec"]))
     ready = {}
-    for key, (ids, vectors) in groups.items():
+    for key, rows in groups.items():
+        ids, components, kinds, vectors = zip(*rows, strict=True)
         matrix = np.array(vectors, dtype=np.float64)
-        ready[key] = np.array(ids), matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+        ready[key] = np.array(ids), np.array(components), np.array(kinds), matrix
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels, dims = batch.column("label").to_numpy(), batch.column("dim").to_numpy()
-            for key, (ids, matrix) in ready.items():
+            cids, owners = batch.column("cid").to_numpy(), batch.column("component").to_numpy()
+            n, hit = {True: 0, False: 0}, {True: 0, False: 0}
+            for key, (ids, components, kinds, matrix) in ready.items():
                 own = np.flatnonzero((labels == key[0]) & (dims == key[1]))
                 if not len(own):
                     continue
-                sims = _matrix(batch.column("vec").take(pa.array(own))) @ matrix.T
-                row, query = np.nonzero(sims >= threshold)
-                a, b = ids[query], batch.column("cid").to_numpy()[own[row]]
-                made = _edges(a[a != b], b[a != b], sims[row, query][a != b])
-                if made is not None:
-                    yield made
-
-    truth = points.select("cid", "label", "dim", "vec").mapInArrow(compare, _EDGE)
-    near, far = found.withColumnsRenamed({"node": "a", "component": "ca"}), found.withColumnsRenamed({"node": "b", "component": "cb"})
-    joined = truth.join(near, "a", "left").join(far, "b", "left")
-    row = joined.agg(F.count("*").alias("n"), F.count(F.when(F.col("ca") == F.col("cb"), 1)).alias("hit")).first()
-    return row["hit"] / row["n"] if row["n"] else 1.0
+                true = _matrix(batch.column("vec").take(pa.array(own))) @ matrix.T >= threshold
+                true &= cids[own][:, None] != ids[None, :]
+                held = true & (owners[own][:, None] == components[None, :])
+                for kind in (True, False):
+                    n[kind] += int(true[:, kinds == kind].sum())
+                    hit[kind] += int(held[:, kinds == kind].sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(n)), pa.array(list(n.values())), pa.array(list(hit.values()))], names=["linked", "n", "hit"]
+            )
+
+    counted = named.select("cid", "label", "dim", "vec", "component").mapInArrow(compare, "linked boolean, n long, hit long")
+    sums = counted.groupBy("linked").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")).collect()
+    true = sum(weights[r["linked"]] * r["n"] for r in sums)
+    return sum(weights[r["linked"]] * r["hit"] for r in sums) / true if true else 1.0
 
 
 def _link_counts(points: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     """``cid, links``: vectors linked to each point, copies counted, within its component.
 
     This is the enlargement of saturated lists: a list whose entries all are
-    links grows to its whole component.  Components are dealt into tiles, which
+    links grows to its whole component, which :func:`_groups` has joined with
+    the components that its entries hide.  Components are dealt into tiles, which
     return one count per row.
     """
     sizes = found.groupBy("component").agg(F.count("*").alias("members"))
@@ -208,9 +275,12 @@ def embedding_duplicates(
     2. Random-hyperplane leaves give each point a first neighbour list; NN-descent
        rounds compare neighbours of neighbours and keep the nearest
        :data:`NEIGHBOURS`.
-    3. Edges at or above the threshold stay; their components are found.
+    3. Edges at or above the threshold stay; their components are found.  Lists
+       full of links hide links to other components: leaves dealt anew look only
+       for these, until there are none.
     4. An audit compares :data:`AUDIT_POINTS` points with all others; below a
-       recall of :data:`RECALL` another round follows, up to :data:`MOST_ROUNDS`.
+       recall of :data:`RECALL` another round follows.  A recall below it after
+       :data:`MOST_ROUNDS` is an error.
     5. Saturated lists are enlarged to the component: links inside a component are
        counted completely, in tiles.
 
@@ -236,13 +306,20 @@ def embedding_duplicates(
         .withColumn("dim", F.size("vec")),
         "points",
     )
-    lists = stored(_best(_leaves(points).distinct()), "lists")
-    fresh, done = lists, 0
+    coded = _coded(points)
+    lists = stored(_best(_leaves(points, coded).distinct()), "lists")
+    fresh, done, found = lists, 0, None
     while True:
         if done >= LEAST_ROUNDS:
-            found = stored(connected_components(lists.where(F.col("sim") >= threshold)), "groups")
-            if done >= MOST_ROUNDS or _audit(points, found, threshold) >= RECALL:
+            links = lists.where(F.col("sim") >= threshold).select("a", "b")
+            if found is not None:
+                links = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            found = _groups(points, coded, links, threshold, done)
+            recall = _audit(points, found, threshold)
+            if recall >= RECALL:
                 break
+            if done >= MOST_ROUNDS:
+                raise RuntimeError(f"recall {recall:.4f} of links is below {RECALL} after {done} rounds")
         better = _refine(points, lists, fresh).groupBy("a", "b").agg(F.max("sim").alias("sim"))
         both = lists.withColumn("old", F.lit(1)).unionByName(better.withColumn("old", F.lit(0)))
         merged = both.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))

@@ -217,6 +217,23 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch):
     assert embedding_duplicates(df.where("false")).count() == 0
 
 
+def test_links_between_groups_of_full_lists(spark):
+    """Two groups of 60, cosine about 0.995 inside and 0.982 across: all lists fill with inner links."""
+    r = np.random.default_rng(12)
+    axes, _ = np.linalg.qr(r.standard_normal((256, 2)))
+    turn = np.arccos(0.9875)
+    centres = [axes[:, 0], np.cos(turn) * axes[:, 0] + np.sin(turn) * axes[:, 1]]
+    noise = r.standard_normal((120, 256)) * np.sqrt(0.005 / 256)
+    unit = np.float32(np.repeat(centres, 60, axis=0) + noise).astype(float)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(unit)]
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.98
+    np.fill_diagonal(links, False)
+    assert links[:60, 60:].any() and links[:60, :60].sum() == 60 * 59
+    found = embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((x.vec_id, x.n_links, x.component_id) for x in found) == [(i, links[i].sum(), 0) for i in range(120)]
+
+
 def test_recall_of_queries_on_the_test_table(spark):
     """Every twentieth vector against all others."""
     data = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pandas()
