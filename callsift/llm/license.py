@@ -75,10 +75,10 @@ def positional_index(spark: SparkSession, idf: DataFrame) -> DataFrame:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Find licence notices in whole texts.
 
-    1. Each text is split once; the positions of licence words that stand next
-       to another licence word are kept (every template has two words or more).
+    1. Each text is split once; the positions of its licence words are kept.
     2. The IDF of each licence word comes from all documents.
-    3. The rarest word of each template is its anchor.  The postings of a
+    3. The rarest word of each template is its anchor; licence words farther from
+       any anchor than a template is long take no part.  The postings of a
        document's words are turned into template starts (position less offset),
        and starts with an anchor are kept: words of one template that agree on
        the start are its intersection by relative position.
@@ -111,18 +111,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     found = words.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), spots.alias("spots"))
 
-    def beside(spot: Column, i: Column) -> Column:
-        before = F.get("spots", i - 1)["at"] == spot["at"] - 1
-        after = F.get("spots", i + 1)["at"] == spot["at"] + 1
-        return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
-
     files = stored(
         found.select(
             "row",
             "doc_id",
             "n_words",
             F.array_distinct(F.transform("spots", lambda s: s["word"])).alias("seen"),
-            F.filter("spots", beside).alias("spots"),
+            "spots",
         ),
         "license-words",
     )
@@ -136,7 +131,18 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     index = positional_index(spark, idf)
 
-    spots = files.select("row", F.explode("spots").alias("spot")).select("row", "spot.at", "spot.word")
+    # At most one anchor per template goes to the driver.
+    anchors = sorted({r["word"] for r in index.where("anchor").select("word").collect()})
+    reach = max(len(wording.split()) for wording in (*BASE.values(), *[t[1] for t in TEMPLATES])) - 1
+
+    def near_anchor(spot: Column, i: Column) -> Column:
+        # Spots stand in order, so those within reach are at most as many places away.
+        around = F.slice("spots", F.greatest(i + 1 - reach, F.lit(1)), F.lit(2 * reach + 1))
+        return F.exists(around, lambda s: s["word"].isin(anchors) & (F.abs(s["at"] - spot["at"]) <= reach))
+
+    anchored = F.exists("spots", lambda s: s["word"].isin(anchors))
+    kept = files.where(anchored).select("row", F.filter("spots", near_anchor).alias("spots"))
+    spots = kept.select("row", F.explode("spots").alias("spot")).select("row", "spot.at", "spot.word")
     hits = spots.join(F.broadcast(index), "word").withColumn("start", F.col("at") - F.col("offset"))
     starts = hits.groupBy("row", "template", "start").agg(
         F.first("label").alias("label"),

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -273,3 +274,20 @@ def test_licenses_equal_brute_force(table):
     assert by_id[504].labels == "cc-by,cc-by-nc-4.0" and by_id[501].score == 0.0
     assert all(set(x.base_labels.split(",")) <= set(x.labels.split(",")) | {""} for x in found)
     assert license.scan_licenses(table([])).count() == 0
+
+
+def test_edited_notices_equal_the_twin(table):
+    """Licence words between other words are evidence for a template."""
+    notice = "Redistribution, reuse, use in source and binary forms with or without modification"
+    rows = [(1, notice), (2, "x " * 50 + notice + " the end"), (3, "redistribution of source and binary forms"), (4, "calm words")]
+    rows += [(5, "Permission is hereby granted, without charge, to each person who obtains a copy"), (6, None), (7, "cc by 4 0")]
+    rows += [(20 + i, f"the use of a copy in {i}") for i in range(20)]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    found = [tuple(x) for x in license.scan_licenses(table(rows)).collect()]
+    wanted = [tuple(x) for x in con.execute(license.oracle()).fetchall()]
+    assert sorted(x[:-1] for x in found) == sorted(x[:-1] for x in wanted)
+    scores = {x[0]: x[-1] for x in found}
+    assert all(abs(scores[x[0]] - x[-1]) < 1e-9 for x in wanted)
+    assert {x[0]: x[6] for x in found}[1] == "bsd"
