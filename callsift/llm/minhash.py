@@ -150,11 +150,12 @@ def _verified(group: pa.RecordBatch, percent: int) -> pa.RecordBatch | None:
     """A spanning forest of the links of a tile, checked on the full sets.
 
     Pairs come in decreasing order of their estimate; pairs that links found
-    before connect are skipped, as they change no component.
+    before connect are skipped, as they change no component.  Different texts of
+    one id are verified each, and are connected from the start.
     """
-    ids = group.column("class_id").to_numpy()
-    _, once = np.unique(ids, return_index=True)
-    group, ids = group.take(pa.array(once)), ids[once]
+    versions = np.stack([group.column(c).to_numpy() for c in ("class_id", "mark")], axis=1)
+    _, once = np.unique(versions, axis=0, return_index=True)
+    group, ids = group.take(pa.array(once)), versions[once, 0]
     i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
     left, right = _sides(group.column("block").to_numpy(), i, j)
     sets = list(shingle_sets(group.column("text")))
@@ -164,7 +165,8 @@ def _verified(group: pa.RecordBatch, percent: int) -> pa.RecordBatch | None:
         maybe &= np.tri(len(left), k=-1, dtype=bool)
     rows, columns = np.nonzero(maybe)
     order = np.argsort(-guess[rows, columns], kind="stable")
-    root, edges = list(range(len(ids))), []
+    _, first, of = np.unique(ids, return_index=True, return_inverse=True)
+    root, edges = first[of].tolist(), []
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -249,7 +251,7 @@ def near_duplicates(
 
     wanted = texts.withColumnRenamed("doc_id", "class_id")
     # The same join at every size: what is left of the classes grows with the data.
-    read = survivors.hint("merge").join(wanted, ["class_id", "mark"]).select(*_TILE[:-1], "text")
+    read = survivors.hint("merge").join(wanted, ["class_id", "mark"]).select(*_TILE, "text")
     edges = stored(map_groups(read, ["hub", "i", "j"], partial(_verified, percent=percent), "a long, b long"), "links")
     found = connected_components(edges)
 

@@ -196,3 +196,21 @@ def test_near_duplicates_take_a_similarity(table):
     for n in (5, 6, 8):
         rows.append((n, " ".join(f"{n}:{w}" if i % 33 == 16 and i // 33 < n else w for i, w in enumerate(base))))
     assert sorted(r.doc_id for r in keep_one_per_component(table(rows), percent=80).collect()) == [0, 8]
+
+
+def test_tiles_verify_each_text_of_an_id():
+    """The second text of id 7 alone is near id 9."""
+    import pyarrow as pa
+
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(f"x{w}" if i in gone else w for i, w in enumerate(base)) for gone in ((20, 60, 100), (), (150, 190, 230))]
+    first, second, third = minhash.shingle_sets(pa.array(texts))
+    assert minhash.linked(first, second) and minhash.linked(second, third) and not minhash.linked(first, third)
+    for order in ([0, 1, 2], [1, 0, 2], [2, 1, 0]):
+        columns = {
+            "hub": [7] * 3, "i": pa.array([0] * 3, pa.int32()), "j": pa.array([0] * 3, pa.int32()),
+            "block": pa.array([0] * 3, pa.int32()), "class_id": [[7, 7, 9][k] for k in order],
+            "mark": [[1, 2, 3][k] for k in order], "text": [texts[k] for k in order],
+        }
+        links = minhash._verified(pa.RecordBatch.from_pydict(columns), 85)
+        assert [{r["a"], r["b"]} for r in links.to_pylist()] == [{7, 9}]
