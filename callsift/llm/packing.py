@@ -94,12 +94,15 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    cluster_col: str | None = None,
 ) -> DataFrame:
     """Pack documents into bins of ``capacity`` words by conflict-constrained best fit.
 
-    No bin holds two documents of one source, nor two copies of one text
-    (compared by the MD5 of its words in lower case); each bin carries bitmaps
-    of both.  Documents are dealt by a hash into groups of about ``group_rows``
+    No bin holds two documents of one source, nor two of one cluster; each bin
+    carries bitmaps of both.  ``cluster_col`` names the clusters, for instance
+    the components of near duplicates; without it, and where it is null, a
+    cluster is the copies of one text (compared by the MD5 of its words in lower
+    case).  Documents are dealt by a hash into groups of about ``group_rows``
     rows, each packed in one task, so memory and the search stay bounded and a
     hot source is spread over all groups.  A document longer than a bin is cut
     into pieces of whole bins and a rest.
@@ -113,12 +116,14 @@ def pack_documents(
     text = whole_text(text_col)
     words = F.regexp_count(text, F.lit(WORD)).cast("long")
     source = F.col(source_col).cast("string") if source_col in docs.columns else F.lit(None).cast("string")
+    copies = F.md5(F.lower(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))))
+    given = F.concat(F.lit("="), F.col(cluster_col).cast("string")) if cluster_col else F.lit(None)
     total = docs.select(F.count("*")).scalar()
     sized = docs.select(
         F.col(id_col).cast("long").cast("string").alias("doc_id"),
         words.alias("n_words"),
         source.alias("source"),
-        F.md5(F.lower(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")))).alias("cluster"),
+        F.coalesce(given, copies).alias("cluster"),
         F.monotonically_increasing_id().alias("row"),
     )
     groups = F.greatest(F.lit(1).cast("long"), F.ceil(total / F.lit(group_rows)))

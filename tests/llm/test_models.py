@@ -133,6 +133,13 @@ def test_packed_documents(spark, table):
     assert pack_documents(table([])).count() == 0
 
 
+def test_packing_keeps_given_clusters_apart(table):
+    rows = [(1, "a b c", 5), (2, "d e f", 5), (3, "g h i", 6), (4, "a b c", None), (5, "A b  c", None)]
+    docs = table(rows, "doc_id long, text string, component_id long")
+    bins = {r.doc_id: r.bin for r in pack_documents(docs, cluster_col="component_id").collect()}
+    assert bins[1] != bins[2] and bins[4] != bins[5] and bins[3] in (bins[1], bins[2])
+
+
 # --------------------------------------------------------------------------- classifiers
 
 
