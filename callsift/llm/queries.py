@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from callsift.llm import license, oracles
 from callsift.llm.bpe import encode_decode
+from callsift.llm.clustering import cluster_vectors
 from callsift.llm.embedding import embedding_duplicates
 from callsift.llm.exact import exact_dedup
 from callsift.llm.minhash import near_duplicates
 from callsift.llm.packing import pack_documents
+from callsift.llm.products import top_products
 from callsift.llm.quality import classify_quality
+from callsift.llm.resampling import importance_resample
 from callsift.llm.sharding import shard_documents
 from callsift.llm.substring import substring_dedup
 from callsift.llm.toxicity import classify_toxicity
@@ -85,10 +88,28 @@ def op8_nn_descent(spark, sf_dir):
     return embedding_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+@_query
+def op11_importance_resampling(spark, sf_dir):
+    return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op12_centroid_clustering(spark, sf_dir):
+    return cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op13_top_products(spark, sf_dir):
+    return top_products(_table(spark, sf_dir, "embeddings"))
+
+
 ORACLES.update(
     op1_minhash_near_dedup=oracles.NEAR_DUPLICATES,
     op3_exact_dedup=oracles.EXACT_DEDUP,
     op7_substring_dedup=oracles.SUBSTRING_DEDUP,
     op8_nn_descent=oracles.EMBEDDING_DUPLICATES,
     op10_license_scan=license.oracle(),
+    op11_importance_resampling=oracles.RESAMPLING,
+    op12_centroid_clustering=oracles.clustering(),
+    op13_top_products=oracles.TOP_PRODUCTS,
 )

@@ -90,3 +90,26 @@ def map_groups(
             yield made
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Add the 0-based position of each row in ``order``, whose last column must tell all rows apart.
+
+    Sampled ranges of the order are sorted and written with their position in
+    the range; only the sizes of the ranges (one number per shuffle partition)
+    go to the driver and come back as offsets.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stored(ranged.withColumn("__callsift_at", F.monotonically_increasing_id()), "ranges")
+    # The identifier holds the partition above 33 bits of the position inside it.
+    part, inside = F.shiftright("__callsift_at", 33), F.col("__callsift_at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+    starts, total = [], 0
+    for row in sizes:
+        starts.append((row["part"], total))
+        total += row["n"]
+    offsets = df.sparkSession.createDataFrame(starts, "__callsift_part long, __callsift_start long")
+    joined = placed.join(F.broadcast(offsets), part == F.col("__callsift_part"))
+    return joined.withColumn(name, F.col("__callsift_start") + inside).drop(
+        "__callsift_at", "__callsift_part", "__callsift_start"
+    )
