@@ -26,23 +26,28 @@ def join_many_to_one(
     one: DataFrame,
     keys: Sequence[str],
     rows: str | None = None,
+    how: str = "inner",
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
-    """Inner join of ``many`` rows to the single ``one`` row of their key; nulls match.
+    """Inner or left join of ``many`` rows to the single ``one`` row of their key; nulls match.
 
     A key with more rows than a piece may have is hot.  Its ``many`` rows are
     split into as many pieces as its count asks for, by a hash of the row and of
     the input partition (so copies of one row are spread too), and its ``one`` row
     is repeated for each piece.  All other keys join once.  ``rows`` names the
     column of ``one`` with the number of ``many`` rows per key; without it the
-    rows are counted.  The broadcast set of hot keys has fewer than
+    rows are counted.  ``piece_rows`` is the least size of a piece, for rows that
+    are heavy.  The broadcast set of hot keys has fewer than
     :data:`PIECES` entries whatever the size of the data.
     """
     if rows is None:
         sizes, rows_col = many.groupBy(*keys).agg(F.count("*").alias("_n")), "_n"
     else:
         sizes, rows_col = one, rows
+    if how not in ("inner", "left"):
+        raise ValueError("the join is inner or left")
     total = sizes.agg(F.sum(rows_col)).scalar()
-    pieces = F.ceil(F.col(rows_col) / F.greatest(total / F.lit(PIECES), F.lit(PIECE_ROWS))).cast("int")
+    pieces = F.ceil(F.col(rows_col) / F.greatest(total / F.lit(PIECES), F.lit(piece_rows))).cast("int")
     hot = sizes.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], pieces.alias("_pieces")).where("_pieces > 1")
 
     def mark(df: DataFrame) -> DataFrame:
@@ -57,4 +62,4 @@ def join_many_to_one(
     right = right.withColumnsRenamed({k: f"_one_{k}" for k in keys})
     matching = [left[k].eqNullSafe(right[f"_one_{k}"]) for k in keys]
     matching.append(left["_salt"] == right["_one_salt"])
-    return left.join(right, matching).drop("_salt", "_one_salt", *[f"_one_{k}" for k in keys])
+    return left.join(right, matching, how).drop("_salt", "_one_salt", *[f"_one_{k}" for k in keys])
