@@ -151,7 +151,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     """Texts of at most ``rows`` labelled documents, chosen by a hash of the id.
 
     The chosen labels are at most ``rows`` pairs of numbers, so they are sent to
-    the scan of the documents; no text is shuffled.
+    the scan of the documents.  Of rows with one id the text of the smallest hash
+    is taken, so the sample has at most ``rows`` rows however often ids repeat;
+    only texts of chosen ids are shuffled, one per id and task.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -160,7 +162,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    own = F.coalesce("text", F.lit(""))
+    one = F.min_by(own, F.struct(F.xxhash64(own), own)).alias("text")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(one).select("doc_id", "text", "label")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> NBSVM:
@@ -221,9 +225,13 @@ def classify_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS
     """Score all documents for quality with a model learnt from the labels.
 
     Rows whose ``crc32(doc_id)`` modulo 3 is 1 are held out of the fit.  Returns
-    one row per input row: ``doc_id, held_out, score, predicted``.  Documents
-    with a null id are scored and not held out; labels with nulls or other values
-    are not learnt from, and of repeated labels of one id the larger counts.
+    one row per input row: ``doc_id, held_out, score, predicted``.  Null and empty
+    texts have no features and get the score of the bias; a text of any length
+    is scored as a whole.  Documents with a null id are scored and not held out;
+    labels with nulls or other values are not learnt from, and of repeated labels
+    of one id the larger counts.  Repeated ids are scored each, and learnt from
+    once.  Without labels every score is 0.5; an empty table gives an empty
+    result.  Other columns are ignored.
     """
     model = fit_quality(docs, labels.where(~held_out("doc_id", 3, 1)), rows=rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

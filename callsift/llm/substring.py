@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callsift.llm.tables import map_groups, stored
@@ -23,7 +23,8 @@ SHARD_WORDS = 300_000
 # Different segments of one anchor beyond which its windows are dealt one by one.
 ANCHOR_SEGMENTS = 2048
 
-_NO_ID = -(1 << 63)
+# Rows of one text beyond which its lookups are split.
+PIECE_ROWS = 1_000
 
 
 class WaveletMatrix:
@@ -171,8 +172,10 @@ def _anchors(texts: pa.Array, window: int) -> Iterator[tuple[Words, int, int, np
 def repeated_segments(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     """``key, mark, start, mask``: windows from word ``start`` on that occur elsewhere, as bits.
 
-    ``keyed`` has ``key`` (not null), ``mark`` and ``text``.
+    ``keyed`` has ``key``, ``mark`` and ``text``; the first two name the text.  Its
+    rows get numbers of their own, which are written once with their anchors.
     """
+    numbered = keyed.withColumn("row", F.monotonically_increasing_id())
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,16 +187,17 @@ def repeated_segments(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
                 rows.append(np.full(len(unique), at))
             if rows:
                 take = pa.array(np.concatenate(rows))
-                columns = [pa.array(np.concatenate(hashes)), batch.column("key").take(take), batch.column("mark").take(take)]
-                columns.append(pa.array(np.concatenate(places).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "key", "mark", "place"])
+                columns = [batch.column(c).take(take) for c in ("row", "key", "mark")]
+                columns += [pa.array(np.concatenate(hashes)), pa.array(np.concatenate(places).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "key", "mark", "anchor", "place"])
 
-    marked = stored(keyed.mapInArrow(anchors, "anchor long, key long, mark int, place int"), "anchors")
+    marked = stored(numbered.mapInArrow(anchors, "row long, key long, mark long, anchor long, place int"), "anchors")
     shared = marked.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    places = (
-        join_many_to_one(marked, shared, ["anchor"], rows="n")
-        .groupBy("key", "mark").agg(F.collect_set("place").alias("places"))
-    )
+    # Equal texts have equal places; those of the row with the smallest number stand for all.
+    rows = marked.groupBy("row").agg(F.first("key").alias("key"), F.first("mark").alias("mark"))
+    texts = rows.groupBy("key", "mark").agg(F.min("row").alias("row"), F.count("*").alias("rows"))
+    met = join_many_to_one(marked.select("anchor", "row", "place"), shared, ["anchor"], rows="n")
+    places = stored(met.groupBy("row").agg(F.collect_set("place").alias("places")).join(texts, "row").drop("row"), "places")
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,12 +222,12 @@ def repeated_segments(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
                     out["anchor"].append(int(grams[chosen[start]].astype(np.int64)))
                     out["key"].append(keys[at].as_py())
                     out["mark"].append(marks[at].as_py())
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             columns = [pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=list(out))
 
-    read = keyed.join(places, ["key", "mark"])
-    fields = "key long, mark int, start int, size int, anchor long, content long, body binary"
+    read = join_many_to_one(keyed, places, ["key", "mark"], rows="rows", piece_rows=PIECE_ROWS)
+    fields = "key long, mark long, start int, size int, anchor long, content long, body binary"
     found = stored(read.mapInArrow(segments, fields), "segments")
 
     unique = found.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.max("body").alias("body"))
@@ -299,22 +303,18 @@ def repeated_segments(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def _keyed(id_col: str, text_col: str) -> dict:
-    """Key, mark and text under names that no table is likely to have."""
-    text = F.col(text_col).cast("string")
-    return {
-        "key": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID).cast("long")),
-        "mark": F.hash(text),
-        "text": text,
-    }
+def _keys(text: Column) -> dict[str, Column]:
+    """Two hashes that name a text; different texts share both with a chance of 2^-128 a pair."""
+    return {"key": F.xxhash64(text), "mark": F.xxhash64(F.lit(WINDOW), text)}
 
 
-def _cuts(keyed: DataFrame, window: int) -> DataFrame:
-    """``key, mark, cuts`` of the documents that lose words."""
+def _cuts(texts: DataFrame, window: int) -> DataFrame:
+    """``key, mark, cuts, rows`` of the texts that lose words; ``rows`` have the text."""
     if not ANCHOR_WORDS <= window <= ANCHOR_WORDS + 50:
         raise ValueError("the window must have 12 to 62 words")
-    found = repeated_segments(keyed, window)
-    return found.groupBy("key", "mark").agg(F.collect_set(F.struct("start", "mask")).alias("cuts"))
+    found = repeated_segments(texts, window)
+    cut = found.groupBy("key", "mark").agg(F.collect_set(F.struct("start", "mask")).alias("cuts"), F.count("*").alias("rows"))
+    return stored(cut, "cuts")
 
 
 def _kept_words(texts: pa.Array, cuts: pa.Array, window: int) -> Iterator[tuple[int, int, bytes]]:
@@ -349,7 +349,9 @@ def substring_dedup(
     3. Each shard builds an FM-index over a wavelet matrix of its segments and
        streams them through a backward search for matching statistics; matches of
        35 words or more mark their windows.
-    4. The marks are joined back to the documents.
+    4. The marks are joined back to the documents by two 64-bit hashes of the
+       whole text; equal texts lose equal words.  Texts with very many rows are
+       split in the joins.
 
     Windows are judged on the input.  Returns one row per input row: ``doc_id,
     n_words, n_removed, kept_sha256`` (of the kept words joined by one space).
@@ -358,7 +360,8 @@ def substring_dedup(
     lose all their windows.  Other columns are ignored; an empty table gives an
     empty result.
     """
-    keyed = docs.select(*[column.alias(name) for name, column in _keyed(id_col, text_col).items()])
+    ids, text = F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
+    keyed = docs.select(ids, text).select("doc_id", "text", *[c.alias(name) for name, c in _keys(F.col("text")).items()])
     fields = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     names = [f.split()[0] for f in fields.split(", ")]
 
@@ -369,25 +372,27 @@ def substring_dedup(
                 counts.append(count)
                 gone.append(count - kept)
                 digests.append(hashlib.sha256(words).hexdigest())
-            ids = batch.column("key").to_numpy()
-            columns = [pa.array(ids, pa.int64(), mask=ids == _NO_ID), pa.array(counts, pa.int64())]
+            columns = [batch.column("doc_id"), pa.array(counts, pa.int64())]
             columns += [pa.array(gone, pa.int64()), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return keyed.join(_cuts(keyed, window), ["key", "mark"], "left").mapInArrow(digest, fields)
+    cuts = _cuts(keyed.drop("doc_id"), window)
+    joined = join_many_to_one(keyed, cuts, ["key", "mark"], rows="rows", how="left", piece_rows=PIECE_ROWS)
+    return joined.select("doc_id", "text", "cuts").mapInArrow(digest, fields)
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def cut_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` without the words that :func:`substring_dedup` finds.
 
     A text that loses words becomes its kept words joined by one space; all other
     texts and columns stay as they are, and no row goes.
     """
-    columns = _keyed(id_col, text_col)
-    own = {"key": "__callsift_key", "mark": "__callsift_mark"}
-    wide = docs.withColumns({own[name]: columns[name] for name in own})
-    cuts = _cuts(docs.select(*[column.alias(name) for name, column in columns.items()]), window)
-    joined = wide.join(cuts.withColumnsRenamed({**own, "cuts": "__callsift_cuts"}), list(own.values()), "left")
+    keys = _keys(F.col(text_col).cast("string"))
+    texts = docs.select(F.col(text_col).cast("string").alias("text"), *[c.alias(name) for name, c in keys.items()])
+    own = {name: f"__callsift_{name}" for name in ("key", "mark", "cuts", "rows")}
+    wide = docs.withColumns({own[name]: c for name, c in keys.items()})
+    cuts = _cuts(texts, window).withColumnsRenamed(own)
+    joined = join_many_to_one(wide, cuts, [own["key"], own["mark"]], rows=own["rows"], how="left", piece_rows=PIECE_ROWS)
     at, names = docs.columns.index(text_col), docs.columns
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,8 +20,10 @@ from callsift.llm.tables import stored
 SAMPLE_ROWS = 16_384
 
 # A word joins the insults if at least MIN_TEXTS different toxic texts of the sample
-# have it, after as many different words, and its log odds are at least MIN_ODDS.
-MIN_TEXTS, MIN_ODDS, MAX_LEARNT = 5, 3.0, 4_096
+# have it, between as many different pairs of words, and its log odds are at least MIN_ODDS.
+MIN_TEXTS, MIN_ODDS = 5, 3.0
+# Words that are learnt at most unless a caller says otherwise; they go to the driver and the tasks.
+MOST_LEARNT = 4_096
 
 # The lexicon of the grammar: class of each word.
 LEXICON = {
@@ -199,30 +201,30 @@ class Grammar:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each distinct word of each text, with the word before its first place."""
+    """Each distinct word of each text, with the words around its first place."""
     for batch in batches:
         for text, label in zip(batch.column("text"), batch.column("label"), strict=True):
+            found = _TOKEN.findall((text.as_py() or "").lower())
             first: dict[str, str] = {}
-            before = ""
-            for word in _TOKEN.findall((text.as_py() or "").lower()):
-                first.setdefault(word, before)
-                before = word
+            for before, word, after in zip(["", *found], found, [*found[1:], ""], strict=False):
+                first.setdefault(word, f"{before} {after}")
             marks = pa.array([label.as_py()] * len(first), pa.int32())
             columns = [pa.array(list(first), pa.string()), pa.array(list(first.values()), pa.string()), marks]
-            yield pa.RecordBatch.from_arrays(columns, names=["word", "before", "label"])
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "around", "label"])
 
 
-def learn_insults(sample: DataFrame) -> frozenset[str]:
-    """Words that mark toxic texts of the sample, at most :data:`MAX_LEARNT`, the surest first.
+def learn_insults(sample: DataFrame, most: int = MOST_LEARNT) -> frozenset[str]:
+    """Words that mark toxic texts of the sample, at most ``most``, the surest first.
 
-    Copies of a text count once, and near copies repeat a word after the same
-    word, so the words of one much-copied text do not pass.
+    Copies of a text count once, as toxic if one of them is, and near copies
+    repeat a word between the same words, so the words of one much-copied text do
+    not pass.
     """
-    texts = sample.dropDuplicates(["text"])
+    texts = sample.groupBy("text").agg(F.max("label").alias("label"))
     both = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     counted = (
-        texts.select("text", "label").mapInArrow(_words, "word string, before string, label int")
-        .groupBy("word", "before").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+        texts.select("text", "label").mapInArrow(_words, "word string, around string, label int")
+        .groupBy("word", "around").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
         .groupBy("word").agg(
             F.sum("toxic").alias("toxic"),
             F.sum("clean").alias("clean"),
@@ -235,14 +237,16 @@ def learn_insults(sample: DataFrame) -> frozenset[str]:
         (F.col("toxic") >= MIN_TEXTS) & (F.col("contexts") >= MIN_TEXTS) & (odds >= MIN_ODDS)
         & (F.length("word") >= 3)
     )
-    top = sure.orderBy(F.desc(odds), "word").limit(MAX_LEARNT)
+    top = sure.orderBy(F.desc(odds), "word").limit(most)
     return frozenset(r["word"] for r in top.collect())
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Grammar:
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, most_learnt: int = MOST_LEARNT
+) -> Grammar:
     """Fit on a bounded sample; only the hits of its texts go to the driver, counted by pattern and word."""
     sample = stored(labelled_sample(docs, labels, label, rows), "toxic-sample")
-    learnt = learn_insults(sample)
+    learnt = learn_insults(sample, most_learnt)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,7 +292,9 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROW
     Documents without a hit, empty and null texts among them, get the score of
     the bias.  Documents with a null id are scored and not held out; labels with
     nulls or other values are not learnt from, and of repeated labels of one id
-    the larger counts.  Other columns are ignored.
+    the larger counts.  Texts of any length are scored as a whole; repeated ids
+    are scored each, and learnt from once.  An empty table gives an empty result.
+    Other columns are ignored.
     """
     grammar = fit_toxicity(docs, labels.where(~held_out("doc_id", 5, 0)), rows=rows)
     scored = toxicity_scores(docs, grammar)

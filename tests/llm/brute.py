@@ -24,7 +24,7 @@ def components(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-def near_duplicates(rows):
+def near_duplicates(rows, percent=85):
     """{doc_id: (n_shingles, component_id)} of (doc_id, text) with distinct ids."""
     sets, index = {}, defaultdict(list)
     for doc, text in rows:
@@ -40,7 +40,7 @@ def near_duplicates(rows):
         docs = sorted(docs)
         shared.update((a, b) for i, a in enumerate(docs) for b in docs[i + 1 :])
     links = [
-        (a, b) for (a, b), n in shared.items() if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n)
+        (a, b) for (a, b), n in shared.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)
     ]
     found = components(sets, links)
     return {d: (len(s), found[d]) for d, s in sets.items()}

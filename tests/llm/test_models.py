@@ -14,9 +14,9 @@ from callsift.llm import embedding, license, toxicity
 from callsift.llm.bpe import encode_decode, load_codec
 from callsift.llm.embedding import embedding_duplicates
 from callsift.llm.packing import Bins, pack, pack_documents
-from callsift.llm.quality import NBSVM, classify_quality, keep_quality
+from callsift.llm.quality import NBSVM, classify_quality, fit_quality, keep_quality, labelled_sample
 from callsift.llm.queries import vocabulary
-from callsift.llm.toxicity import classify_toxicity, hits
+from callsift.llm.toxicity import classify_toxicity, hits, learn_insults
 from tests.llm import brute
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -162,6 +162,34 @@ def test_toxicity_held_out_accuracy(spark):
     assert accuracy(spark, classify_toxicity(docs, labels), "toxic") > 0.9
 
 
+def test_toxicity_recall_and_precision_by_language(spark):
+    """On the larger table, where an answer that is always clean would have a recall of 0."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    result = classify_toxicity(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    counted = result.where("held_out").groupBy("lang").agg(
+        F.expr("count_if(toxic = 1)").alias("toxic"), F.expr("count_if(toxic = 1 and predicted = 1)").alias("caught"),
+        F.expr("count_if(toxic = 0 and predicted = 1)").alias("wrong"),
+    ).collect()
+    assert sum(r.toxic for r in counted) > 50
+    for r in counted:
+        assert r.caught >= 0.9 * r.toxic - 1, r
+    caught, wrong = sum(r.caught for r in counted), sum(r.wrong for r in counted)
+    # Seven labelled texts of mangled words hold no insult that another text has.
+    assert caught >= 0.92 * sum(r.toxic for r in counted) and wrong <= 0.05 * (caught + wrong)
+
+
+def test_sample_is_bounded_in_rows(spark, table):
+    """A table read twenty times gives the same sample, and texts of one id are chosen by their hash."""
+    rows = [(i, f"text {i}") for i in range(300)] + [(5, "other"), (None, "x")]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(300)], "doc_id long, quality int, toxic int")
+    once = sorted(tuple(r) for r in labelled_sample(table(rows), labels, "quality", 100).collect())
+    often = sorted(tuple(r) for r in labelled_sample(table(rows * 20), labels, "quality", 100).collect())
+    assert once == often and len(often) == 100
+    assert len(learn_insults(labelled_sample(table(rows * 20), labels, "toxic", 100), most=3)) <= 3
+    model, again = fit_quality(table(rows), labels), fit_quality(table(rows * 20), labels)
+    assert (model.weights == again.weights).all() and model.slope == again.slope
+
+
 def test_classifiers_take_odd_rows(spark, table):
     rows = [(i, f"calm words number {i} here") for i in range(40)] + [(i, "LOUD!! IDIOT!! SCUM!!") for i in range(40, 80)]
     rows += [(90, None), (91, ""), (None, "calm words"), (92, "long " * 30_000), (1, "calm words number 1 here")]
@@ -177,6 +205,7 @@ def test_classifiers_take_odd_rows(spark, table):
     none = labels.where("false")
     assert {r.score for r in classify_quality(docs, none).collect()} == {0.5}
     assert classify_toxicity(docs.where("false"), none).count() == 0
+    assert classify_quality(docs.where("false"), none).count() == 0
     model = NBSVM().fit([np.array([1, 2]), np.array([3])], np.array([1, 0]))
     assert keep_quality(docs, model).columns == docs.columns
 

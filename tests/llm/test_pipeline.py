@@ -17,7 +17,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def test_queries_are_registered():
     names = set(queries())
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= names and set(ORACLES) <= set(oracle_sql())
 
 
@@ -43,7 +43,7 @@ def test_stages_equal_plain_versions(spark):
     kept = {d for d, _ in texts(quality)}
     assert len(good - kept) <= 0.05 * len(good)
     assert sorted(d for d, *_, stays, _ in exact_expected(texts(quality)) if stays) == sorted(d for d, _ in texts(exact))
-    groups = brute.near_duplicates(texts(exact))
+    groups = brute.near_duplicates(texts(exact), percent=80)
     assert {d for d, (_, c) in groups.items() if d == c} == {d for d, _ in texts(near)}
     plain = {d: (n, gone) for d, n, gone, _ in brute.substring_dedup(texts(near))}
     before = dict(texts(near))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,6 +173,28 @@ def test_substring_dedup_edges(table):
     assert sorted(r.text for r in cut.collect()) == sorted(["", "", rows[2][1], "short one"])
 
 
+def test_substring_rows_of_one_id(table, spark):
+    """Texts of null ids or of one id keep their own cuts, also where Spark's 32-bit hashes of them are equal."""
+    first, second = (" ".join(f"w{n}x{i}" for i in range(40)) for n in (23147, 205656))
+    assert spark.range(1).select((F.hash(F.lit(first)) == F.hash(F.lit(second))).alias("equal")).first().equal
+    rows = [(None, first), (None, second), (3, f"a b c {first} d e")]
+    rows += [(7, " ".join(words(90 + i, 45))) for i in range(4)] + [(7, " ".join(words(91, 45)[:40]))]
+    expected = Counter(brute.substring_dedup(rows))
+    assert Counter(tuple(r) for r in substring_dedup(table(rows)).collect()) == expected
+    cut = Counter((r.doc_id, r.text) for r in cut_repeats(table(rows)).collect())
+    assert cut[(None, second)] == 1 and cut[(None, "")] == 1 and cut[(3, "a b c d e")] == 1
+
+
+def test_substring_row_repeated_very_often(table, monkeypatch):
+    """One row a thousand times, its lookups split into many pieces."""
+    monkeypatch.setattr(substring, "PIECE_ROWS", 50)
+    hot = " ".join(words(5, 60))
+    rows = [(1, hot)] * 1000 + [(2, f"x {hot} y")] + [(10 + i, " ".join(words(200 + i, 50))) for i in range(40)]
+    expected = Counter(brute.substring_dedup(rows))
+    assert Counter(tuple(r) for r in substring_dedup(table(rows).repartition(4)).collect()) == expected
+    assert Counter(r.text for r in cut_repeats(table(rows)).collect())[""] == 1000
+
+
 def test_index_counts_patterns():
     import numpy as np
 
