@@ -57,8 +57,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near duplicates stays, the one with the smallest id."""
-    return keep_one_per_component(_numbered(docs), row_col=ROW).select(docs.columns)
+    """One row of each component of near duplicates (similarity 0.8 or more) stays, the one with the smallest id."""
+    return keep_one_per_component(_numbered(docs), row_col=ROW, percent=80).select(docs.columns)
 
 
 @_stage
