@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from callsift.functions.keys import as_condition
 from callsift.plans.ordering import (
+    first_per_key_marked,
     input_order,
     time_order,
     with_group_position,
@@ -51,18 +52,64 @@ def _window_number(window_ms: float) -> Column:
     return (F.col("timestamp") * F.lit(1000.0) / F.lit(float(window_ms))).cast("bigint")
 
 
+def _window_limits(windowed: DataFrame, order: Sequence[str], budget: int) -> DataFrame:
+    """``_window, _last, _extra, _tied`` of the windows with at least ``budget`` requests.
+
+    ``_last`` is the position of the last request within the budget, ``_extra``
+    how many requests at that very position are within it, and ``_tied`` tells
+    that there are more of them.  Only the window and the order columns are
+    shuffled; up to Spark's limit of ranks at most ``budget + 1`` rows per window
+    and task.
+    """
+    key = F.struct(*order)
+    narrow = windowed.select("_window", *order)
+    if budget < GROUP_LIMIT:
+        window = Window.partitionBy("_window").orderBy(*order)
+        top = narrow.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= budget + 1)
+        # The rows of a window are together now: no further shuffle.
+        ties = F.rank().over(window).alias("_first")
+        marked = top.select("*", ties, F.lead(key).over(window).alias("_next")).where(F.col("_rank") == budget)
+        return marked.select(
+            "_window",
+            key.alias("_last"),
+            (budget + 1 - F.col("_first")).alias("_extra"),
+            F.coalesce(F.col("_next") == key, F.lit(False)).alias("_tied"),
+        )
+    placed = with_group_position(narrow, ["_window"], order, "_place")
+    lasts = placed.where(F.col("_place") == budget - 1).select("_window", key.alias("_last"))
+    below, same = F.count_if(key < F.col("_last")), F.count_if(key == F.col("_last"))
+    return (
+        narrow.join(lasts.withColumnRenamed("_window", "_limited"), F.col("_window").eqNullSafe(F.col("_limited")))
+        .groupBy("_window", "_last")
+        .agg((budget - below).alias("_extra"), (below + same > budget).alias("_tied"))
+    )
+
+
 def throttle(
     df: DataFrame, max_rps: float, window_ms: float = 1000.0, order_cols: Sequence[str] | None = None
 ) -> DataFrame:
     """Add ``kept``: whether the request is within its window's budget.
 
     Each window keeps its first ``max(1, floor(max_rps * window_ms / 1000))``
-    requests by time.
+    requests by time.  The last position within the budget is found for each
+    crowded window, and every request is compared with it in a join by window,
+    whose crowded partitions AQE splits.  Only requests at that very position of
+    windows where too many share it are ranked.
     """
-    budget = _budget(max_rps, window_ms)
+    budget, order = _budget(max_rps, window_ms), time_order(df, order_cols)
+    here = F.struct(*order)
     windowed = df.withColumn("_window", _window_number(window_ms))
-    placed = with_group_position(windowed, ["_window"], time_order(df, order_cols), "_place")
-    return placed.withColumn("kept", F.col("_place") < budget).drop("_window", "_place")
+    limits = _window_limits(windowed, order, budget)
+    # Requests without a time are a window of their own.
+    limits = limits.withColumnRenamed("_window", "_limited")
+    same = windowed["_window"].eqNullSafe(limits["_limited"])
+    compared = windowed.join(limits.drop("_extra"), same, "left")
+    open_ = F.coalesce(F.col("_tied") & (here == F.col("_last")), F.lit(False))
+    kept = F.col("_last").isNull() | (here <= F.col("_last"))
+    sure = compared.where(~open_).withColumn("kept", kept).drop("_window", "_limited", "_last", "_tied")
+    crowded = windowed.join(limits.where("_tied"), same).where(here == F.col("_last"))
+    ties = first_per_key_marked(crowded, ["_window"], "_extra", "kept")
+    return sure.unionByName(ties.select(*[f"`{c}`" for c in sure.columns]))
 
 
 def throttle_kept(

@@ -54,6 +54,22 @@ def with_row_index(df: DataFrame, order: Sequence[Column | str], name: str = "ro
             conf.unset(INDEX_CACHE)
 
 
+def rows_between(df: DataFrame, order: Sequence[str], start: int, stop: int) -> DataFrame:
+    """Rows at the positions ``start`` to ``stop - 1`` of an order, with their position as ``_at``.
+
+    Positions are found on the order columns alone; then a comparison with the
+    first and the last key picks whole rows, and only these are ranked.
+    """
+    key = F.struct(*order)
+    narrow = df.select(*order)
+    wanted = with_row_index(narrow, order, "_at").where((F.col("_at") >= start) & (F.col("_at") < stop))
+    ends = wanted.agg(F.struct(F.min(key).alias("low"), F.max(key).alias("high")).alias("ends")).scalar()
+    before = narrow.where(key < ends["low"]).agg(F.count("*")).scalar()
+    near = df.where((key >= ends["low"]) & (key <= ends["high"]))
+    placed = with_row_index(near, order, "_near").withColumn("_at", F.col("_near") + before).drop("_near")
+    return placed.where((F.col("_at") >= start) & (F.col("_at") < stop))
+
+
 def first_rows(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
     """The first ``n`` rows of an order: a top-k when small, else an index range."""
     if n <= TOP_K_ROWS:
@@ -109,6 +125,23 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return first_per_key(df, keys, [F.col(c).desc() for c in order])
 
 
+def first_per_key_marked(df: DataFrame, keys: Sequence[str], wanted: str, name: str) -> DataFrame:
+    """Add whether a row is among the ``wanted`` (a column) first of its key, for rows that rank alike.
+
+    Rows are numbered per key and input partition first; only those that could
+    be among the first then compete, so the rows of a hot key stay spread over
+    as many groups as there are input partitions.
+    """
+    parts = df.withColumn("_hash", content_hash(df)).withColumn("_part", F.spark_partition_id())
+    local = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_hash"))
+    led = parts.withColumn("_local", local).withColumn(
+        "_heat", F.when(F.col("_local") <= F.col(wanted), -1).otherwise(F.col("_part"))
+    )
+    final = F.row_number().over(Window.partitionBy(*keys, "_heat").orderBy("_hash", "_part"))
+    first = (F.col("_heat") == -1) & (F.col("_final") <= F.col(wanted))
+    return led.withColumn("_final", final).withColumn(name, first).drop("_hash", "_part", "_local", "_heat", "_final")
+
+
 def all_but_one(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All rows except one of each key, the one with the smallest content hash per part.
 

@@ -37,6 +37,34 @@ def test_large_budgets_take_the_positional_path(spark, log, values):
     assert kept.agg(F.sum("seq")).first()[0] == sum(range(1500)) + sum(range(4000, 5000))
 
 
+@pytest.mark.parametrize("budget", [1, 3, 40, 2000])
+def test_throttle_equals_the_window_rank(spark, monkeypatch, budget):
+    """Crowded, sparse and negative windows, nulls, and copies of one request on both sides of the limit."""
+    monkeypatch.setattr(timeseries, "GROUP_LIMIT", 1000)
+    at = F.when(F.col("n") % 3 == 0, 5.25).when(F.col("n") % 50 == 1, None).otherwise(F.col("n") % 97 / 3 - 4)
+    df = spark.range(0, 9000, 1, 6).withColumnRenamed("id", "n").select(
+        at.cast("double").alias("timestamp"), F.lit(None).cast("long").alias("seq"),
+        F.when(F.col("n") % 3 == 0, "copy").otherwise((F.col("n") % 700).cast("string")).alias("id"),
+        F.lit("body").alias("response_body"),
+    )
+    window = Window.partitionBy("w").orderBy("timestamp", "seq", "id")
+    ranked = df.withColumn("w", (F.col("timestamp") * 1000.0 / 1000.0).cast("bigint")).withColumn(
+        "kept", F.row_number().over(window) <= budget
+    )
+    keys = ["timestamp", "id", "kept"]
+    want = {tuple(r[:3]): r[3] for r in ranked.groupBy(keys).count().collect()}
+    assert {tuple(r[:3]): r[3] for r in timeseries.throttle(df, budget).groupBy(keys).count().collect()} == want
+
+
+def test_throttle_ranks_narrow_rows(log):
+    """No sampled sort, and the ranked windows carry no body."""
+    plan = timeseries.throttle(log({}, {}), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "WindowGroupLimit" in plan
+    for line in plan.splitlines():
+        if "WindowGroupLimit" in line:
+            assert "body" not in line
+
+
 @pytest.mark.parametrize("rps, window", [(0, 1000), (1, 0), (-1, 5)])
 def test_throttle_config_is_checked(log, rps, window):
     with pytest.raises(ValueError, match="positive"):
@@ -91,6 +119,9 @@ def test_pages(log, values, monkeypatch):
         assert values(paging.paginate(df, 2, 3), "id") == ["3", "4", "5"]
         assert values(paging.paginate(df, 3, 3), "id") == ["6"]
         assert paging.paginate(df, 4, 3).count() == 0
+        # Copies of one record stand on several pages.
+        copies = log(*[{"seq": s, "id": str(s)} for s in (0, 1, 1, 1, 1, 1, 2)])
+        assert [values(paging.paginate(copies, p, 2), "id") for p in (1, 2, 3, 4)] == [["0", "1"], ["1", "1"], ["1", "1"], ["2"]]
     assert values(paging.page_meta(df, 3, 3)) == [(3, 3, 7, 3, False, True)]
     assert values(paging.page_meta(df.limit(0), 1, 3)) == [(1, 3, 0, 1, False, False)]
     for bad in ((0, 3), (1, 0)):
