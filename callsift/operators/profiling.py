@@ -48,7 +48,7 @@ def latency_profile(
     into logarithmic bins; the bin that holds a wanted rank is searched by parts,
     and the part value by value.  A part is 1/16,777,216 of an e-fold, so a task
     gets few values unless durations are finer than seven digits.  NaN counts as
-    larger than every number.  ``approximate`` uses Spark's sketch of the given
+    larger than every number, and infinity has a bin of its own below it.  ``approximate`` uses Spark's sketch of the given
     ``accuracy`` instead.
     """
     timed = df.where(F.col("duration_ms").isNotNull()).select(*by, F.col("duration_ms").alias("_v"))
@@ -56,12 +56,13 @@ def latency_profile(
         return _approximate(timed, by, percentiles, accuracy)
     # Monotone in _v, so bins keep the order of the values; NaN comes after all of them.
     place = F.signum("_v") * F.log1p(F.abs("_v")) * _BINS_PER_E
-    last = F.isnan("_v")
+    last, endless = F.isnan("_v"), F.abs("_v") == float("inf")
+    ends = F.when(F.col("_v") > 0, F.lit(_NAN_BIN - 1)).otherwise(F.lit(-_NAN_BIN))
     binned = timed.select(
         *by,
         "_v",
-        F.when(last, F.lit(_NAN_BIN)).otherwise(F.floor(place)).alias("_bin"),
-        F.when(last, F.lit(0)).otherwise(F.floor((place - F.floor(place)) * _BINS_PER_E)).alias("_part"),
+        F.when(last, F.lit(_NAN_BIN)).when(endless, ends).otherwise(F.floor(place)).alias("_bin"),
+        F.when(last | endless, F.lit(0)).otherwise(F.floor((place - F.floor(place)) * _BINS_PER_E)).alias("_part"),
     )
     # Both uses of the counts below need a bin, and the common filter lets them share one shuffle.
     values = (

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from callsift.plans.ordering import first_per_key, input_order
+from callsift.sources.log import append_log, read_log
 
 
 def archive(df: DataFrame, path: str) -> int:
@@ -33,3 +34,17 @@ def restore_new_records(
     """Archived requests whose id is not in the log yet, the first one per id."""
     firsts = first_per_key(archived, ["id"], input_order(archived, order_cols))
     return firsts.join(existing.select("id").distinct(), "id", "left_anti").select(*archived.columns)
+
+
+def restore(
+    spark: SparkSession, archive_path: str, log_path: str, format: str = "parquet", order_cols: Sequence[str] | None = None
+) -> int:
+    """Append the archived requests that the log does not have yet; how many, from the same pass.
+
+    An absent log is created.  A second restore of the same archive adds nothing.
+    """
+    existing = read_log(spark, log_path, format, strict=False)
+    seen = Observation()
+    missing = restore_new_records(read_archive(spark, archive_path), existing, order_cols)
+    append_log(missing.observe(seen, F.count(F.lit(1)).alias("n")), log_path, format)
+    return seen.get["n"]

@@ -27,6 +27,9 @@ _NAMES = {
 }
 _ACCEPTED = [*[n for names in _NAMES.values() for n in names], SECONDS_ALIAS]
 CORRUPT = "_corrupt_record"
+_END = "_callsift_end"
+# White space around a line (fixed values: what str.strip removes, without the line ends of a file).
+_SPACES = " \t\x0b\x0c\r\n\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 DAY = "day"
 
 
@@ -97,18 +100,25 @@ def parse_lines(lines: DataFrame, strict: bool = True, mode: str = "FAILFAST") -
     """Canonical requests from a DataFrame (or stream) of JSON lines in ``value``."""
     if mode not in ("FAILFAST", "PERMISSIVE"):
         raise ValueError(f"mode must be 'FAILFAST' or 'PERMISSIVE', got '{mode}'")
-    # In brackets the line is an array, and whatever follows its record is an error.
-    whole = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<map<string,string>>")
-    read = lines.where(F.trim("value") != "").select(
-        "value", F.when(F.size(whole) == 1, F.get(whole, F.lit(0))).alias("f"), F.from_json("value", _line_schema()).alias("r")
+    lines = lines.select(F.trim("value", F.lit(_SPACES)).alias("value")).where(F.col("value") != "")
+    # In an array with an end mark after the line, whatever else the line holds keeps the mark from being the
+    # second entry.  The mark is a hash of the line, so no line can bring its own.
+    mark = F.xxhash64("value").cast("string")
+    closed = F.concat(F.lit("["), "value", F.lit(f',{{"{_END}":"'), mark, F.lit('"}]'))
+    whole = F.from_json(closed, "array<map<string,string>>")
+    one = (F.size(whole) == 2) & (F.get(whole, F.lit(1))[_END] == mark)
+    both = F.struct(
+        F.when(one, F.get(whole, F.lit(0))).alias("f"), F.from_json("value", _line_schema()).alias("r")
     )
+    # Behind a generator the parsed line is not put in for each of its many uses.
+    read = lines.select("value", F.explode_outer(F.array(both)).alias("read")).select("value", "read.f", "read.r")
     judged = read.select("value", "r", _problem(strict).alias("p"))
     if mode == "FAILFAST":
         # A filter runs even where no column is asked for.
         judged = judged.where(_raised())
     record = F.when(F.col("p").isNull(), F.col("r"))
     parsed = judged.select(record.alias("r"), F.when(F.col("p").isNotNull(), F.col("value")).alias(CORRUPT))
-    merged = parsed.select(*[_any_name(f.name).cast(_kind(f)).alias(f.name) for f in REQUEST_SCHEMA], CORRUPT)
+    merged = parsed.select(*[_any_name(f.name).try_cast(_kind(f)).alias(f.name) for f in REQUEST_SCHEMA], CORRUPT)
     columns = canonical_columns(merged)
     return merged.select(*columns) if mode == "FAILFAST" else merged.select(*columns, CORRUPT)
 
@@ -147,7 +157,8 @@ def _problem(strict: bool) -> Column:
     malformed = F.when(F.col("f").isNull(), F.concat(F.lit("malformed record: "), F.col("value")))
     wrong = [F.when(given(n) & F.col(f"r.{n}").isNull(), F.lit(n)) for n in _ACCEPTED]
     whole = F.col("r.response_status")
-    wrong.append(F.when(whole != F.floor(whole), F.lit("response_status")))
+    fits = (whole == F.rint(whole)) & (F.abs(whole) < 2.0**31)
+    wrong.append(F.when(~fits, F.lit("response_status")))
     keys = F.map_keys("f")
     nameless = F.arrays_overlap(keys, F.array(*[F.lit(n) for n in _NAMES["id"]])) & ~_any_given(_NAMES["id"], given)
     wrong.append(F.when(nameless, F.lit("id")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -54,10 +55,14 @@ def watch(
     on_batch: Callable[[DataFrame, int], None],
     checkpoint: str,
     skip_existing: bool = True,
+    errors: list[str] | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Start a query that hands each micro-batch of new requests to ``on_batch``.
 
+    Given a list of ``errors``, an exception of ``on_batch`` is noted there and the
+    watch goes on with the next batch; otherwise it ends the watch.
+
     With ``skip_existing`` the files present now only fill the seen-id state of
     the checkpoint: one run to the end without output, then the watch goes on
     from there.  That happens once per checkpoint; a restart continues.
@@ -69,7 +74,18 @@ def watch(
 
     if skip_existing and not _started_before(stream.sparkSession, checkpoint):
         _start(fresh, ignore, checkpoint, {"availableNow": True}).awaitTermination()
-    return _start(fresh, on_batch, checkpoint, trigger or {"processingTime": "1 second"})
+
+    def hand_on(batch: DataFrame, batch_id: int) -> None:
+        try:
+            on_batch(batch, batch_id)
+        except Exception as error:
+            if errors is None:
+                raise
+            errors.append(str(error))
+            # The seen ids are only kept by a batch that was read to its end.
+            ignore(batch, batch_id)
+
+    return _start(fresh, hand_on, checkpoint, trigger or {"processingTime": "1 second"})
 
 
 def _start(df: DataFrame, sink: Callable, checkpoint: str, trigger: dict) -> StreamingQuery:
@@ -90,7 +106,7 @@ def _started_before(spark: SparkSession, checkpoint: str) -> bool:
 
 @dataclass
 class BatchCounts:
-    """What :func:`consume_batches` has handed on so far, in this run of the query."""
+    """What :func:`consume_batches` has handed on, earlier runs of the query included."""
 
     batches: int = 0
     records: int = 0
@@ -98,6 +114,39 @@ class BatchCounts:
     errors: list[str] = field(default_factory=list)
 
 
+class _Ledger:
+    """Totals after each batch, one small file per batch beside the checkpoint.
+
+    A batch that is tried again starts from the totals before it, so it counts
+    once; a query that is started again goes on from the totals of its last batch.
+    """
+
+    KINDS = "batch_id long, batches long, records long, filtered_out long"
+
+    def __init__(self, spark: SparkSession, checkpoint: str):
+        self._spark, self._path = spark, f"{checkpoint.rstrip('/')}-ledger"
+        self._last: tuple[int, tuple[int, int, int]] | None = None
+
+    def before(self, batch_id: int) -> tuple[int, int, int]:
+        """(batches, records, filtered out) of all batches before this one."""
+        if self._last and self._last[0] == batch_id - 1:
+            return self._last[1]
+        try:
+            # No row where the query has handed on nothing yet.
+            noted = self._spark.read.schema(self.KINDS).option("recursiveFileLookup", True).parquet(self._path)
+            rows = noted.where(F.col("batch_id") < batch_id).orderBy(F.desc("batch_id")).limit(1).collect()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = []
+        return tuple(rows[0][1:]) if rows else (0, 0, 0)
+
+    def note(self, batch_id: int, totals: tuple[int, int, int]) -> None:
+        row = self._spark.createDataFrame([(batch_id, *totals)], self.KINDS).coalesce(1)
+        row.write.mode("overwrite").parquet(f"{self._path}/{batch_id}")
+        self._last = batch_id, totals
+
+
 def consume_batches(
     stream: DataFrame,
     consumer: Callable[[DataFrame, int], None],
@@ -111,31 +160,38 @@ def consume_batches(
     """Hand the requests that meet ``predicate`` to ``consumer``, batch by batch.
 
     ``max_records`` hands on that many, the first in input order, and none of the
-    later batches.  ``counts`` is filled in as batches are handed on.  With
+    later batches.  ``counts`` is filled in after each batch that was handed on.
+    Both hold over restarts: the totals after each batch are written beside the
+    checkpoint, and a batch that is tried again counts once.  With
     ``keep_going`` an exception of the consumer is noted in ``counts`` and the
-    query goes on; otherwise it ends the query.  Both need one more count per
-    batch, so they cost nothing where they are not asked for.
+    query goes on; otherwise it ends the query, and the batch is not counted.
+    The totals need one more count per batch, so they cost nothing where they are
+    not asked for.
     """
     given = counts if counts is not None else BatchCounts()
     condition = as_condition(predicate)
+    ledger = _Ledger(stream.sparkSession, checkpoint) if counts is not None or max_records is not None else None
 
     def hand_on(batch: DataFrame, batch_id: int) -> None:
-        accepted = batch.where(condition)
-        if counts is not None or max_records is not None:
+        accepted, totals = batch.where(condition), None
+        if ledger:
+            batches, records, filtered_out = ledger.before(batch_id)
+            given.batches, given.records, given.filtered_out = batches, records, filtered_out
             seen = batch.agg(F.count("*").alias("n"), F.count_if(condition).alias("ok")).first()
-            left = seen["ok"] if max_records is None else max_records - given.records
+            left = seen["ok"] if max_records is None else max_records - records
             if left <= 0:
                 return
-            given.filtered_out += seen["n"] - seen["ok"]
-            given.records += min(left, seen["ok"])
             if left < seen["ok"]:
                 accepted = first_rows(accepted, input_order(accepted), left)
-        given.batches += 1
+            totals = batches + 1, records + min(left, seen["ok"]), filtered_out + seen["n"] - seen["ok"]
         try:
             consumer(accepted, batch_id)
         except Exception as error:
             if not keep_going:
                 raise
             given.errors.append(str(error))
+        if ledger:
+            ledger.note(batch_id, totals)
+            given.batches, given.records, given.filtered_out = totals
 
     return _start(stream, hand_on, checkpoint, trigger or {"availableNow": True})

@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -163,6 +165,39 @@ def json_export_round_trip(spark, sf_dir):
     return log.read_log(spark, path).select("id", "seq", "path", "response_status")
 
 
+@_register(
+    on_requests("""
+select id, path, restored, 0 as again from requests,
+  (select count(*) filter (timestamp >= %s) as restored from requests)""" % tables.MIDDLE)
+)
+def restore_round_trip(spark, sf_dir):
+    """An archive of everything restored twice into a log that has the earlier requests."""
+    everything, path, kept = tables.requests(spark, sf_dir), scratch_path(spark, "log"), scratch_path(spark, "archive")
+    log.append_log(everything.where(F.col("timestamp") < tables.MIDDLE), path, "parquet")
+    archive.archive(everything, kept)
+    added = [archive.restore(spark, kept, path) for _ in range(2)]
+    read = log.read_log(spark, path, "parquet", strict=False).select("id", "path")
+    return read.withColumns({"restored": F.lit(added[0]).cast("long"), "again": F.lit(added[1])})
+
+
+@_register(
+    on_requests("""
+select 'late' as name, count(*) as records, count(*) as loaded, cast(sum(response_status) as bigint) as statuses
+from requests where timestamp >= %s""" % tables.MIDDLE)
+)
+def snapshot_round_trip(spark, sf_dir):
+    """Saved, replaced, listed and loaded; another one is deleted."""
+    everything = tables.requests(spark, sf_dir)
+    store = snapshots.SnapshotStore(spark, f"snapshots_{uuid.uuid4().hex}")
+    for name, part in (("gone", everything), ("late", everything), ("late", everything.where(F.col("timestamp") >= tables.MIDDLE))):
+        store.save(part, name)
+    store.delete("gone")
+    loaded = store.load("late").agg(
+        F.count("*").alias("loaded"), F.sum(F.col("response_status").cast("long")).alias("statuses")
+    )
+    return store.list().select("name", "records").join(F.broadcast(loaded))
+
+
 @_register(
     on_requests("select id, seq, path, response_status, (select count(*) from requests) as archived from requests")
 )
@@ -253,30 +288,58 @@ def top_paths_unsequenced(spark, sf_dir):
 @_register(
     _on_captured("""
 select kind, count(*) as n from (
-  select case seq % 5 when 1 then 'trailing' when 2 then 'two' when 3 then 'type' when 4 then 'cut' else 'good' end
-    as kind from (select event_id as seq from events)) group by kind""")
+  select case seq % 9 when 1 then 'trailing' when 2 then 'two' when 3 then 'type' when 4 then 'cut' when 5 then 'closed'
+    when 6 then 'closed two' when 7 then 'large' else 'good' end as kind from (select event_id as seq from events))
+group by kind""")
 )
 def bad_lines(spark, sf_dir):
-    """Lines of five kinds, of which the reader sets four aside."""
+    """Lines of nine kinds, of which the reader sets seven aside; blank lines do not count."""
     good = tables.requests(spark, sf_dir)
     line = F.to_json(F.struct(*good.columns), {"ignoreNullFields": "false"})
-    kind = F.col("seq") % 5
+    kind = F.col("seq") % 9
+    status = '"response_status":[0-9]+'
     bad = (
         F.when(kind == 1, F.concat(line, F.lit(" garbage")))
+        .when(kind == 5, F.concat(line, F.lit("] garbage")))
+        .when(kind == 6, F.concat(line, F.lit("] ["), line))
+        .when(kind == 7, F.regexp_replace(line, status, '"response_status":1e12'))
+        .when(kind == 8, F.concat(F.lit("\t "), line, F.lit("\u3000")))
         .when(kind == 2, F.concat(line, line))
         .when(kind == 3, F.regexp_replace(line, '"response_status":[0-9]+', '"response_status":"oops"'))
         .when(kind == 4, F.substring(line, 1, 20))
         .otherwise(line)
     )
-    read = log.parse_lines(good.select(bad.alias("value")), mode="PERMISSIVE")
+    blank = F.explode(F.array(bad, F.lit("\t"), F.lit(" \x0b\u2003"))).alias("value")
+    read = log.parse_lines(good.select(blank), mode="PERMISSIVE")
     raw = F.col(log.CORRUPT)
     found = (
-        F.when(raw.isNull(), "good").when(raw.endswith("garbage"), "trailing").when(raw.contains("}{"), "two")
+        F.when(raw.isNull(), "good").when(raw.endswith("] garbage"), "closed").when(raw.contains("] [{"), "closed two")
+        .when(raw.contains("1e12"), "large").when(raw.endswith("garbage"), "trailing").when(raw.contains("}{"), "two")
         .when(raw.contains("oops"), "type").otherwise("cut")
     )
     return read.groupBy(found.alias("kind")).agg(F.count("*").alias("n"))
 
 
+@_register(
+    _on_captured("""
+select kind, count(*) as n from (
+  select case event_id % 4 when 1 then 'unknown' when 2 then 'missing' when 3 then 'both' else 'good' end as kind from events)
+group by kind""")
+)
+def strict_lines(spark, sf_dir):
+    """Lines with unknown or missing fields, which a strict reader sets aside."""
+    good = tables.requests(spark, sf_dir)
+    kind = F.col("seq") % 4
+    line = F.to_json(F.struct(*good.columns), {"ignoreNullFields": "false"})
+    line = F.when(kind.isin(1, 3), F.concat(F.lit('{"extra":1,'), F.substr(line, F.lit(2)))).otherwise(line)
+    line = F.when(kind.isin(2, 3), F.regexp_replace(line, '"method":"[A-Za-z]+",', "")).otherwise(line)
+    raw = F.col(log.CORRUPT)
+    extra, lacking = raw.contains('"extra"'), ~raw.contains('"method"')
+    found = F.when(raw.isNull(), "good").when(extra & lacking, "both").when(extra, "unknown").otherwise("missing")
+    read = log.parse_lines(good.select(line.alias("value")), mode="PERMISSIVE")
+    return read.groupBy(found.alias("kind")).agg(F.count("*").alias("n"))
+
+
 # --------------------------------------------------------------------------- filters
 
 
@@ -1450,3 +1513,42 @@ def stream_new_records(spark, sf_dir):
     )
     query.awaitTermination()
     return spark.read.schema("id string, method string, path string, timestamp double").parquet(out)
+
+
+@_register(on_requests("select id, upper(method) as method, path from requests where response_status >= 400"))
+def stream_row_operators(spark, sf_dir):
+    """Row operators on a stream, as on a table."""
+    path, out = scratch_path(spark, "stream-log"), scratch_path(spark, "stream-out")
+    log.append_log(tables.requests(spark, sf_dir), path)
+    errors = transforms.normalize(watch.stream_log(spark, path)).where("response_status >= 400")
+    query = (
+        errors.select("id", "method", "path")
+        .writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", scratch_path(spark, "stream-checkpoint"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema("id string, method string, path string").parquet(out)
+
+
+@_register(
+    on_requests("""
+select id from requests where response_status = 200 and timestamp < %(m)s
+union all
+(select id from requests where response_status = 200 and timestamp >= %(m)s order by seq limit 100)""" % {"m": tables.MIDDLE})
+)
+def stream_limited_batches(spark, sf_dir):
+    """A consumer with a limit of records, stopped and started again in between."""
+    everything = tables.requests(spark, sf_dir)
+    early, late = everything.where(F.col("timestamp") < tables.MIDDLE), everything.where(F.col("timestamp") >= tables.MIDDLE)
+    path, out, checkpoint = (scratch_path(spark, f"stream-{p}") for p in ("log", "out", "checkpoint"))
+    limit = early.where("response_status = 200").count() + 100
+    for part in (early, late, late):
+        log.append_log(part, path)
+        watch.consume_batches(
+            watch.stream_log(spark, path), lambda batch, n: batch.select("id").write.mode("append").parquet(out), checkpoint,
+            "response_status = 200", max_records=limit,
+        ).awaitTermination()
+    return spark.read.schema("id string").parquet(out)

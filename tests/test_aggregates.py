@@ -140,3 +140,13 @@ def test_pivot_with_listed_values_counts_every_request(spark):
     df = spark.createDataFrame(rows, "method string, response_status int")
     found = ag.pivot(df, values=["2xx", "3xx"]).collect()
     assert [tuple(r) for r in found] == [("GET", 1, 0, 2), ("PUT", 0, 0, 1)]
+
+
+def test_percentiles_of_infinity_and_nan(log, values):
+    """Numbers, then infinity, then NaN; minus infinity comes first."""
+    inf, nan = float("inf"), float("nan")
+    df = log(*[{"duration_ms": v} for v in (1.0, 2.0, inf, nan)])
+    p50, p75, p90 = values(profiling.latency_profile(df, percentiles=(50, 75, 90)), "p50_ms", "p75_ms", "p90_ms")[0]
+    assert (p50, p75) == (2.0, inf) and p90 != p90
+    df = log(*[{"duration_ms": v} for v in (-inf, 3.0, inf, inf)])
+    assert values(profiling.latency_profile(df, percentiles=(25, 50, 75)), "p25_ms", "p50_ms", "p75_ms") == [(-inf, 3.0, inf)]

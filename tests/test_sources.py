@@ -216,3 +216,28 @@ def test_split_writes_safe_names_and_keeps_the_bucket(spark, tmp_path, log, valu
     assert sorted(values(back, "bucket", "bucket_name")) == [
         ("/", "root"), ("/_a/b", "a_b"), ("/a/b", "a_b"), ("/a_b", "a_b"),
     ]
+
+
+def test_every_line_is_judged_to_its_end(spark, log):
+    """Nothing after a record is read over, whatever closes the record early."""
+    good = log({"id": "1"}).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).first()[0]
+    bad = [f"{good}] garbage", f"{good}] [{good}", f"{good}, {good}", f"{good}{good}", f"{good} x", f"[{good}]", "{", "]", '"x"', "1"]
+    bad += [f'{good}, {{"_callsift_end":"1"}}]', good.replace('"response_status":200', '"response_status":1e12')]
+    bad += [good.replace('"response_status":200', '"response_status":200.5')]
+    for line in bad:
+        lines = spark.createDataFrame([(line,)], "value string")
+        assert logs.parse_lines(lines, mode="PERMISSIVE").select("id", "_corrupt_record").collect() == [(None, line)], line
+        with pytest.raises(Exception):
+            logs.parse_lines(lines).collect()
+    blank = ["", " ", "\t", "\x0b \r", " 　"]
+    lines = spark.createDataFrame([(v,) for v in [*blank, f"\t{good}  "]], "value string")
+    assert [r.id for r in logs.parse_lines(lines).collect()] == ["1"]
+
+
+def test_restore_appends_what_is_missing(spark, tmp_path, log):
+    archived, path = str(tmp_path / "archive"), str(tmp_path / "log")
+    archive.archive(log({"id": "a"}, {"id": "b", "path": "/1"}, {"id": "b", "path": "/2"}), archived)
+    assert archive.restore(spark, archived, path) == 2
+    assert archive.restore(spark, archived, path) == 0
+    found = logs.read_log(spark, path, "parquet", strict=False).select("id", "path").collect()
+    assert sorted(tuple(r) for r in found) == [("a", "/api"), ("b", "/1")]

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 from callsift.operators import rules, transforms
 from callsift.sources.log import append_log
 from callsift.streaming import watch
@@ -92,3 +94,52 @@ def test_batches_are_counted_and_limited(spark, tmp_path, log, values):
     ).awaitTermination()
     assert got == ["1", "2"]
     assert (counts.batches, counts.records, counts.filtered_out, counts.errors) == (1, 2, 2, ["full disk"])
+
+
+def test_limit_holds_over_restarts_and_retries(spark, tmp_path, log, values):
+    """A batch that fails is tried again and counts once; a new run goes on from the totals."""
+    path, checkpoint, got, fail = str(tmp_path / "log"), str(tmp_path / "c"), [], [True]
+
+    def consume(batch, i):
+        if fail[0]:
+            raise RuntimeError("full disk")
+        got.extend(values(batch.orderBy("seq"), "id"))
+
+    def run():
+        counts = watch.BatchCounts()
+        query = watch.consume_batches(
+            watch.stream_log(spark, path), consume, checkpoint, "response_status = 200", max_records=4, counts=counts
+        )
+        return counts, query
+
+    append_log(log({"id": "a"}, {"id": "b", "response_status": 500}, {"id": "c"}), path)
+    counts, query = run()
+    with pytest.raises(Exception, match="full disk"):
+        query.awaitTermination()
+    assert (counts.batches, counts.records, got) == (0, 0, [])
+    fail[0] = False
+    counts, query = run()
+    query.awaitTermination()
+    assert (counts.batches, counts.records, counts.filtered_out, got) == (1, 2, 1, ["a", "c"])
+    append_log(log({"id": "d"}, {"id": "e"}, {"id": "f"}), path)
+    counts, query = run()
+    query.awaitTermination()
+    assert (counts.batches, counts.records, got) == (2, 4, ["a", "c", "d", "e"])
+    append_log(log({"id": "g"}), path)
+    run()[1].awaitTermination()
+    assert got == ["a", "c", "d", "e"]
+
+
+def test_watch_outlives_its_consumer(spark, tmp_path, log, values):
+    path, checkpoint, errors, got = str(tmp_path / "log"), str(tmp_path / "c"), [], []
+
+    def consume(batch, i):
+        if not errors:
+            raise RuntimeError("down")
+        got.extend(values(batch, "id"))
+
+    for name in ("a", "b", "c"):
+        append_log(log({"id": name}), path)
+        stream = watch.stream_log(spark, path)
+        watch.watch(stream, consume, checkpoint, errors=errors, availableNow=True).awaitTermination()
+    assert errors == ["down"] and got == ["c"]
