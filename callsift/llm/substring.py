@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -319,21 +320,20 @@ def _cuts(texts: DataFrame, window: int) -> DataFrame:
 
 def _kept_words(texts: pa.Array, cuts: pa.Array, window: int) -> Iterator[tuple[int, int, bytes]]:
     """(words, kept words, kept words joined by a space) of each text."""
-    for base, data, offsets in text_blocks(texts):
-        words = Words(data, offsets)
-        for at in range(len(offsets) - 1):
-            first, count = int(words.first[at]), int(words.first[at + 1] - words.first[at])
-            keep = np.ones(count, dtype=bool)
-            if cuts[base + at].is_valid:
-                for cut in cuts[base + at].as_py():
-                    start, mask = cut["start"], cut["mask"]
-                    while mask:
-                        low = (mask & -mask).bit_length() - 1
-                        keep[start + low : start + low + window] = False
-                        mask &= mask - 1
-            rest = (np.flatnonzero(keep) + first).tolist()
-            kept = b" ".join([data[a:b].tobytes() for a, b in zip(words.starts[rest], words.ends[rest], strict=True)])
-            yield count, len(rest), kept
+    for text, cut in zip(texts, cuts, strict=True):
+        # The white space of bytes.split() is that of the contracts.
+        words = (text.as_py() or "").encode().split()
+        kept = words
+        if cut.is_valid:
+            keep = bytearray(b"\x01") * len(words)
+            for one in cut.as_py():
+                start, mask = one["start"], one["mask"]
+                while mask:
+                    low = (mask & -mask).bit_length() - 1
+                    keep[start + low : start + low + window] = bytes(window)
+                    mask &= mask - 1
+            kept = list(compress(words, keep))
+        yield len(words), len(kept), b" ".join(kept)
 
 
 def substring_dedup(
