@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from callsift.functions.headers import header
 from callsift.functions.keys import as_condition, sample_bucket
+from callsift.plans.errors import contained
 from callsift.plans.ordering import input_order
 
 
@@ -50,6 +51,7 @@ def find_by_tag(df: DataFrame, tag: str) -> DataFrame:
     return df.where(F.array_contains("tags", tag))
 
 
+@contained
 def hash_sample(
     df: DataFrame,
     rate: float,

@@ -1,8 +1,8 @@
 """Rule sets: tag, label, classify, highlight, validate.
 
 A rule pairs a name with a predicate (Column or SQL text).  A null predicate is
-no match, except in validation, where it is a failure.  Predicates should use
-``try_`` functions where a value could make a plain one raise.
+no match, except in validation, where it is a failure.  So is a predicate that
+would raise on a row (:mod:`callsift.plans.errors`).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from callsift.functions.keys import as_condition
 from callsift.functions.text import strip
+from callsift.plans.errors import contained
 from callsift.plans.rows import explode_structs
 
 
@@ -69,11 +70,13 @@ def first_match(rules: Sequence[Rule]) -> Column:
     return value
 
 
+@contained
 def tag(df: DataFrame, rules: Sequence[Rule] = DEFAULT_TAGS) -> DataFrame:
     """Add ``matched_tags``: every tag whose rule holds."""
     return df.withColumn("matched_tags", all_matches(rules))
 
 
+@contained
 def label(df: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     """Add ``labels``: every label whose rule holds."""
     return df.withColumn("labels", all_matches(default_labels() if rules is None else rules))
@@ -90,6 +93,7 @@ def label_totals(labeled: DataFrame) -> DataFrame:
     )
 
 
+@contained
 def classify(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Add ``category``: the first rule that holds, null when unclassified."""
     return df.withColumn("category", first_match(rules))
@@ -99,6 +103,7 @@ def category_counts(classified: DataFrame) -> DataFrame:
     return classified.groupBy("category").agg(F.count("*").alias("n"))
 
 
+@contained
 def highlight(df: DataFrame, rules: Sequence[Rule] = DEFAULT_HIGHLIGHTS) -> DataFrame:
     """Add ``rule``: the first highlight rule that holds, else null."""
     return df.withColumn("rule", first_match(rules))
@@ -125,6 +130,7 @@ def duration_at_most(max_ms: float) -> Rule:
     )
 
 
+@contained
 def validate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row (record_id, rule_name, message) per failing rule of each request."""
     failures = [
@@ -143,6 +149,7 @@ def validate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     )
 
 
+@contained
 def validation_summary(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row: total requests, errors, and requests whose id has no error.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsift.functions.keys import as_condition
+from callsift.plans.errors import contained
 from callsift.plans.ordering import (
     first_per_key_marked,
     input_order,
@@ -183,6 +184,7 @@ def _check_batches(batch_size: int, max_records: int | None) -> None:
         raise ValueError("the number of records cannot be negative")
 
 
+@contained
 def batch_records(
     df: DataFrame,
     batch_size: int = 10,
@@ -198,6 +200,7 @@ def batch_records(
     return indexed.withColumn("batch_id", F.floor(F.col("_at") / batch_size)).drop("_at")
 
 
+@contained
 def batch_stats(
     df: DataFrame,
     batch_size: int = 10,

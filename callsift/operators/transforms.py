@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from callsift.functions import text
 from callsift.functions.headers import normalized, sorted_entries
 from callsift.functions.keys import as_condition
+from callsift.plans.errors import contained
 
+# What stands for masked text and marks cut text.
 MASK = "[REDACTED]"
 TRUNCATION_MARKER = "...[truncated]"
 
@@ -101,6 +103,7 @@ class RedactRule:
     predicate: Column | str | None = None
 
 
+@contained
 def redact(df: DataFrame, rules: Sequence[RedactRule]) -> DataFrame:
     """Apply the rules in turn; predicates see the original row; flag ``redacted``.
 
@@ -125,26 +128,51 @@ def redact(df: DataFrame, rules: Sequence[RedactRule]) -> DataFrame:
 
 @dataclass(frozen=True)
 class PatchRule:
-    """Rewrite one column with ``transform`` where ``predicate`` holds."""
+    """Rewrite one column with ``transform`` where ``predicate`` holds.
+
+    A transform that makes null of a value has failed, as one that raises
+    becomes null; with ``nulls`` null is a value like any other.
+    """
 
     field: str
     transform: Callable[[Column], Column]
     predicate: Column | str | None = None
+    nulls: bool = False
 
 
-def patch(df: DataFrame, rules: Sequence[PatchRule]) -> DataFrame:
+@contained
+def patch(df: DataFrame, rules: Sequence[PatchRule], failed: str | None = None) -> DataFrame:
     """Apply the rules in turn; predicates see the original row; flag ``patched``.
 
-    Rules for columns that do not exist are ignored.  The flag compares the row
-    with the original; write the result to a new path, it replaces the input.
+    Rules for columns that do not exist are ignored.  A row on which a transform
+    fails keeps all its values; ``failed`` names a further flag for such rows.  A
+    failing predicate is no match.  The flag compares the row with the original;
+    write the result to a new path, it replaces the input.
     """
-    steps = [(r.field, r.transform, r.predicate) for r in rules if r.field in df.columns]
-    return _chain(df, steps, "patched", per_step=False)
+    rules = [r for r in rules if r.field in df.columns]
+    steps = [(r.field, r.transform, r.predicate) for r in rules]
+    return _chain(df, steps, "patched", per_step=False, strict=[not r.nulls for r in rules], failed=failed)
+
+
+def patch_counts(df: DataFrame, rules: Sequence[PatchRule]) -> DataFrame:
+    """One row: total, changed, skipped (failed ones included) and failed rows, in one scan."""
+    marked = patch(df, rules, failed="_failed")
+    return marked.agg(
+        F.count("*").alias("total"),
+        F.count_if("patched").alias("changed"),
+        F.count_if(~F.col("patched")).alias("skipped"),
+        F.count_if("_failed").alias("failed"),
+    )
 
 
-def _chain(df: DataFrame, steps: Sequence[tuple], flag: str, per_step: bool) -> DataFrame:
+def _chain(
+    df: DataFrame, steps: Sequence[tuple], flag: str, per_step: bool, strict: Sequence[bool] = (), failed: str | None = None
+) -> DataFrame:
     """Fold rewrite steps over columns, one projection per step.
 
+    Steps marked in ``strict`` fail where they make null of a value, and the row
+    then gets back what it had; ``failed`` names a flag for that.
+
     Conditions are columns of the first projection because they are about the
     original row; separate projections keep the expression size linear.
     """
@@ -152,19 +180,26 @@ def _chain(df: DataFrame, steps: Sequence[tuple], flag: str, per_step: bool) ->
     work = df.withColumns(
         {f"_if{i}": as_condition(p) for i, (_, _, p) in enumerate(steps)}
         | {f"_was_{c}": F.col(c) for c in touched}
-        | {"_flag": F.lit(False)}
+        | {"_flag": F.lit(False), "_failed": F.lit(False)}
     )
     for i, (name, transform, _) in enumerate(steps):
         stepped = work.withColumn(
             "_next", F.when(F.col(f"_if{i}"), transform(F.col(name))).otherwise(F.col(name))
         )
+        if strict and strict[i]:
+            lost = F.col("_next").isNull() & F.col(name).isNotNull()
+            stepped = stepped.withColumn("_failed", F.col("_failed") | lost)
         if per_step:
             stepped = stepped.withColumn("_flag", F.col("_flag") | _differs(df, name, "_next"))
         work = stepped.withColumn(name, F.col("_next")).drop("_next")
+    if any(strict):
+        work = work.withColumns({c: F.when(F.col("_failed"), F.col(f"_was_{c}")).otherwise(F.col(c)) for c in touched})
     if not per_step:
         work = work.withColumn("_flag", _any([_differs(df, c, f"_was_{c}") for c in touched]))
+    if failed:
+        work = work.withColumn(failed, F.col("_failed"))
     return work.withColumn(flag, F.col("_flag")).drop(
-        "_flag", *[f"_was_{c}" for c in touched], *[f"_if{i}" for i in range(len(steps))]
+        "_flag", *([] if failed == "_failed" else ["_failed"]), *[f"_was_{c}" for c in touched], *[f"_if{i}" for i in range(len(steps))]
     )
 
 
@@ -210,6 +245,7 @@ def replace_path_prefix(old: str, new: str, description: str | None = None) -> R
     )
 
 
+@contained
 def rename(df: DataFrame, rules: Sequence[RenameRule]) -> DataFrame:
     """Rewrite each row by the first rule that matches; flag ``renamed``."""
     conditions = [as_condition(r.predicate) for r in rules]

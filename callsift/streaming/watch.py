@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from callsift.functions.keys import as_condition
+from callsift.plans.errors import errors_as_null
 from callsift.plans.ordering import first_rows, input_order
 from callsift.sources.log import parse_lines
 
@@ -173,11 +174,14 @@ def consume_batches(
     ledger = _Ledger(stream.sparkSession, checkpoint) if counts is not None or max_records is not None else None
 
     def hand_on(batch: DataFrame, batch_id: int) -> None:
-        accepted, totals = batch.where(condition), None
+        totals = None
+        with errors_as_null(batch.sparkSession):
+            accepted = batch.where(condition)
+            judged = batch.select(condition.alias("_ok"))
         if ledger:
             batches, records, filtered_out = ledger.before(batch_id)
             given.batches, given.records, given.filtered_out = batches, records, filtered_out
-            seen = batch.agg(F.count("*").alias("n"), F.count_if(condition).alias("ok")).first()
+            seen = judged.agg(F.count("*").alias("n"), F.count_if("_ok").alias("ok")).first()
             left = seen["ok"] if max_records is None else max_records - records
             if left <= 0:
                 return

@@ -551,6 +551,60 @@ def patch_requests(spark, sf_dir):
     return _patched(spark, sf_dir).select("id", "method", "path", "duration_ms", "patched")
 
 
+_FAILING = """
+select *, response_status % 100 = 0 and method = 'GET' as failed, id % 7 <> 0 and 10 / (id % 7) > 3 as chosen
+from (select * replace (cast(id as bigint) as id) from requests)"""
+
+_FAILING_RULES = [
+    transforms.PatchRule("duration_ms", lambda c: c + F.floor(1000 / (F.col("response_status") % 100)), "method = 'GET'"),
+    # Fails on every seventh id, where it is no match.
+    transforms.PatchRule("method", F.lower, "10 / (cast(id as int) % 7) > 3"),
+]
+
+
+@_register(
+    on_requests(f"""
+select cast(id as varchar) as id, case when chosen and not failed then lower(method) else method end as method,
+  case when method = 'GET' and not failed then duration_ms + floor(1000 / (response_status % 100)) else duration_ms end
+    as duration_ms,
+  not failed and (method = 'GET' or chosen and method <> lower(method)) as patched, failed as patch_failed
+from ({_FAILING})""")
+)
+def patch_errors(spark, sf_dir):
+    """Rows on which a transform fails stay as they are; a failing predicate is no match."""
+    patched = transforms.patch(tables.requests(spark, sf_dir), _FAILING_RULES, failed="patch_failed")
+    return patched.select("id", "method", "duration_ms", "patched", "patch_failed")
+
+
+@_register(
+    on_requests(f"""
+select count(*) as total, count(*) filter (changed) as changed, count(*) filter (not changed) as skipped,
+  count(*) filter (failed) as failed
+from (select failed, not failed and (method = 'GET' or chosen and method <> lower(method)) as changed from ({_FAILING}))""")
+)
+def patch_error_counts(spark, sf_dir):
+    return transforms.patch_counts(tables.requests(spark, sf_dir), _FAILING_RULES)
+
+
+@_register(
+    on_requests("""
+select id, array_to_string(list_filter([
+    case when response_status % 100 <> 0 and 100 / (response_status % 100) >= 25 then 'ratio' end,
+    case when try_cast(split_part(path, '/', 4) as int) > 4 then 'high' end], lambda v: v is not null), ',') as tags
+from requests""")
+)
+def tag_with_errors(spark, sf_dir):
+    """Rules that divide by zero, read a missing part or cast text are no match on that row."""
+    tagged = rules.tag(
+        tables.requests(spark, sf_dir),
+        [
+            rules.Rule("ratio", "100 / (response_status % 100) >= 25"),
+            rules.Rule("high", "cast(split(path, '/')[3] as int) > 4"),
+        ],
+    )
+    return tagged.select("id", F.array_join("matched_tags", ",").alias("tags"))
+
+
 def _renamed(spark, sf_dir):
     return transforms.rename(
         tables.requests(spark, sf_dir),

@@ -125,6 +125,25 @@ def test_truncate_cuts_bytes_like_a_replacing_decoder(log, values, limit):
     assert values(out, "truncated") == [*[len(b.encode()) > limit for b in bodies], False]
 
 
+def test_errors_stay_in_their_row(log, values):
+    df = log({"response_status": 200, "path": "7"}, {"response_status": 404, "path": "x"}, {"response_status": 401, "path": None})
+    rules = [
+        tr.PatchRule("method", F.lower),
+        tr.PatchRule("duration_ms", lambda c: c / (F.col("response_status") % 100)),
+        tr.PatchRule("request_body", lambda c: F.lit("seen"), "1 / (response_status - 404) > 0"),
+        tr.PatchRule("query_string", lambda c: F.lit(None).cast("string"), "cast(path as int) = 7", nulls=True),
+    ]
+    out = tr.patch(df, rules, failed="patch_failed").orderBy("seq")
+    assert values(out, "method", "duration_ms", "request_body", "query_string", "patched", "patch_failed") == [
+        ("GET", 10.0, None, "", False, True), ("get", 2.5, None, "", True, False), ("get", 10.0, None, "", True, False),
+    ]
+    assert values(tr.patch_counts(df, rules)) == [(3, 2, 1, 1)]
+    assert values(tr.patch_counts(df.limit(0), rules)) == [(0, 0, 0, 0)]
+    assert df.sparkSession.conf.get("spark.sql.ansi.enabled") == "true"
+    with pytest.raises(Exception):
+        df.where("1 / (response_status - 404) > 0").collect()
+
+
 def test_patch(log, values):
     df = log({"path": "/a", "duration_ms": 1.0}, {"path": "/b"}, {"path": None})
     rules = [
