@@ -1,12 +1,15 @@
-"""Named snapshots in one table, partitioned by name and creation time."""
+"""Named snapshots in one table, with a log of commits that tells which version holds."""
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+_COMMIT = "seq bigint, name string, version string, created_at string, records bigint, deleted boolean"
+
 
 def snapshot_list(snapshots: DataFrame) -> DataFrame:
     """(name, created_at, records) per snapshot, sorted by name."""
@@ -20,71 +23,83 @@ def snapshot_list(snapshots: DataFrame) -> DataFrame:
 class SnapshotStore:
     """Save, load, list and delete snapshots of a log in a catalog table.
 
-    A snapshot is a partition, so loading reads only its files, deleting drops
-    them, and an empty snapshot is an empty partition.
+    Every save writes a version of its own, a partition of ``table``, and then
+    one row of ``<table>_commits``.  The last commit of a name tells which version
+    holds, so a reader sees the old snapshot or the new one, whole, and a save
+    that fails halfway is never seen.  A replaced version stays until the name is
+    saved again, for readers that have begun on it.  Counts stand in the commits,
+    so listing reads no snapshot.
     """
 
     def __init__(self, spark: SparkSession, table: str = "snapshots") -> None:
         self._spark = spark
         self._table = table
+        self._log = f"{table}_commits"
 
     def save(self, df: DataFrame, name: str, created_at: datetime | None = None) -> str:
         """Save under ``name``, replacing an older one once the new one is complete."""
         created = (created_at or datetime.now(timezone.utc)).isoformat()
-        older = self._partitions(name)
-        stamped = df.withColumn("name", F.lit(name)).withColumn("created_at", F.lit(created))
-        stamped.write.mode("append").format("parquet").partitionBy("name", "created_at").saveAsTable(
-            self._table
-        )
-        if created not in self._partitions(name):
-            self._alter("ADD IF NOT EXISTS", name, created)
-        for stamp in older:
-            if stamp != created:
-                self._alter("DROP IF EXISTS", name, stamp)
+        version, counted = uuid.uuid4().hex, Observation()
+        stamps = {"name": name, "created_at": created, "version": version}
+        stamped = df.observe(counted, F.count("*").alias("records")).withColumns({c: F.lit(v) for c, v in stamps.items()})
+        stamped.write.mode("append").format("parquet").partitionBy(*stamps).saveAsTable(self._table)
+        before = self._commits(name)
+        self._commit(name, version, created, counted.get["records"])
+        self._drop(before[1:])
         return created
 
     def load(self, name: str) -> DataFrame:
-        stamps = self._partitions(name)
-        if not stamps:
+        """The version that holds when this is called, whatever is saved later."""
+        commits = self._commits(name)
+        if not commits or commits[0].deleted:
             raise FileNotFoundError(f"snapshot '{name}' not found in {self._table}")
-        match = (F.col("name") == name) & (F.col("created_at") == max(stamps))
-        return self._spark.table(self._table).where(match).drop("name", "created_at")
+        self._spark.catalog.refreshTable(self._table)
+        match = (F.col("name") == name) & (F.col("version") == commits[0].version)
+        return self._spark.table(self._table).where(match).drop("name", "created_at", "version")
 
     def list(self) -> DataFrame:
         """All snapshots with their record counts, empty ones included."""
-        if not self._spark.catalog.tableExists(self._table):
-            return self._spark.createDataFrame([], "name string, created_at string, records bigint")
-        named = self._spark.sql(f"SHOW PARTITIONS {self._table}").select(
-            _partition_value("name").alias("name"), _partition_value("created_at").alias("created_at")
-        )
-        counted = snapshot_list(self._spark.table(self._table)).select("name", "records")
-        return named.join(counted, "name", "left").na.fill(0, ["records"]).orderBy("name")
+        last = Window.partitionBy("name").orderBy(F.desc("seq"), F.desc("version"))
+        ranked = self._all_commits().withColumn("_rank", F.row_number().over(last))
+        held = ranked.where((F.col("_rank") == 1) & ~F.col("deleted"))
+        return held.select("name", "created_at", "records").orderBy("name")
 
     def delete(self, name: str) -> bool:
         """Drop the snapshot; whether it existed."""
-        stamps = self._partitions(name)
-        for stamp in stamps:
-            self._alter("DROP IF EXISTS", name, stamp)
-        return bool(stamps)
-
-    def _alter(self, action: str, name: str, created: str) -> None:
-        self._spark.sql(
-            f"ALTER TABLE {self._table} {action} "
-            f"PARTITION (name = {_literal(name)}, created_at = {_literal(created)})"
-        )
-
-    def _partitions(self, name: str) -> list[str]:
-        """Creation times of the snapshots with that name: one, or two during a replacement."""
-        if not self._spark.catalog.tableExists(self._table):
-            return []
-        rows = self._spark.sql(f"SHOW PARTITIONS {self._table} PARTITION (name = {_literal(name)})")
-        return [r[0] for r in rows.select(_partition_value("created_at")).collect()]
-
-
-def _partition_value(column: str) -> Column:
-    """Value of a partition column in SHOW PARTITIONS, where ``+`` is not escaped."""
-    text = F.regexp_extract("partition", f"{column}=([^/]*)", 1)
-    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+        commits = self._commits(name)
+        if not commits or commits[0].deleted:
+            return False
+        self._commit(name, "", "", 0, deleted=True)
+        self._drop(commits)
+        return True
+
+    def _commit(self, name: str, version: str, created: str, records: int, deleted: bool = False) -> None:
+        last = self._all_commits().agg(F.max("seq")).first()[0] or 0
+        row = [(last + 1, name, version, created, records, deleted)]
+        self._spark.createDataFrame(row, _COMMIT).coalesce(1).write.mode("append").format("parquet").saveAsTable(self._log)
+
+    def _commits(self, name: str) -> list[Row]:
+        """Commits of a name, the last one first: one row per save."""
+        named = self._all_commits().where(F.col("name") == name)
+        return named.orderBy(F.desc("seq"), F.desc("version")).collect()
+
+    def _all_commits(self) -> DataFrame:
+        if not self._spark.catalog.tableExists(self._log):
+            return self._spark.createDataFrame([], _COMMIT)
+        # Another session may have written commits since this one listed the files.
+        self._spark.catalog.refreshTable(self._log)
+        return self._spark.table(self._log)
+
+    def _drop(self, commits: list[Row]) -> None:
+        """Drop the files of versions; an empty one has no partition."""
+        specs = []
+        for commit in commits:
+            if commit.version:
+                parts = {"name": commit.name, "created_at": commit.created_at, "version": commit.version}
+                values = ", ".join(f"{column} = {_literal(value)}" for column, value in parts.items())
+                specs.append(f"PARTITION ({values})")
+        if specs:
+            self._spark.sql(f"ALTER TABLE {self._table} DROP IF EXISTS {', '.join(specs)}")
 
 
 def _literal(text: str) -> str:

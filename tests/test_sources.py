@@ -208,6 +208,31 @@ def test_snapshots(spark, log, values):
     assert store.load("it's/2").columns == log({}).columns
 
 
+def test_snapshot_readers_see_one_version(spark, log, values):
+    store = snapshots.SnapshotStore(spark, "snapshots_versions")
+    day = datetime(2024, 1, 2, tzinfo=timezone.utc)
+    store.save(log({"id": "a"}), "s", day)
+    reader = store.load("s")
+    # A save that fails halfway is not seen.
+    with pytest.raises(Exception):
+        store.save(log({"id": "x"}).withColumn("path", F.raise_error(F.lit("boom"))), "s")
+    assert values(store.load("s"), "id") == ["a"]
+    # The same creation time and an earlier one replace too; a reader that began earlier keeps its rows.
+    store.save(log({"id": "b"}, {"id": "c"}), "s", day)
+    assert values(reader, "id") == ["a"] and sorted(values(store.load("s"), "id")) == ["b", "c"]
+    assert values(store.list()) == [("s", "2024-01-02T00:00:00+00:00", 2)]
+    store.save(log({"id": "d"}), "s", datetime(2024, 1, 1, tzinfo=timezone.utc))
+    assert values(store.load("s"), "id") == ["d"]
+    # Only the version that holds and the one before it are kept.
+    assert sorted(values(spark.table("snapshots_versions"), "id")) == ["b", "c", "d"]
+    other = snapshots.SnapshotStore(spark.newSession(), "snapshots_versions")
+    other.save(log({"id": "e"}), "s")
+    assert values(store.load("s"), "id") == ["e"]
+    assert store.delete("s") and store.list().count() == 0 and spark.table("snapshots_versions").count() == 0
+    with pytest.raises(FileNotFoundError):
+        store.load("s")
+
+
 def test_split_writes_safe_names_and_keeps_the_bucket(spark, tmp_path, log, values):
     path = str(tmp_path / "split")
     df = log({"path": "/a/b"}, {"path": "/"}, {"path": None}, {"path": "/_a/b/"}, {"path": "/a_b"})
