@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import lru_cache
 
 import ahocorasick
@@ -52,6 +53,111 @@ _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)*|[.!?;:\n]|[\"“”«»]")
 # Words after which a negation no longer holds, and within which a target belongs to a hit.
 NEGATION_REACH, TARGET_REACH = 3, 4
 
+# The grammar reads symbols: classes of words, a further word, quotation marks and ends of clauses.
+SYMBOLS = ("insult", "threat", "target", "negation", "report", "word", "quote", "end")
+# Symbols that match; the transducers write marks behind them.
+HITS = ("insult", "threat")
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A weighted deterministic transducer as a table.
+
+    ``arcs`` maps (state, symbol) to (next state, symbol written, weight).  A
+    symbol that a state has no arc for is written as it is, and the state stays.
+    Weights of a path are summed up.
+    """
+
+    start: object
+    arcs: dict[tuple, tuple]
+
+    def step(self, state: object, symbol: str) -> tuple[object, str, float]:
+        return self.arcs.get((state, symbol)) or (state, symbol, 0.0)
+
+    def states(self) -> list:
+        return list(dict.fromkeys([self.start, *(s for s, _ in self.arcs), *(t for t, _, _ in self.arcs.values())]))
+
+    def run(self, symbols: Sequence[str]) -> list[tuple[str, float]]:
+        """(symbol written, weight of the arc) per symbol read."""
+        state, written = self.start, []
+        for symbol in symbols:
+            state, out, weight = self.step(state, symbol)
+            written.append((out, weight))
+        return written
+
+
+def compose(first: Transducer, second: Transducer, symbols: Sequence[str] = SYMBOLS) -> Transducer:
+    """The transducer that writes what ``second`` writes on what ``first`` writes, over pairs of states.
+
+    Only pairs that can be reached from the start are built; weights of both are added.
+    """
+    start = (first.start, second.start)
+    arcs, waiting, seen = {}, [start], {start}
+    while waiting:
+        state = waiting.pop()
+        for symbol in symbols:
+            left, between, one = first.step(state[0], symbol)
+            right, out, other = second.step(state[1], between)
+            arcs[state, symbol] = ((left, right), out, one + other)
+            if (left, right) not in seen:
+                seen.add((left, right))
+                waiting.append((left, right))
+    return Transducer(start, arcs)
+
+
+def negation(reach: int = NEGATION_REACH) -> Transducer:
+    """Marks hits among the ``reach`` words after a negation, to the end of its clause."""
+    arcs = {}
+    for left in range(reach + 1):
+        arcs[left, "negation"] = (reach, "negation", 0.0)
+        arcs[left, "end"] = (0, "end", 0.0)
+        for symbol in ("target", "report", "word"):
+            arcs[left, symbol] = (max(left - 1, 0), symbol, 0.0)
+        for symbol in HITS:
+            arcs[left, symbol] = (max(left - 1, 0), symbol + ("/negated" if left else ""), 0.0)
+    return Transducer(0, arcs)
+
+
+def reported_speech() -> Transducer:
+    """Marks hits after a verb of speech in its clause, and between quotation marks; negated ones stay so."""
+    arcs = {}
+    for told in (False, True):
+        for quoted in (False, True):
+            state = (told, quoted)
+            arcs[state, "quote"] = ((told, not quoted), "quote", 0.0)
+            arcs[state, "report"] = ((True, quoted), "report", 0.0)
+            arcs[state, "end"] = ((False, quoted), "end", 0.0)
+            if told or quoted:
+                for symbol in HITS:
+                    arcs[state, symbol] = (state, f"{symbol}/reported", 0.0)
+    return Transducer((False, False), arcs)
+
+
+def targeted(reach: int = TARGET_REACH) -> Transducer:
+    """Marks hits among the ``reach`` words after a target, to the end of its clause.
+
+    Read from the end of a text it marks those before a target.
+    """
+    arcs = {}
+    plain = [hit + mark for hit in HITS for mark in ("", "/negated", "/reported")]
+    aimed = [symbol.replace(hit, f"{hit}+target") for symbol in plain for hit in HITS if symbol.startswith(hit)]
+    for left in range(reach + 1):
+        arcs[left, "target"] = (reach, "target", 0.0)
+        arcs[left, "end"] = (0, "end", 0.0)
+        for symbol in ("negation", "report", "word", *aimed):
+            arcs[left, symbol] = (max(left - 1, 0), symbol, 0.0)
+        for symbol, marked in zip(plain, aimed, strict=True):
+            arcs[left, symbol] = (max(left - 1, 0), marked if left else symbol, 0.0)
+    return Transducer(0, arcs)
+
+
+def accepting(weights: dict[str, float]) -> Transducer:
+    """Gives each pattern its weight; threats without a target are no pattern, so it writes a word for them."""
+    dropped = [f"threat{mark}" for mark in ("", "/negated", "/reported")]
+    arcs = {(0, pattern): (0, pattern, weight) for pattern, weight in weights.items()}
+    return Transducer(0, arcs | {(0, symbol): (0, "word", 0.0) for symbol in dropped})
+
+
 # Weights of the accepted patterns before any label is seen; fitted weights are drawn to them.
 PRIOR = {
     "insult": 3.0, "insult+target": 4.0, "threat+target": 3.0,
@@ -61,71 +167,52 @@ PRIOR = {
 PATTERNS = list(PRIOR)
 
 
-class Negation:
-    """Marks the words up to :data:`NEGATION_REACH` after a negation."""
+@lru_cache(maxsize=1)
+def grammar_passes() -> tuple[Transducer, Transducer]:
+    """The grammar as two machines: one reads a text forwards, the other what it wrote backwards.
 
-    def __init__(self):
-        self.left = 0
+    Targets may stand on both sides of a hit, so one pass in one direction cannot
+    decide; negation, reported speech and targets before a hit are composed into
+    the first, targets behind it and the weights of the patterns into the second.
+    """
+    forwards = compose(compose(negation(), reported_speech()), targeted())
+    written = list(dict.fromkeys([*SYMBOLS, *(out for _, out, _ in forwards.arcs.values())]))
+    return forwards, compose(targeted(), accepting(PRIOR), written)
 
-    def step(self, kind: str | None) -> bool:
-        if kind == "negation":
-            self.left = NEGATION_REACH
-            return False
-        marked = self.left > 0
-        self.left -= marked
-        return marked
 
+def symbols(text: str, learnt: frozenset[str] = frozenset()) -> tuple[list[str], list[str]]:
+    """The tokens of a text and the symbols the grammar reads for them."""
+    tokens = _TOKEN.findall(text)
+    read = []
+    for token in tokens:
+        if len(token) == 1 and not token.isalnum():
+            read.append("end" if token in ".!?;:\n" else "quote")
+        else:
+            read.append(_CLASS.get(token) or ("insult" if token in learnt else "word"))
+    return tokens, read
 
-class Report:
-    """Marks what follows a verb of speech in its clause, and what stands in quotation marks."""
 
-    def __init__(self):
-        self.told = self.quoted = False
+def clauses(text: str, learnt: frozenset[str] = frozenset()) -> list[tuple[str, float, list[tuple[str, str]]]]:
+    """(clause, weight, its (word, pattern) matches) of each clause that the grammar accepts.
 
-    def step(self, kind: str | None) -> bool:
-        if kind == "quote":
-            self.quoted = not self.quoted
-        elif kind == "report":
-            self.told = True
-        elif kind == "end":
-            self.told = False
-        return self.told or self.quoted
+    The weight of a clause is that of its path before any label is seen.
+    """
+    tokens, read = symbols(text, learnt)
+    forwards, backwards = grammar_passes()
+    written = backwards.run([out for out, _ in forwards.run(read)][::-1])[::-1]
+    found, start = [], 0
+    for at in [*(i for i, symbol in enumerate(read) if symbol == "end"), len(read)]:
+        path = [(tokens[i], *written[i]) for i in range(start, at)]
+        matches = [(word, out) for word, out, _ in path if out in PRIOR]
+        if matches:
+            found.append((" ".join(tokens[start:at]), sum(weight for *_, weight in path), matches))
+        start = at + 1
+    return found
 
 
 def hits(text: str, learnt: frozenset[str] = frozenset()) -> list[tuple[str, str]]:
-    """(word, pattern) of each insult or threat that the composed transducers accept.
-
-    The negation and the report transducer rewrite the classes of a clause to
-    marked ones; the target transducer then joins a hit with a target at most
-    :data:`TARGET_REACH` words away in the same clause.  Threats need a target.
-    """
-    found: list[tuple[str, str]] = []
-    report = Report()
-    clause: list[tuple[str, str, str]] = []
-    negation = Negation()
-
-    def close() -> None:
-        targets = [i for i, (kind, _, _) in enumerate(clause) if kind == "target"]
-        for at, (kind, word, marks) in enumerate(clause):
-            if kind in ("insult", "threat"):
-                aimed = any(abs(at - t) <= TARGET_REACH for t in targets)
-                if kind == "insult" or aimed:
-                    found.append((word, kind + ("+target" if aimed else "") + marks))
-        clause.clear()
-
-    for token in _TOKEN.findall(text):
-        if len(token) == 1 and not token.isalnum():
-            kind = "end" if token in ".!?;:\n" else "quote"
-            report.step(kind)
-            if kind == "end":
-                close()
-                negation = Negation()
-            continue
-        kind = _CLASS.get(token) or ("insult" if token in learnt else None)
-        negated, reported = negation.step(kind), report.step(kind)
-        clause.append((kind or "", token, "/negated" if negated else "/reported" if reported else ""))
-    close()
-    return found
+    """(word, pattern) of each insult or threat in the clauses that the grammar accepts; threats need a target."""
+    return [match for _, _, matches in clauses(text, learnt) for match in matches]
 
 
 @lru_cache(maxsize=4)

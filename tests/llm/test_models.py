@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 import re
 
@@ -222,6 +223,54 @@ def test_grammar_composes_transducers():
     assert toxicity.matched("Idiotic") and not toxicity.matched("xidiotx")
 
 
+def plain_hits(tokens):
+    """What the grammar should accept, found by looking around each hit."""
+    found = []
+    for at, word in enumerate(tokens):
+        kind = {"idiot": "insult", "kill": "threat"}.get(word)
+        if kind is None:
+            continue
+        start = max((i + 1 for i in range(at) if tokens[i] == "."), default=0)
+        end = next((i for i in range(at, len(tokens)) if tokens[i] == "."), len(tokens))
+        before = [t for t in tokens[start:at] if t != '"']
+        after = [t for t in tokens[at + 1 : end] if t != '"']
+        aimed = "you" in before[-4:] or "you" in after[:4]
+        told = "said" in before or tokens[:at].count('"') % 2
+        mark = "/negated" if "not" in before[-3:] else "/reported" if told else ""
+        if kind == "insult" or aimed:
+            found.append((word, kind + ("+target" if aimed else "") + mark))
+    return found
+
+
+def test_grammar_accepts_what_a_plain_search_accepts():
+    """Every text of up to five tokens, and longer ones by chance."""
+    alphabet = ["idiot", "kill", "you", "not", "said", "x", '"', "."]
+    texts = [t for n in range(6) for t in itertools.product(alphabet, repeat=n)]
+    rng = np.random.default_rng(3)
+    texts += [[alphabet[i] for i in rng.integers(0, 8, size)] for size in rng.integers(6, 40, 5_000)]
+    for tokens in texts:
+        assert hits(" ".join(tokens)) == plain_hits(list(tokens)), tokens
+
+
+def test_composition_is_one_machine_after_the_other():
+    first, second = toxicity.negation(), toxicity.reported_speech()
+    both = toxicity.compose(first, second)
+    assert len(both.states()) <= len(first.states()) * len(second.states())
+    rng = np.random.default_rng(4)
+    for size in rng.integers(0, 30, 500):
+        read = [toxicity.SYMBOLS[i] for i in rng.integers(0, len(toxicity.SYMBOLS), size)]
+        one = first.run(read)
+        two = second.run([out for out, _ in one])
+        assert both.run(read) == [(out, w + v) for (_, w), (out, v) in zip(one, two, strict=True)]
+    weighted = toxicity.Transducer(0, {(0, "a"): (1, "b", 0.5), (1, "a"): (0, "c", 1.0)})
+    assert toxicity.compose(weighted, weighted, "abc").run("aaa") == [("b", 0.5), ("c", 1.0), ("b", 0.5)]
+
+
+def test_clauses_carry_the_weight_of_their_path():
+    found = toxicity.clauses("what an idiot. fine; you are not a moron")
+    assert [(clause, weight) for clause, weight, _ in found] == [("what an idiot", 3.0), ("you are not a moron", 1.5)]
+
+
 # --------------------------------------------------------------------------- embeddings
 
 
