@@ -965,6 +965,43 @@ def latency_profile_by_path(spark, sf_dir):
     return _profiled(profiling.latency_profile(tables.requests(spark, sf_dir), ["method", "path"]))
 
 
+@_register(
+    on_requests("""
+select method, path, count(*) as requests, min(duration_ms) as min_ms, max(duration_ms) as max_ms,
+  round(sum(duration_ms), 3) as total_ms, true as p50_found, true as p90_found, true as p99_found
+from requests where timestamp >= %s and timestamp < %s group by 1, 2""" % (tables.EARLY, tables.LATE))
+)
+def latency_profile_merged(spark, sf_dir):
+    """Percentiles of an interval from written sketches of its days, their ranks counted in the requests.
+
+    The count is exact, so a value is found if its ranks reach the wanted one within twice the stated error.
+    """
+    requests, keys = tables.requests(spark, sf_dir), ["method", "path"]
+    first, last = int(tables.EARLY // 86400), int(tables.LATE // 86400) - 1
+    written = scratch_path(spark, "summaries")
+    profiling.latency_summaries(requests, keys).write.parquet(written)
+    profile = profiling.merged_profile(spark.read.parquet(written), keys, first_day=first, last_day=last)
+    timed = requests.where((F.col("timestamp") >= tables.EARLY) & (F.col("timestamp") < tables.LATE))
+    ranked = timed.select(*keys, "duration_ms").join(profile, keys)
+    figures = ["requests", "min_ms", "max_ms", "mean_ms"]
+    counts = []
+    for p in profiling.PERCENTILES:
+        counts += [
+            F.count_if(F.col("duration_ms") < F.col(f"p{p}_ms")).alias(f"_below{p}"),
+            F.count_if(F.col("duration_ms") <= F.col(f"p{p}_ms")).alias(f"_upto{p}"),
+        ]
+    counted = ranked.groupBy(*keys, *figures).agg(*counts)
+    room = F.col("requests") * 2 * profiling.rank_error()
+    found = []
+    for p in profiling.PERCENTILES:
+        wanted = F.ceil(F.col("requests") * p / 100)
+        reached = (F.col(f"_below{p}") < wanted + room) & (F.col(f"_upto{p}") >= wanted - room)
+        found.append(reached.alias(f"p{p}_found"))
+    # Means may end in a five that either side rounds its own way; sums do not.
+    total = F.round(F.col("mean_ms") * F.col("requests"), 3).alias("total_ms")
+    return counted.select(*keys, "requests", "min_ms", "max_ms", total, *found)
+
+
 @_register(
     on_requests("""
 select case when duration_ms < 50 then '<50ms' when duration_ms < 100 then '<100ms'

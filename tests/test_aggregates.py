@@ -150,3 +150,29 @@ def test_percentiles_of_infinity_and_nan(log, values):
     assert (p50, p75) == (2.0, inf) and p90 != p90
     df = log(*[{"duration_ms": v} for v in (-inf, 3.0, inf, inf)])
     assert values(profiling.latency_profile(df, percentiles=(25, 50, 75)), "p25_ms", "p50_ms", "p75_ms") == [(-inf, 3.0, inf)]
+
+
+def test_merged_profile_equals_the_exact_one_while_sketches_hold_all(log, values):
+    day = 86_400.0
+    rows = [{"duration_ms": float(v % 97), "timestamp": day * (v % 5), "path": f"/{v % 2}"} for v in range(1_000)]
+    rows += [{"duration_ms": v, "path": "/odd"} for v in (1.0, 2.0, float("inf"), float("nan"))]
+    rows += [{"duration_ms": None, "path": "/none"}, {"duration_ms": float("nan"), "path": "/nan"}]
+    rows += [{"duration_ms": 7.0, "timestamp": None, "path": "/0"}]
+    df = log(*rows)
+    summaries = profiling.latency_summaries(df)
+    assert repr(sorted(values(profiling.merged_profile(summaries, ["path"])))) == repr(
+        sorted(values(profiling.latency_profile(df, ["path"])))
+    )
+    two_days = df.where((F.col("timestamp") >= day) & (F.col("timestamp") < 3 * day))
+    assert values(profiling.merged_profile(summaries, first_day=1, last_day=2)) == values(profiling.latency_profile(two_days))
+    assert values(profiling.merged_profile(summaries, first_day=90)) == []
+
+
+def test_merged_profile_is_within_its_error(spark):
+    df = spark.range(200_000).selectExpr(
+        "'GET' as method", "'/a' as path", "86400.0D * (id % 20) as timestamp", "cast(xxhash64(id) % 50000 as double) as duration_ms"
+    )
+    row = profiling.merged_profile(profiling.latency_summaries(df, k=512)).first()
+    for p in (50, 90, 99):
+        rank = df.where(F.col("duration_ms") <= row[f"p{p}_ms"]).count()
+        assert abs(rank - 2_000 * p) <= 2 * profiling.rank_error(512) * 200_000
