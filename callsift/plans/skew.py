@@ -27,7 +27,7 @@ def join_many_to_one(
     keys: Sequence[str],
     rows: str | None = None,
     how: str = "inner",
-    piece_rows: int = PIECE_ROWS,
+    piece_rows: int | None = None,
 ) -> DataFrame:
     """Inner or left join of ``many`` rows to the single ``one`` row of their key; nulls match.
 
@@ -37,7 +37,7 @@ def join_many_to_one(
     is repeated for each piece.  All other keys join once.  ``rows`` names the
     column of ``one`` with the number of ``many`` rows per key; without it the
     rows are counted.  ``piece_rows`` is the least size of a piece, for rows that
-    are heavy.  The broadcast set of hot keys has fewer than
+    are heavy (:data:`PIECE_ROWS` unless given).  The broadcast set of hot keys has fewer than
     :data:`PIECES` entries whatever the size of the data.
     """
     if rows is None:
@@ -46,6 +46,7 @@ def join_many_to_one(
         sizes, rows_col = one, rows
     if how not in ("inner", "left"):
         raise ValueError("the join is inner or left")
+    piece_rows = PIECE_ROWS if piece_rows is None else piece_rows
     total = sizes.agg(F.sum(rows_col)).scalar()
     pieces = F.ceil(F.col(rows_col) / F.greatest(total / F.lit(PIECES), F.lit(piece_rows))).cast("int")
     hot = sizes.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], pieces.alias("_pieces")).where("_pieces > 1")
