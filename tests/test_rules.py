@@ -1,5 +1,11 @@
 from __future__ import annotations
 
+import json
+import random
+
+from pyspark.sql import functions as F
+
+from callsift.functions.validity import DEEPEST, json_valid
 from callsift.operators import inspection, rules
 from callsift.operators.rules import Rule
 
@@ -114,3 +120,49 @@ def test_inspection_warnings(log, values):
     ]
     slow = warned.where("field = 'duration_ms'")
     assert values(slow, "message") == ["1500.2 ms exceeds threshold 1000.0 ms"]
+
+
+def _parses(text):
+    if not text:
+        return False
+    try:
+        json.loads(text)
+    except (ValueError, RecursionError):
+        return False
+    return True
+
+
+def _documents(rng, depth=0):
+    kind = rng.randrange(8 if depth < 7 else 5)
+    if kind < 5:
+        return rng.choice([0, -1, 2.5, 1e30, True, None, 'a"b\\c', "é \x7f", "", "x\ty", float("nan"), float("-inf"), "😀"])
+    if kind < 7:
+        return {str(rng.random())[:4]: _documents(rng, depth + 1) for _ in range(rng.randrange(4))}
+    return [_documents(rng, depth + 1) for _ in range(rng.randrange(4))]
+
+
+def test_json_validity_equals_a_parser_on_broken_texts(spark):
+    rng, texts = random.Random(5), [None, "", " ", "\x01", "\x02", "[\x02]", "01", "1.", "-", "- 1", "1 2", '"a" "b"', "{,}"]
+    texts += ["[1,]", '{"a":1,}', "[,1]", '{"a"}', "{1:2}", "\ufeff{}", "]", "{]", '{"a":[}]', "nullnull", '"\\u12g4"', '"\\ud800"']
+    signs = list('{}[],:"\\ \n\t0123.eE-+ntfNIa\x00\x01\x02\x0b\u0085/u')
+    for _ in range(600):
+        whole = json.dumps(_documents(rng), ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 2]))
+        texts.append(whole)
+        for _ in range(3):
+            broken = list(whole)
+            for _ in range(rng.randrange(1, 4)):
+                if rng.random() < 0.3 and broken:
+                    broken.pop(rng.randrange(len(broken)))
+                else:
+                    broken.insert(rng.randrange(len(broken) + 1), rng.choice(signs))
+            texts.append("".join(broken))
+    # Long and deep texts: matched without recursion.
+    texts += ['"' + "x" * 300_000 + '"', '"' + "\\n" * 200_000 + '"', "[" + "1," * 200_000 + "1]", "[" + "[[1]]," * 20_000 + "{}]"]
+    texts += ["[" * 1_500 + "]" * 1_500, '{"a":' * 900 + "1" + "}" * 900, "[" * 1_500 + "]" * 1_499]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, body string")
+    found = df.select("n", json_valid(F.col("body"), F.lit(True)).alias("valid")).collect()
+    assert [texts[r["n"]] for r in found if r["valid"] != _parses(texts[r["n"]])] == []
+    assert sum(r["valid"] for r in found) > 600
+    too_deep = spark.createDataFrame([("[" * (DEEPEST + 9) + "]" * (DEEPEST + 9),)], "body string")
+    assert not too_deep.select(json_valid(F.col("body"), F.lit(True))).first()[0]
+    assert not df.where(json_valid(F.col("body"), F.lit(False))).count()
