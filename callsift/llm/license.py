@@ -13,8 +13,35 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # Phrases and labels of the contract (fixed values): every place counts.
 BASE = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 
-# Further templates: label, wording, and the key phrase that must be there whole.
+# Further templates (fixed wordings of public licences): label, wording, and the key phrase that must be there whole.
 TEMPLATES = (
+    (
+        "apache-2.0",
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org"
+        " licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is"
+        " distributed on an as is basis without warranties or conditions of any kind either express or implied",
+        "http www apache org licenses license 2 0",
+    ),
+    (
+        "bsd",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+        " redistributions in binary form must reproduce the above copyright notice this list of conditions and the following"
+        " disclaimer in the documentation and or other materials provided with the distribution",
+        "redistributions of source code must retain the above copyright notice",
+    ),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"
+        " as published by the free software foundation",
+        "gnu general public license as published by the free software foundation",
+    ),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation"
+        " files the software to deal in the software without restriction including without limitation the rights to use copy modify"
+        " merge publish distribute sublicense and or sell copies of the software",
+        "to deal in the software without restriction",
+    ),
     ("agpl-3.0", "gnu affero general public license version 3", "gnu affero general public license"),
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification", "source and binary forms"),
@@ -54,18 +81,18 @@ def lower_ascii(column: Column | str) -> Column:
 
 
 def positional_index(spark: SparkSession, idf: DataFrame) -> DataFrame:
-    """Template postings with integer IDF weights, totals and each template's anchor.
+    """Template postings with integer IDF weights and totals, as large as the templates.
 
-    The anchor of a template is its word of the highest IDF, on a tie the first
-    one.  As large as the templates, so it may be broadcast.
+    ``rank`` orders the words of each key phrase by falling IDF, on a tie by offset
+    (a base phrase is its own key phrase); it is null for the other words.
     """
     schema = "template int, label string, word string, base boolean, offset int, key boolean"
     postings = spark.createDataFrame(_postings(), schema).join(F.broadcast(idf), "word")
     whole = Window.partitionBy("template")
-    ranked = Window.partitionBy("template").orderBy(F.desc("weight"), "offset")
+    ranked = Window.partitionBy("template").orderBy(F.desc("key"), F.desc("weight"), "offset")
     return postings.select(
         "*",
-        (F.row_number().over(ranked) == 1).alias("anchor"),
+        F.when(F.col("key"), F.row_number().over(ranked)).alias("rank"),
         F.sum("weight").over(whole).alias("total"),
         F.count("*").over(whole).alias("n_template"),
         F.sum(F.col("key").cast("int")).over(whole).alias("n_key"),
@@ -77,12 +104,14 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     1. Each text is split once; the positions of its licence words are kept.
     2. The IDF of each licence word comes from all documents.
-    3. The rarest word of each template is its anchor; licence words farther from
-       any anchor than a template is long take no part.  The postings of a
-       document's words are turned into template starts (position less offset),
-       and starts with an anchor are kept: words of one template that agree on
-       the start are its intersection by relative position.
-    4. A base phrase counts where all its words are in place.  A template adds
+    3. A template is looked for in the files that have all words of its key phrase,
+       from the rarest of them on: that word's places in the file, less its offset,
+       are the template's possible starts.  Every accepted notice has its whole key
+       phrase, so none is missed whatever other words were changed or cut.
+    4. The postings of the file's other licence words are intersected with these
+       starts by relative position (position less offset).  Words farther from a
+       rarest word than a template is long take no part.
+    5. A base phrase counts where all its words are in place.  A template adds
        its label where its key phrase is whole and at least :data:`MIN_SHARE` of
        its IDF weight is in place.
 
@@ -131,23 +160,44 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     index = positional_index(spark, idf)
 
-    # At most one anchor per template goes to the driver.
-    anchors = sorted({r["word"] for r in index.where("anchor").select("word").collect()})
-    reach = max(len(wording.split()) for wording in (*BASE.values(), *[t[1] for t in TEMPLATES])) - 1
+    # One word and the key phrase of each template.
+    rarest = {r["template"]: r["word"] for r in index.where("rank = 1").select("template", "word").collect()}
+    keys: dict[int, set[str]] = {}
+    for template, _, word, base, _, key in _postings():
+        if base or key:
+            keys.setdefault(template, set()).add(word)
+    reach = max(offset for *_, offset, _ in _postings())
+
+    def has_key(template: int) -> Column:
+        wanted = sorted(keys[template], key=lambda w: (w != rarest[template], w))
+        every = F.array_contains("seen", wanted[0])
+        for word in wanted[1:]:
+            every = every & F.array_contains("seen", word)
+        return every
+
+    templates = F.array_compact(F.array(*[F.when(has_key(t), F.lit(t)) for t in sorted(keys)]))
+    held = files.select("row", "spots", templates.alias("templates")).where(F.size("templates") > 0)
+    anchors = F.array(*[F.lit(rarest[t]) for t in sorted(keys)])
+    held = held.withColumn("anchors", F.transform("templates", lambda t: F.get(anchors, t)))
 
     def near_anchor(spot: Column, i: Column) -> Column:
         # Spots stand in order, so those within reach are at most as many places away.
         around = F.slice("spots", F.greatest(i + 1 - reach, F.lit(1)), F.lit(2 * reach + 1))
-        return F.exists(around, lambda s: s["word"].isin(anchors) & (F.abs(s["at"] - spot["at"]) <= reach))
+        return F.exists(
+            around, lambda s: (F.abs(s["at"] - spot["at"]) <= reach) & F.array_contains(F.col("anchors"), s["word"])
+        )
 
-    anchored = F.exists("spots", lambda s: s["word"].isin(anchors))
-    kept = files.where(anchored).select("row", F.filter("spots", near_anchor).alias("spots"))
-    spots = kept.select("row", F.explode("spots").alias("spot")).select("row", "spot.at", "spot.word")
-    hits = spots.join(F.broadcast(index), "word").withColumn("start", F.col("at") - F.col("offset"))
+    kept = held.select("row", "templates", F.filter("spots", near_anchor).alias("spots"))
+    spots = kept.select("row", "templates", F.explode("spots").alias("spot")).select("row", "templates", "spot.at", "spot.word")
+    hits = (
+        spots.join(F.broadcast(index), "word")
+        .where(F.array_contains(F.col("templates"), F.col("template")))
+        .withColumn("start", F.col("at") - F.col("offset"))
+    )
     starts = hits.groupBy("row", "template", "start").agg(
         F.first("label").alias("label"),
         F.first("base").alias("base"),
-        F.max("anchor").alias("anchored"),
+        F.max(F.coalesce(F.col("rank") == 1, F.lit(False))).alias("anchored"),
         F.count("*").alias("n"),
         F.first("n_template").alias("n_template"),
         F.sum(F.col("key").cast("int")).alias("in_key"),
@@ -186,7 +236,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def oracle(table: str = "documents") -> str:
-    """The same result as DuckDB SQL."""
+    """The same result as DuckDB SQL: every start of every template is judged, without any rarest word."""
     rows = ", ".join(
         f"({t}, '{label}', '{word}', {base}, {offset}, {key})" for t, label, word, base, offset, key in _postings()
     )
@@ -204,17 +254,16 @@ weights as (
   from (select distinct word from postings) v left join spots s on s.word = v.word group by v.word),
 idx as (
   select p.*, w.weight,
-    row_number() over (partition by template order by weight desc, ofs) = 1 as anchor,
     sum(weight) over (partition by template) as total, count(*) over (partition by template) as nt,
     sum(iskey::int) over (partition by template) as nk
   from postings p join weights w on w.word = p.word),
 starts as (
   select r, template, pos - ofs as start, any_value(label) as label, any_value(base) as base,
-    bool_or(anchor) as anchored, count(*) as n, any_value(nt) as nt, sum(iskey::int) as ik, any_value(nk) as nk,
+    count(*) as n, any_value(nt) as nt, sum(iskey::int) as ik, any_value(nk) as nk,
     sum(weight)::double / any_value(total)::double as share
   from spots join idx on idx.word = spots.word group by r, template, pos - ofs),
 accepted as (
-  select * from starts where anchored and ((base and n = nt) or (not base and ik = nk and share >= {MIN_SHARE}))),
+  select * from starts where (base and n = nt) or (not base and ik = nk and share >= {MIN_SHARE})),
 notices as (
   select r, sum(base::int) as n_base, min(case when base then start end) as first_word,
     max(case when base then start end) as last_word,

@@ -367,6 +367,12 @@ def test_edited_notices_equal_the_twin(table):
     rows = [(1, notice), (2, "x " * 50 + notice + " the end"), (3, "redistribution of source and binary forms"), (4, "calm words")]
     rows += [(5, "Permission is hereby granted, without charge, to each person who obtains a copy"), (6, None), (7, "cc by 4 0")]
     rows += [(20 + i, f"the use of a copy in {i}") for i in range(20)]
+    # No "redistribution" here, or far away only: the key phrase alone leads to the notice.
+    rows += [(8, "Use in source and binary forms, with or without modification"), (9, "Redistribution. " + "x " * 90 + rows[0][1][18:])]
+    wordings = {label: wording for label, wording, _ in license.TEMPLATES if len(wording.split()) > 20}
+    rows += [(10 + i, f"Copyright 2020 A. B. {wording.upper()}! The end") for i, wording in enumerate(sorted(wordings.values()))]
+    rows += [(14, wordings["mit"].replace("sublicense", "and pass on")), (15, wordings["gpl"].replace("as published", "or as published"))]
+    rows += [(16, (wordings["apache-2.0"] + " ") * 40)]
     con = duckdb.connect()
     con.execute("create table documents (doc_id bigint, text varchar)")
     con.executemany("insert into documents values (?, ?)", rows)
@@ -375,4 +381,6 @@ def test_edited_notices_equal_the_twin(table):
     assert sorted(x[:-1] for x in found) == sorted(x[:-1] for x in wanted)
     scores = {x[0]: x[-1] for x in found}
     assert all(abs(scores[x[0]] - x[-1]) < 1e-9 for x in wanted)
-    assert {x[0]: x[6] for x in found}[1] == "bsd"
+    labels = {x[0]: x[6] for x in found}
+    assert [labels[i] for i in (1, 8, 9, 14, 15, 16)] == ["bsd", "bsd", "bsd", "mit", "gpl", "apache-2.0"]
+    assert {labels[10 + i] for i in range(4)} == {"apache-2.0", "bsd", "gpl", "mit"} and scores[16] == 1.0
