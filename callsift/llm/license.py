@@ -168,24 +168,24 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             keys.setdefault(template, set()).add(word)
     reach = max(offset for *_, offset, _ in _postings())
 
-    def has_key(template: int) -> Column:
-        wanted = sorted(keys[template], key=lambda w: (w != rarest[template], w))
-        every = F.array_contains("seen", wanted[0])
-        for word in wanted[1:]:
-            every = every & F.array_contains("seen", word)
-        return every
-
-    templates = F.array_compact(F.array(*[F.when(has_key(t), F.lit(t)) for t in sorted(keys)]))
+    keyed = F.array(
+        *[
+            F.struct(
+                F.lit(t).alias("template"),
+                F.array(*[F.lit(w) for w in sorted(keys[t], key=lambda w: (w != rarest[t], w))]).alias("words"),
+            )
+            for t in sorted(keys)
+        ]
+    )
+    whole_key = F.filter(keyed, lambda t: F.forall(t["words"], lambda w: F.array_contains(F.col("seen"), w)))
+    templates = F.transform(whole_key, lambda t: t["template"])
     held = files.select("row", "spots", templates.alias("templates")).where(F.size("templates") > 0)
-    anchors = F.array(*[F.lit(rarest[t]) for t in sorted(keys)])
-    held = held.withColumn("anchors", F.transform("templates", lambda t: F.get(anchors, t)))
+    anchors = sorted(set(rarest.values()))
 
     def near_anchor(spot: Column, i: Column) -> Column:
         # Spots stand in order, so those within reach are at most as many places away.
         around = F.slice("spots", F.greatest(i + 1 - reach, F.lit(1)), F.lit(2 * reach + 1))
-        return F.exists(
-            around, lambda s: (F.abs(s["at"] - spot["at"]) <= reach) & F.array_contains(F.col("anchors"), s["word"])
-        )
+        return F.exists(around, lambda s: s["word"].isin(anchors) & (F.abs(s["at"] - spot["at"]) <= reach))
 
     kept = held.select("row", "templates", F.filter("spots", near_anchor).alias("spots"))
     spots = kept.select("row", "templates", F.explode("spots").alias("spot")).select("row", "templates", "spot.at", "spot.word")
