@@ -7,7 +7,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callsift.llm.components import connected_components
@@ -142,16 +142,18 @@ def _survivors(group: pa.RecordBatch, percent: int) -> pa.RecordBatch | None:
     return group.take(pa.array(keep)).select(_TILE) if len(keep) else None
 
 
-_TILE = ["hub", "i", "j", "block", "class_id", "mark"]
-_TILE_SCHEMA = "hub long, i int, j int, block int, class_id long, mark long"
+_TILE = ["hub", "i", "j", "block", "held", "class_id", "mark"]
+_TILE_SCHEMA = "hub long, i int, j int, block int, held boolean, class_id long, mark long"
 
 
 def _verified(group: pa.RecordBatch, percent: int) -> pa.RecordBatch | None:
-    """A spanning forest of the links of a tile, checked on the full sets.
+    """The trees that the links of a tile make, checked on the full sets, as stars.
 
     Pairs come in decreasing order of their estimate; pairs that links found
     before connect are skipped, as they change no component.  Different texts of
-    one id are verified each, and are connected from the start.
+    one id are verified each, and are connected from the start; so are the rows
+    marked as held, whose links to the hub are known.  The centre of a star is the hub
+    where the tree holds it, else the smallest id.
     """
     versions = np.stack([group.column(c).to_numpy() for c in ("class_id", "mark")], axis=1)
     _, once = np.unique(versions, axis=0, return_index=True)
@@ -166,7 +168,7 @@ def _verified(group: pa.RecordBatch, percent: int) -> pa.RecordBatch | None:
     rows, columns = np.nonzero(maybe)
     order = np.argsort(-guess[rows, columns], kind="stable")
     _, first, of = np.unique(ids, return_index=True, return_inverse=True)
-    root, edges = first[of].tolist(), []
+    root, found = first[of].tolist(), False
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -174,15 +176,85 @@ def _verified(group: pa.RecordBatch, percent: int) -> pa.RecordBatch | None:
             x = root[x]
         return x
 
+    hub = group.column("hub")[0].as_py()
+    held = ids == hub
+    if "held" in group.schema.names:
+        held |= group.column("held").to_numpy(zero_copy_only=False)
+    joined = np.flatnonzero(held).tolist()
+    for a, b in zip(joined, joined[1:], strict=False):
+        root[find(b)] = find(a)
     for a, b in zip(left[rows[order]].tolist(), right[columns[order]].tolist(), strict=True):
         p, q = find(a), find(b)
         if p != q and linked(sets[a], sets[b], percent):
-            root[p] = q
-            edges.append((ids[a], ids[b]))
-    if not edges:
+            root[p], found = q, True
+    if not found:
         return None
-    pairs = np.array(edges, dtype=np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    tree = np.array([find(at) for at in range(len(ids))])
+    centre = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(centre, tree, ids)
+    centre[tree[held]] = hub
+    of_row = centre[tree]
+    spokes = np.unique(ids[(of_row != ids) & ~held])
+    at = {int(i): int(c) for i, c in zip(ids, of_row, strict=True)}
+    arms = np.array([at[int(i)] for i in spokes], dtype=np.int64)
+    columns = [np.full(len(spokes), hub, np.int64), arms, spokes.astype(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hub", "a", "b"])
+
+
+def _blocks(rows: Column, shingles: Column) -> Column:
+    """Blocks that a side of a tile needs for so many classes and shingles, none for no class."""
+    return F.ceil(F.greatest(rows / TILE_CLASSES, shingles / TILE_SHINGLES)).cast("int")
+
+
+def _first_tiles(families: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Every family in blocks, with its hub in each of them: a row per class, and one per block for the hub."""
+    blocks = families.join(sizes, "class_id").groupBy("hub").agg(
+        F.count("*").alias("members"), _blocks(F.count("*"), F.sum("n")).alias("blocks")
+    )
+    own = F.array(F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    dealt = join_many_to_one(families, blocks, ["hub"], rows="members")
+    return dealt.withColumn("block", F.explode(F.when(F.col("class_id") == F.col("hub"), every).otherwise(own))).select(
+        "hub", F.col("block").alias("i"), F.col("block").alias("j"), "block", F.lit(False).alias("held"), "class_id", "blocks"
+    )
+
+
+def _rest_tiles(first: DataFrame, links: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Classes without a link to their hub, against their whole family, in tiles of two blocks.
+
+    Classes that have one are held: they are in the hub's component and need no
+    comparison with each other.
+    """
+    members = first.where("blocks > 1").select("hub", "class_id").distinct()
+    to_hub = links.where("a = hub").select("hub", F.col("b").alias("class_id"), F.lit(True).alias("with_hub"))
+    held = F.coalesce("with_hub", F.col("class_id") == F.col("hub"))
+    marked = members.join(to_hub, ["hub", "class_id"], "left").select("hub", "class_id", held.alias("held"))
+
+    def side(of: Column) -> Column:
+        return _blocks(F.count_if(of), F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0)))
+
+    sides = marked.join(sizes, "class_id").groupBy("hub").agg(
+        F.count("*").alias("members"), side(~F.col("held")).alias("rest"), side(F.col("held")).alias("kin")
+    )
+    dealt = join_many_to_one(marked, sides.where("rest > 0"), ["hub"], rows="members")
+    hashed = F.xxhash64("class_id")
+    block = F.when(F.col("held"), F.col("rest") + F.pmod(hashed, F.col("kin"))).otherwise(F.pmod(hashed, F.col("rest"))).cast("int")
+    last = F.when(F.col("held"), F.col("rest") - 1).otherwise(F.col("rest") + F.col("kin") - 1)
+    others = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return others.select(
+        "hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "held", "class_id"
+    )
+
+
+def _tile_links(tiles: DataFrame, cards: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """``hub, a, b``: the links of tiles.  Only classes with a possible partner get their text."""
+    keys = ["hub", "i", "j"]
+    survivors = stored(
+        map_groups(tiles.join(cards, "class_id"), keys, partial(_survivors, percent=percent), _TILE_SCHEMA), "survivors"
+    )
+    # The same join at every size: what is left of the classes grows with the data.
+    read = survivors.hint("merge").join(texts, ["class_id", "mark"]).select(*_TILE, "text")
+    return stored(map_groups(read, keys, partial(_verified, percent=percent), "hub long, a long, b long"), "links")
 
 
 def near_duplicates(
@@ -194,12 +266,15 @@ def near_duplicates(
        sets form a class, which goes on as one row.
     2. Bands of four compressed registers put classes into buckets.  All buckets
        whose most-copied class is the same hub become one family.
-    3. A family is dealt into tiles of two blocks, so no task gets a whole family
-       and no pair is written out.  In a tile the collision-corrected estimates
-       of all pairs sort out what cannot be a link, by registers alone.
-    4. Only what is left gets its text, for the check on the full sets.  Each
-       tile returns a spanning forest of its links.
-    5. Components of all forests are joined back to the classes' documents.
+    3. A family is dealt into blocks, each with the hub.  In a block the
+       collision-corrected estimates of all pairs sort out what cannot be a
+       link, by registers alone; what is left gets its text, for the check on
+       the full sets.  No task gets a whole family and no pair is written out.
+    4. Classes that this has linked with the hub, directly or by others, are in
+       one component and are not compared again.  Only the rest meets the whole
+       family, in tiles of two blocks, by the same two checks.
+    5. Each tile returns the stars of its trees; components of all are joined
+       back to the classes' documents.
 
     A link of the least similarity misses all 32 bands with a chance below
     1e-10 at 85 percent and below 1e-7 at 80.  Hashes of 64 bits stand for shingles; the sets themselves are exact.
@@ -237,22 +312,12 @@ def near_duplicates(
     hubs = buckets.select("key", (-F.col("best.negative")).alias("hub"))
     families = stored(bands.select("key", "class_id").join(hubs, "key").select("hub", "class_id").distinct(), "families")
 
-    cards = classes.select("class_id", "mark", "n", "registers")
-    sized = families.join(classes.select("class_id", "n"), "class_id")
-    spread = F.greatest(F.count("*") / TILE_CLASSES, F.sum("n") / TILE_SHINGLES)
-    blocks = sized.groupBy("hub").agg(F.count("*").alias("members"), F.ceil(spread).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
-    dealt = join_many_to_one(families, blocks, ["hub"], rows="members").withColumn("block", own)
-    others = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = others.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id")
-    survivors = stored(
-        map_groups(tiles.join(cards, "class_id"), ["hub", "i", "j"], partial(_survivors, percent=percent), _TILE_SCHEMA), "survivors"
-    )
-
+    cards, sizes = classes.select("class_id", "mark", "n", "registers"), classes.select("class_id", "n")
     wanted = texts.withColumnRenamed("doc_id", "class_id")
-    # The same join at every size: what is left of the classes grows with the data.
-    read = survivors.hint("merge").join(wanted, ["class_id", "mark"]).select(*_TILE, "text")
-    edges = stored(map_groups(read, ["hub", "i", "j"], partial(_verified, percent=percent), "a long, b long"), "links")
+    first = stored(_first_tiles(families, sizes), "tiles")
+    to_hubs = _tile_links(first.drop("blocks"), cards, wanted, percent)
+    others = _tile_links(_rest_tiles(first, to_hubs, sizes), cards, wanted, percent)
+    edges = to_hubs.unionByName(others).select("a", "b")
     found = connected_components(edges)
 
     named = classes.join(found, classes["class_id"] == found["node"], "left").select(

@@ -237,3 +237,62 @@ def test_tiles_verify_each_text_of_an_id():
         }
         links = minhash._verified(pa.RecordBatch.from_pydict(columns), 85)
         assert [{r["a"], r["b"]} for r in links.to_pylist()] == [{7, 9}]
+
+
+def variants(n, words_each=150, seed=11):
+    """Pages of one boilerplate text with up to three words changed, and one in ten with many more."""
+    r = random.Random(seed)
+    base = words(31, words_each)
+    rows = []
+    for at in range(n):
+        own = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3]) if at % 10 else r.randint(4, 9)):
+            own[r.randrange(len(own))] = f"x{r.randrange(30)}"
+        rows.append((at * 7 + 1, " ".join(own)))
+    return rows
+
+
+def test_families_of_variants_need_few_tile_rows(table, monkeypatch):
+    """3,000 variants of a page: links as a product of incidence matrices finds them, at most 20 tile rows per class."""
+    import numpy as np
+
+    rows = variants(3000)
+    tile_rows = []
+
+    def counting(df, keys, function, schema):
+        if "registers" in df.columns:
+            tile_rows.append(df.count())
+        return groups(df, keys, function, schema)
+
+    groups = minhash.map_groups
+    monkeypatch.setattr(minhash, "map_groups", counting)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(table(rows)).collect()}
+
+    sets = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for _, t in rows]
+    names = {s: at for at, s in enumerate(sorted(set().union(*sets)))}
+    incidence = np.zeros((len(sets), len(names)), dtype=np.float32)
+    for at, own in enumerate(sets):
+        incidence[at, [names[s] for s in own]] = 1
+    both, sizes = incidence @ incidence.T, incidence.sum(axis=1)
+    a, b = np.nonzero(np.triu(100 * both >= 85 * (sizes[:, None] + sizes[None, :] - both), 1))
+    ids = [doc for doc, _ in rows]
+    expected = brute.components(ids, [(ids[p], ids[q]) for p, q in zip(a.tolist(), b.tolist(), strict=True)])
+    assert found == {doc: (len(s), expected[doc]) for (doc, _), s in zip(rows, sets, strict=True)}
+    assert len(set(expected.values())) > 20
+    classes = len({frozenset(s) for s in sets})
+    assert classes > 1500 and len(tile_rows) == 2 and sum(tile_rows) <= 20 * classes
+
+
+def test_held_classes_connect_through_the_hub():
+    """Held rows are in the hub's tree: a link to one of them is a link to the hub's component."""
+    import pyarrow as pa
+
+    texts = [" ".join(f"{k}w{i}" for i in range(40)) for k in "ab"]
+    texts += [texts[0] + " end", texts[1] + " end", " ".join(f"cw{i}" for i in range(40))]
+    columns = {
+        "hub": [1] * 5, "i": pa.array([0] * 5, pa.int32()), "j": pa.array([1] * 5, pa.int32()),
+        "block": pa.array([1, 1, 0, 0, 0], pa.int32()), "held": [True, True, False, False, False],
+        "class_id": [8, 5, 3, 4, 6], "mark": [0] * 5, "text": texts,
+    }
+    links = minhash._verified(pa.RecordBatch.from_pydict(columns), 85)
+    assert sorted((r["hub"], r["a"], r["b"]) for r in links.to_pylist()) == [(1, 1, 3), (1, 1, 4)]
