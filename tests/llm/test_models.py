@@ -320,6 +320,52 @@ def test_links_between_groups_of_full_lists(spark):
     assert sorted((x.vec_id, x.n_links, x.component_id) for x in found) == [(i, links[i].sum(), 0) for i in range(120)]
 
 
+def test_links_of_large_components(spark, monkeypatch):
+    """A chain of 1,500 points, some with full lists, and a ball of 1,500: counts from lists and from cells."""
+    r = np.random.default_rng(21)
+    chain = [r.standard_normal(24)]
+    chain[0] /= np.linalg.norm(chain[0])
+    for at in range(1499):
+        step = r.standard_normal(24)
+        step -= (step @ chain[-1]) * chain[-1]
+        turn = np.radians(4.0 if at % 200 < 60 else 7.0)
+        chain.append(np.cos(turn) * chain[-1] + np.sin(turn) * step / np.linalg.norm(step))
+    ball = r.standard_normal(24) + 0.1 * r.standard_normal((1500, 24))
+    unit = np.concatenate([chain, ball])
+    rows = [(i, v.tolist(), "chain" if i < 1500 else "ball") for i, v in enumerate(unit)]
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.98
+    links[:1500, 1500:] = links[1500:, :1500] = False
+    np.fill_diagonal(links, False)
+    true = links.sum(axis=1)
+    assert (true[:1500] < embedding.NEIGHBOURS).any() and (true[:1500] > embedding.NEIGHBOURS).any() and true.max() > 100
+    tiles = []
+
+    def noting(df, keys, function, schema):
+        if keys == ["x", "y"]:
+            tiles.append(df.groupBy(*keys).count().agg(F.max("count")).first()[0])
+        return groups(df, keys, function, schema)
+
+    groups = embedding.map_groups
+    monkeypatch.setattr(embedding, "map_groups", noting)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    found = {x.vec_id: (x.n_links, x.component_id) for x in embedding_duplicates(df).collect()}
+    counted = np.array([found[i][0] for i in range(3000)])
+    assert (counted <= true).all() and counted.sum() >= 0.995 * true.sum()
+    roots = brute.components(range(3000), np.argwhere(links).tolist())
+    assert np.mean([found[i][1] == roots[i] for i in range(3000)]) >= 0.995
+    assert max(tiles) <= 2 * embedding.TILE_ROWS + 100
+
+
+def test_extreme_vectors_and_text_labels(spark):
+    """Squares of these components over- or underflow; labels are text."""
+    rows = [(1, [1e-200, 1e-200], "a"), (2, [1e200, 1e200], "a"), (3, [1e200, 1e200], "b"), (4, [5e-324, 5e-324], "a"), (5, [1e200, -1e200], "a")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    found = sorted((x.vec_id, x.n_links, x.component_id, x.kept) for x in embedding_duplicates(df).collect())
+    assert found == [(1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 2, 1, False), (5, 0, 5, True)]
+    assert [x.n_links for x in embedding_duplicates(df.withColumn("label", F.col("vec_id") / 10 + 1)).collect()] == [0] * 5
+
+
 def test_recall_of_queries_on_the_test_table(spark):
     """Every twentieth vector against all others."""
     data = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pandas()
