@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callsift.llm.bpe import load_codec
 from callsift.llm.tables import WORD, whole_text
 
-# Tokens (words) of a sequence, and documents that one task packs together about.
+# Tokens of a sequence, and documents that one task packs together about.
 CAPACITY = 2048
 GROUP_ROWS = 2000
 
@@ -87,6 +89,26 @@ def pack(rows: Iterable[tuple], capacity: int) -> list[tuple[int, int, int, int,
     return out
 
 
+def _token_counts(texts: DataFrame, vocabulary: str) -> DataFrame:
+    """``n_words, n_tokens`` in place of ``text``: tokens as the codec of the vocabulary file makes them."""
+    kept = [f for f in texts.schema if f.name != "text"]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = load_codec(vocabulary)
+        for batch in batches:
+            words, tokens = [], []
+            for scalar in batch.column("text"):
+                text = scalar.as_py()
+                # Bytes are split at U+0020 and U+0009 to U+000D, as the words of the other operators.
+                words.append(len(text.encode().split()))
+                tokens.append(codec.count(text))
+            columns = [batch.column(f.name) for f in kept] + [pa.array(words, pa.int64()), pa.array(tokens, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in kept], "n_words", "n_tokens"])
+
+    return texts.mapInArrow(run, f"{fields}, n_words long, n_tokens long")
+
+
 def pack_documents(
     docs: DataFrame,
     capacity: int = CAPACITY,
@@ -95,9 +117,14 @@ def pack_documents(
     text_col: str = "text",
     source_col: str = "source",
     cluster_col: str | None = None,
+    vocabulary: str | None = None,
+    tokens_col: str | None = None,
 ) -> DataFrame:
-    """Pack documents into bins of ``capacity`` words by conflict-constrained best fit.
+    """Pack documents into bins of ``capacity`` tokens by conflict-constrained best fit.
 
+    Tokens are those of the byte-level BPE file ``vocabulary``, which all
+    executors have, or counts that ``tokens_col`` holds already (null: none);
+    with neither, words count as tokens.
     No bin holds two documents of one source, nor two of one cluster; each bin
     carries bitmaps of both.  ``cluster_col`` names the clusters, for instance
     the components of near duplicates; without it, and where it is null, a
@@ -108,7 +135,7 @@ def pack_documents(
     into pieces of whole bins and a rest.
 
     Returns one row per piece: ``doc_id, piece, n_tokens, n_words, bin,
-    bin_offset``, with ``bin`` as "group-number".  A document without words (an
+    bin_offset``, with ``bin`` as "group-number".  A document without tokens (an
     empty or null text) has one piece of 0 tokens and a null bin.  Repeated rows
     are separate documents and conflict as copies; null sources conflict with
     nothing.  Other columns are ignored; an empty table gives an empty result.
@@ -119,20 +146,24 @@ def pack_documents(
     copies = F.md5(F.lower(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))))
     given = F.concat(F.lit("="), F.col(cluster_col).cast("string")) if cluster_col else F.lit(None)
     total = docs.select(F.count("*")).scalar()
-    sized = docs.select(
+    named = [
         F.col(id_col).cast("long").cast("string").alias("doc_id"),
-        words.alias("n_words"),
         source.alias("source"),
         F.coalesce(given, copies).alias("cluster"),
         F.monotonically_increasing_id().alias("row"),
-    )
+    ]
+    if vocabulary and not tokens_col:
+        sized = _token_counts(docs.select(*named, text.alias("text")), vocabulary)
+    else:
+        tokens = F.coalesce(F.col(tokens_col).cast("long"), F.lit(0).cast("long")) if tokens_col else words
+        sized = docs.select(*named, words.alias("n_words"), tokens.alias("n_tokens"))
     groups = F.greatest(F.lit(1).cast("long"), F.ceil(total / F.lit(group_rows)))
     dealt = sized.withColumn("grp", F.pmod(F.xxhash64("doc_id", "row"), groups))
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("row").reset_index(drop=True)
         sources = [None if pd.isna(s) else s for s in frame["source"]]
-        rows = zip(range(len(frame)), frame["n_words"].tolist(), sources, frame["cluster"], strict=True)
+        rows = zip(range(len(frame)), frame["n_tokens"].tolist(), sources, frame["cluster"], strict=True)
         packed = pd.DataFrame(pack(rows, capacity), columns=["at", "piece", "n_tokens", "number", "bin_offset"])
         of = frame.iloc[packed["at"]].reset_index(drop=True)
         packed["doc_id"], packed["n_words"] = of["doc_id"], of["n_words"]

@@ -65,7 +65,7 @@ def op1_minhash_near_dedup(spark, sf_dir):
 
 @_query
 def op5_best_fit_packing(spark, sf_dir):
-    return pack_documents(_table(spark, sf_dir, "documents"))
+    return pack_documents(_table(spark, sf_dir, "documents"), vocabulary=vocabulary())
 
 
 @_query

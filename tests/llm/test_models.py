@@ -134,6 +134,28 @@ def test_packed_documents(spark, table):
     assert pack_documents(table([])).count() == 0
 
 
+def test_packed_tokens_equal_naive_best_fit_of_the_library(table):
+    """One group of documents, sized by the tokenizer library and packed by the plain version."""
+    library = Tokenizer.from_file(VOCABULARY)
+    texts = pq.read_table(f"{SF_DIR}/documents.parquet")["text"].to_pylist()[:300]
+    texts += ["", None, "x <|endoftext|> \n\n y", "\u2003wide\u2003spaces", "same  text", "Same text"]
+    sources = ["hot" if at % 3 else f"s{at % 40}" for at in range(len(texts))]
+    docs = table([(at, t, s) for at, (t, s) in enumerate(zip(texts, sources, strict=True))], "doc_id long, text string, source string")
+    found = pack_documents(docs.coalesce(1), capacity=1024, vocabulary=VOCABULARY).collect()
+    sizes = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    clusters = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "").strip(" ").lower() for t in texts]
+    expected = naive_pack(list(zip(range(len(texts)), sizes, sources, clusters, strict=True)), 1024)
+    got = [(r.doc_id, r.piece, r.n_tokens, int(r.bin.split("-")[1]) if r.bin else -1, r.bin_offset) for r in found]
+    assert sorted(got) == sorted(expected)
+    words = {r.doc_id: r.n_words for r in found}
+    assert words == {at: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for at, t in enumerate(texts)}
+    counted = docs.withColumn("size", F.when(F.col("doc_id") != 3, F.lit(700)))
+    given = {r.doc_id: (r.n_tokens, r.bin) for r in pack_documents(counted, capacity=1024, tokens_col="size").collect()}
+    assert given[3] == (0, None) and {n for d, (n, _) in given.items() if d != 3} == {700}
+    assert len({b for _, b in given.values()}) == len(texts)
+    assert pack_documents(table([]), vocabulary=VOCABULARY).count() == 0
+
+
 def test_packing_keeps_given_clusters_apart(table):
     rows = [(1, "a b c", 5), (2, "d e f", 5), (3, "g h i", 6), (4, "a b c", None), (5, "A b  c", None)]
     docs = table(rows, "doc_id long, text string, component_id long")
