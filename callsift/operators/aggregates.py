@@ -101,6 +101,40 @@ def top_paths(df: DataFrame, n: int = 5, order_cols: Sequence[str] | None = None
     return first_rows(counted, [F.col("n").desc(), "first_seen", "path"], n).drop("first_seen")
 
 
+# Paths that the summary of heavy_paths proposes, and that it follows at most; buckets of the paths it leaves out.
+CANDIDATES, FOLLOWED, PATH_BUCKETS = 1_000, 50_000, 65_536
+
+
+def heavy_paths(df: DataFrame, n: int = 5, order_cols: Sequence[str] | None = None) -> DataFrame:
+    """As :func:`top_paths`, for logs with more paths than can be shuffled: the same rows.
+
+    A frequent-items sketch per task, merged, proposes candidates.  A second pass
+    counts these exactly, and all other paths by hash bucket: no path of a bucket
+    has more requests than the bucket.  Buckets with fewer than the ``n``-th
+    candidate are thereby settled; only paths of the other buckets are counted
+    one by one.  Shuffles carry candidates and buckets, not paths, and the
+    broadcast sets are bounded by :data:`CANDIDATES` and :data:`PATH_BUCKETS`.
+    """
+    if n > CANDIDATES:
+        raise ValueError(f"n must be <= {CANDIDATES}, got {n}")
+    narrow = df.select("path", *[c for c in input_order(df, order_cols) if c != "path"])
+    sketch = narrow.agg(F.expr(f"approx_top_k(path, {CANDIDATES}, {FOLLOWED})").alias("items"))
+    proposed = sketch.select(F.explode("items.item").alias("candidate"), F.lit(True).alias("is_candidate"))
+    marked = narrow.join(F.broadcast(proposed), F.col("path").eqNullSafe(F.col("candidate")), "left").drop("candidate")
+    bucket = F.pmod(F.xxhash64("path"), F.lit(PATH_BUCKETS))
+    marked = marked.withColumn("bucket", F.when(F.col("is_candidate").isNull(), bucket))
+    by = [F.when(F.col("is_candidate"), F.col("path")).alias("path"), "bucket"]
+    met = [_count().alias("n"), _first_seen(df, order_cols)]
+    counted = marked.groupBy(*by).agg(*met)
+    candidates = counted.where("bucket is null").drop("bucket")
+    leading = candidates.orderBy(F.desc("n")).limit(n).agg(F.min("n").alias("least"), F.count("*").alias("rows"))
+    floor = leading.select(F.when(F.col("rows") == n, F.col("least")).otherwise(0)).scalar()
+    unsettled = counted.where(F.col("bucket").isNotNull() & (F.col("n") >= floor)).select("bucket")
+    others = marked.join(F.broadcast(unsettled), "bucket", "left_semi").groupBy("path").agg(*met)
+    both = candidates.unionByName(others)
+    return first_rows(both, [F.col("n").desc(), "first_seen", "path"], n).drop("first_seen")
+
+
 def group_stats(df: DataFrame, key: str | Column, depth: int = 1) -> DataFrame:
     """Requests and mean duration per key: method, status, path_prefix or a Column."""
     return df.groupBy(named_key(key, depth).alias("key")).agg(

@@ -24,7 +24,7 @@ COMPARED = (
 )
 
 
-def _record() -> Column:
+def comparable_record() -> Column:
     """A request reduced to comparable values: header maps as sorted entries."""
     return F.struct(
         F.col("id"),
@@ -81,15 +81,19 @@ def compare_sets(
         keyed = df.select(
             F.upper("method").alias("match_method"),
             F.col("path").alias("match_path"),
-            _record().alias(name),
+            comparable_record().alias(name),
             *[F.col(c).alias(f"_o_{c}") for c in input_order(df, order_cols)],
         )
         order = [c for c in keyed.columns if c.startswith("_o_")]
         return last_per_key(keyed, ["match_method", "match_path"], order).drop(*order)
 
-    joined = _outer_join(
-        latest(baseline, "old"), latest(current, "new"), ["match_method", "match_path"]
+    return paired_records(
+        _outer_join(latest(baseline, "old"), latest(current, "new"), ["match_method", "match_path"])
     )
+
+
+def paired_records(joined: DataFrame) -> DataFrame:
+    """State and differences of full outer pairs ``match_method, match_path, old, new`` of records."""
     state = (
         F.when(F.col("new").isNull(), "only_baseline")
         .when(F.col("old").isNull(), "only_current")
@@ -141,6 +145,11 @@ def snapshot_diff(
     joined = _outer_join(
         latest(snapshot, "snapshot_status"), latest(current, "current_status"), ["method", "path"]
     )
+    return endpoint_changes(joined)
+
+
+def endpoint_changes(joined: DataFrame) -> DataFrame:
+    """The endpoints of full outer pairs that stand on one side only, or whose status differs."""
     change = (
         F.when(F.col("_in_current_status").isNull(), "only_in_snapshot")
         .when(F.col("_in_snapshot_status").isNull(), "only_in_current")
@@ -156,8 +165,8 @@ def snapshot_diff(
 def _diff_two(df: DataFrame, is_a: Column, is_b: Column, order: Sequence[str]) -> DataFrame:
     position = F.struct(*order)
     pair = df.where(is_a | is_b).agg(
-        F.min_by(_record(), F.when(is_a, position)).alias("old"),
-        F.min_by(_record(), F.when(is_b, position)).alias("new"),
+        F.min_by(comparable_record(), F.when(is_a, position)).alias("old"),
+        F.min_by(comparable_record(), F.when(is_b, position)).alias("new"),
     )
     both = pair.where(F.col("old").isNotNull() & F.col("new").isNotNull())
     ids = [F.col("old.id").alias("id_a"), F.col("new.id").alias("id_b")]

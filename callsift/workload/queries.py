@@ -29,7 +29,7 @@ from callsift.operators import (
     transforms,
 )
 from callsift.plans.scratch import scratch_path
-from callsift.sources import archive, exports, log, snapshots, split
+from callsift.sources import archive, baselines, exports, log, rewrites, snapshots, split
 from callsift.streaming import watch
 from callsift.workload import tables
 from callsift.workload.sql import SPACE, on_requests, with_tables
@@ -643,18 +643,31 @@ group by name"""
 
 @_register(with_tables("requests", "page_requests", "document_requests", body=_COUNTERS))
 def transform_counters(spark, sf_dir):
-    flagged = {
+    counted = None
+    for name, (df, flag) in _transforms(spark, sf_dir).items():
+        row = transforms.change_counts(df, flag).select(F.lit(name).alias("name"), "*")
+        counted = row if counted is None else counted.unionByName(row)
+    return counted
+
+
+def _transforms(spark, sf_dir) -> dict[str, tuple[DataFrame, str]]:
+    return {
         "normalize": (transforms.normalize(tables.page_requests(spark, sf_dir)), "changed"),
         "redact": (_redacted(spark, sf_dir), "redacted"),
         "truncate": (transforms.truncate(tables.document_requests(spark, sf_dir)), "truncated"),
         "patch": (_patched(spark, sf_dir), "patched"),
         "rename": (_renamed(spark, sf_dir), "renamed"),
     }
-    counted = None
-    for name, (df, flag) in flagged.items():
-        row = transforms.change_counts(df, flag).select(F.lit(name).alias("name"), "*")
-        counted = row if counted is None else counted.unionByName(row)
-    return counted
+
+
+@_register(with_tables("requests", "page_requests", "document_requests", body=_COUNTERS))
+def transform_counters_written(spark, sf_dir):
+    """Counts of changed rows, taken while the rewritten rows are written."""
+    rows = []
+    for name, (df, flag) in _transforms(spark, sf_dir).items():
+        counts = rewrites.write_rewritten(df, flag, scratch_path(spark, f"rewritten-{name}"))
+        rows.append((name, counts.total, counts.changed, counts.unchanged))
+    return spark.createDataFrame(rows, "name string, total long, changed long, unchanged long")
 
 
 # --------------------------------------------------------------------------- rules
@@ -911,6 +924,16 @@ def top_paths(spark, sf_dir):
     return aggregates.top_paths(tables.requests(spark, sf_dir))
 
 
+@_register(
+    on_requests("""
+select path, n from (select path, count(*) as n, min(seq) as s from requests group by path)
+order by n desc, s, path limit 40""")
+)
+def heavy_paths(spark, sf_dir):
+    """The most frequent paths without a shuffle of all paths."""
+    return aggregates.heavy_paths(tables.requests(spark, sf_dir), 40)
+
+
 def _grouped(key: str) -> str:
     return on_requests(
         f"select {key} as key, count(*) as requests,"
@@ -1184,6 +1207,24 @@ def snapshot_diff(spark, sf_dir):
     return diff.withColumns(status)
 
 
+@_register(ORACLES["snapshot_diff"])
+def snapshot_diff_bucketed(spark, sf_dir):
+    """The snapshot stored by endpoint; only the log is shuffled."""
+    table = f"endpoints_{uuid.uuid4().hex}"
+    baselines.save_baseline(tables.baseline(spark, sf_dir), table, buckets=8, exact_method=True)
+    diff = baselines.changes_since_baseline(spark, table, tables.current(spark, sf_dir))
+    status = {c: F.col(c).cast("string") for c in ("snapshot_status", "current_status")}
+    return diff.withColumns(status)
+
+
+@_register(ORACLES["diff_fields"])
+def diff_fields_bucketed(spark, sf_dir):
+    """Differences from a baseline stored by endpoint."""
+    table = f"endpoints_{uuid.uuid4().hex}"
+    baselines.save_baseline(tables.baseline(spark, sf_dir), table, buckets=8)
+    return compare.comparison_diffs(baselines.compare_with_baseline(spark, table, tables.current(spark, sf_dir)))
+
+
 # --------------------------------------------------------------------------- annotations
 
 
