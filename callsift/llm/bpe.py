@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 # Distinct pieces whose tokens a worker remembers, and the longest piece it remembers.
 CACHE_PIECES = 400_000
 CACHE_CHARS = 48
+# Distinct pieces whose number of tokens a worker remembers.
+COUNTED_PIECES = 1_000_000
 
 # The split pattern of the byte-level vocabularies (fixed value); \s is the
 # Unicode property, as in the engine that defines the results.
@@ -36,6 +38,23 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Counts(dict):
+    """The number of tokens of each piece, found when first asked for."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self._codec = codec
+
+    def __missing__(self, piece: str) -> int:
+        count = len(self._codec.encode_piece(piece))
+        if len(piece) <= CACHE_CHARS:
+            if len(self) >= COUNTED_PIECES:
+                self.clear()
+                self._codec._fits.clear()
+            self[piece] = count
+        return count
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file.
 
@@ -82,6 +101,7 @@ class Codec:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self._fits: dict[tuple[int, int], bool] = {}
         self._pieces: dict[str, tuple[int, ...]] = {}
+        self._counts = _Counts(self)
 
     def fits(self, left: int, right: int) -> bool:
         """May the two tokens stand side by side in an exact encoding?
@@ -181,9 +201,9 @@ class Codec:
 
     def count(self, text: str) -> int:
         """The number of tokens of a text, without making them a list."""
-        total = 0
+        total, counted = 0, self._counts.__getitem__
         for at, part in enumerate(self.specials.split(text) if self.specials else [text]):
-            total += 1 if at % 2 else sum(map(len, map(self._piece, self.pattern.findall(part))))
+            total += 1 if at % 2 else sum(map(counted, self.pattern.findall(part)))
         return total
 
     def decode(self, ids: list[int]) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 
@@ -90,20 +91,27 @@ def pack(rows: Iterable[tuple], capacity: int) -> list[tuple[int, int, int, int,
 
 
 def _token_counts(texts: DataFrame, vocabulary: str) -> DataFrame:
-    """``n_words, n_tokens`` in place of ``text``: tokens as the codec of the vocabulary file makes them."""
+    """``n_words, n_tokens`` in place of ``text``: tokens as the codec of the vocabulary file makes them.
+
+    A null ``cluster`` becomes that of the copies of the text.
+    """
     kept = [f for f in texts.schema if f.name != "text"]
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load_codec(vocabulary)
         for batch in batches:
-            words, tokens = [], []
-            for scalar in batch.column("text"):
+            words, tokens, clusters = [], [], batch.column("cluster").to_pylist()
+            for at, scalar in enumerate(batch.column("text")):
                 text = scalar.as_py()
                 # Bytes are split at U+0020 and U+0009 to U+000D, as the words of the other operators.
-                words.append(len(text.encode().split()))
+                own = text.lower().encode().split()
+                words.append(len(own))
                 tokens.append(codec.count(text))
-            columns = [batch.column(f.name) for f in kept] + [pa.array(words, pa.int64()), pa.array(tokens, pa.int64())]
+                if clusters[at] is None:
+                    clusters[at] = hashlib.md5(b" ".join(own)).hexdigest()
+            columns = [pa.array(clusters, pa.string()) if f.name == "cluster" else batch.column(f.name) for f in kept]
+            columns += [pa.array(words, pa.int64()), pa.array(tokens, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in kept], "n_words", "n_tokens"])
 
     return texts.mapInArrow(run, f"{fields}, n_words long, n_tokens long")
@@ -144,19 +152,20 @@ def pack_documents(
     words = F.regexp_count(text, F.lit(WORD)).cast("long")
     source = F.col(source_col).cast("string") if source_col in docs.columns else F.lit(None).cast("string")
     copies = F.md5(F.lower(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))))
-    given = F.concat(F.lit("="), F.col(cluster_col).cast("string")) if cluster_col else F.lit(None)
+    given = F.concat(F.lit("="), F.col(cluster_col).cast("string")) if cluster_col else F.lit(None).cast("string")
     total = docs.select(F.count("*")).scalar()
     named = [
         F.col(id_col).cast("long").cast("string").alias("doc_id"),
         source.alias("source"),
-        F.coalesce(given, copies).alias("cluster"),
         F.monotonically_increasing_id().alias("row"),
     ]
     if vocabulary and not tokens_col:
-        sized = _token_counts(docs.select(*named, text.alias("text")), vocabulary)
+        sized = _token_counts(docs.select(*named, given.alias("cluster"), text.alias("text")), vocabulary)
     else:
         tokens = F.coalesce(F.col(tokens_col).cast("long"), F.lit(0).cast("long")) if tokens_col else words
-        sized = docs.select(*named, words.alias("n_words"), tokens.alias("n_tokens"))
+        sized = docs.select(
+            *named, F.coalesce(given, copies).alias("cluster"), words.alias("n_words"), tokens.alias("n_tokens")
+        )
     groups = F.greatest(F.lit(1).cast("long"), F.ceil(total / F.lit(group_rows)))
     dealt = sized.withColumn("grp", F.pmod(F.xxhash64("doc_id", "row"), groups))
 
