@@ -12,6 +12,7 @@ from callsift.functions.keys import as_condition
 from callsift.plans.errors import contained
 from callsift.plans.ordering import (
     first_per_key_marked,
+    first_rows,
     input_order,
     time_order,
     with_group_position,
@@ -221,12 +222,11 @@ def batch_stats(
         accepted = F.count_if("_ok")
     else:
         accepted = F.least(F.count_if("_ok"), F.lit(max_records))
-        stop = (
-            with_row_index(marked.where("_ok"), order, "_at")
-            .where(F.col("_at") == max_records)
-            .select(F.struct(*order).alias("_stop"))
-            .scalar()
-        )
+        # The position of the first row beyond the limit: the last of one more row than it has, if so many match.
+        reached = first_rows(marked.where("_ok"), order, max_records + 1)
+        stop = reached.agg(
+            F.when(F.count("*") > max_records, F.max(F.struct(*order))).alias("_stop")
+        ).scalar()
         marked = marked.withColumn("_stop", stop)
         rejected &= F.col("_stop").isNull() | (F.struct(*order) < F.col("_stop"))
     return marked.agg(

@@ -101,6 +101,15 @@ def test_batches(log, values):
             timeseries.batch_records(df, **bad)
 
 
+def test_small_limits_of_batches_need_no_index_of_all_rows(log):
+    df = log(*[{"response_status": 200 + i % 2} for i in range(9)])
+    stats = timeseries.batch_stats(df, 2, 3, "response_status = 200")
+    plan = stats._jdf.queryExecution().optimizedPlan().toString()
+    assert "AttachDistributedSequence" not in plan
+    # The fourth match is the row at 6; three others come before it.
+    assert [tuple(r) for r in stats.collect()] == [(2, 3, 3)]
+
+
 def test_sorting_is_stable_in_both_directions(log, values):
     df = log({"duration_ms": 5.0}, {"duration_ms": None}, {"duration_ms": 5.0}, {"duration_ms": 9.0, "method": "a"})
     assert values(paging.sort_requests(df, "duration_ms"), "id") == ["1", "0", "2", "3"]
