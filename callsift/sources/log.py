@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, datetime, timezone
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +28,7 @@ _NAMES = {
 _ACCEPTED = [*[n for names in _NAMES.values() for n in names], SECONDS_ALIAS]
 CORRUPT = "_corrupt_record"
 _END = "_callsift_end"
+_BAD = "_callsift_bad"
 # White space around a line (fixed values: what str.strip removes, without the line ends of a file).
 _SPACES = " \t\x0b\x0c\r\n\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 DAY = "day"
@@ -105,27 +106,29 @@ def parse_lines(lines: DataFrame, strict: bool = True, mode: str = "FAILFAST") -
     # second entry.  The mark is a hash of the line, so no line can bring its own.
     mark = F.xxhash64("value").cast("string")
     closed = F.concat(F.lit("["), "value", F.lit(f',{{"{_END}":"'), mark, F.lit('"}]'))
-    whole = F.from_json(closed, "array<map<string,string>>")
-    one = (F.size(whole) == 2) & (F.get(whole, F.lit(1))[_END] == mark)
-    both = F.struct(
-        F.when(one, F.get(whole, F.lit(0))).alias("f"), F.from_json("value", _line_schema()).alias("r")
-    )
-    # Behind a generator the parsed line is not put in for each of its many uses.
-    read = lines.select("value", F.explode_outer(F.array(both)).alias("read")).select("value", "read.f", "read.r")
-    judged = read.select("value", "r", _problem(strict).alias("p"))
+    typed = F.from_json("value", _line_schema().add(_BAD, T.StringType()), {"columnNameOfCorruptRecord": _BAD})
+    both = F.struct(F.from_json(closed, "array<map<string,string>>").alias("whole"), typed.alias("r"))
+    # Behind a generator what is parsed or judged is not put in for each of its many uses.
+    read = lines.select("value", F.explode_outer(F.array(both)).alias("read")).select("value", "read.whole", "read.r")
+    one = (F.size("whole") == 2) & (F.get("whole", F.lit(1))[_END] == mark)
+    fields = F.when(one, F.get("whole", F.lit(0)))
+    judged = read.select("value", "r", F.explode_outer(F.array(fields)).alias("f"))
+    problem = F.when(~_sound(), _problem(strict))
     if mode == "FAILFAST":
         # A filter runs even where no column is asked for.
-        judged = judged.where(_raised())
-    record = F.when(F.col("p").isNull(), F.col("r"))
-    parsed = judged.select(record.alias("r"), F.when(F.col("p").isNotNull(), F.col("value")).alias(CORRUPT))
-    merged = parsed.select(*[_any_name(f.name).try_cast(_kind(f)).alias(f.name) for f in REQUEST_SCHEMA], CORRUPT)
-    columns = canonical_columns(merged)
-    return merged.select(*columns) if mode == "FAILFAST" else merged.select(*columns, CORRUPT)
+        parsed = judged.where(_raised(problem)).select("r")
+    else:
+        marked = judged.select("value", "r", F.explode_outer(F.array(problem)).alias("p"))
+        record = F.when(F.col("p").isNull(), F.col("r"))
+        parsed = marked.select(record.alias("r"), F.when(F.col("p").isNotNull(), F.col("value")).alias(CORRUPT))
+    kept = [] if mode == "FAILFAST" else [CORRUPT]
+    merged = parsed.select(*[_any_name(f.name).try_cast(_kind(f)).alias(f.name) for f in REQUEST_SCHEMA], *kept)
+    return merged.select(*canonical_columns(merged), *kept)
 
 
-def _raised() -> Column:
+def _raised(problem: Column) -> Column:
     """True for a good line; the error of a bad one."""
-    return F.when(F.col("p").isNull(), F.lit(True)).otherwise(F.raise_error(F.col("p")).cast("boolean"))
+    return F.when(problem.isNull(), F.lit(True)).otherwise(F.raise_error(problem).cast("boolean"))
 
 
 def _kind(field: T.StructField) -> T.DataType:
@@ -140,6 +143,37 @@ def _any_name(name: str) -> Column:
     return F.coalesce(*values)
 
 
+def _required() -> dict[str, list[str]]:
+    """The names of which a line must have one, by the column they stand for."""
+    groups = {n: _NAMES[n] for n in _NAMES if n not in OPTIONAL} | {"path": ["path", "url"]}
+    groups["duration_ms"] = [*groups["duration_ms"], SECONDS_ALIAS]
+    return groups
+
+
+def _whole_status() -> Column:
+    status = F.col("r.response_status")
+    return (status == F.rint(status)) & (F.abs(status) < 2.0**31)
+
+
+def _sound() -> Column:
+    """Whether a line surely has no problem; other lines are judged by :func:`_problem`, field by field.
+
+    It has an id and every required column under its own name, no unknown name, no
+    name twice, and all its values could be read as their types.
+    """
+    keys = F.map_keys("f")
+    known, wanted = (F.array(*[F.lit(n) for n in names]) for names in (_ACCEPTED, _required()))
+    tests = [
+        F.col(f"r.{_BAD}").isNull(),
+        F.col("r.id").isNotNull(),
+        F.coalesce(_whole_status(), F.lit(True)),
+        F.size(F.array_except(wanted, keys)) == 0,
+        F.size(F.array_except(keys, known)) == 0,
+        F.size(F.array_distinct(keys)) == F.size(keys),
+    ]
+    return F.col("f").isNotNull() & reduce(and_, tests)
+
+
 def _problem(strict: bool) -> Column:
     """What is wrong with a line, null when nothing is.
 
@@ -156,9 +190,7 @@ def _problem(strict: bool) -> Column:
 
     malformed = F.when(F.col("f").isNull(), F.concat(F.lit("malformed record: "), F.col("value")))
     wrong = [F.when(given(n) & F.col(f"r.{n}").isNull(), F.lit(n)) for n in _ACCEPTED]
-    whole = F.col("r.response_status")
-    fits = (whole == F.rint(whole)) & (F.abs(whole) < 2.0**31)
-    wrong.append(F.when(~fits, F.lit("response_status")))
+    wrong.append(F.when(~_whole_status(), F.lit("response_status")))
     keys = F.map_keys("f")
     nameless = F.arrays_overlap(keys, F.array(*[F.lit(n) for n in _NAMES["id"]])) & ~_any_given(_NAMES["id"], given)
     wrong.append(F.when(nameless, F.lit("id")))
@@ -166,13 +198,11 @@ def _problem(strict: bool) -> Column:
     if not strict:
         return F.coalesce(malformed, mistyped)
     unknown = F.array_except(keys, F.array(*[F.lit(n) for n in _ACCEPTED]))
-    groups = {n: _NAMES[n] for n in _NAMES if n not in OPTIONAL} | {"path": ["path", "url"]}
-    groups["duration_ms"] = [*groups["duration_ms"], SECONDS_ALIAS]
     missing = F.array_compact(
         F.array(
             *[
                 F.when(~F.arrays_overlap(keys, F.array(*[F.lit(n) for n in names])), F.lit(target))
-                for target, names in groups.items()
+                for target, names in _required().items()
             ]
         )
     )

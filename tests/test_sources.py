@@ -266,3 +266,30 @@ def test_restore_appends_what_is_missing(spark, tmp_path, log):
     assert archive.restore(spark, archived, path) == 0
     found = logs.read_log(spark, path, "parquet", strict=False).select("id", "path").collect()
     assert sorted(tuple(r) for r in found) == [("a", "/api"), ("b", "/1")]
+
+
+def test_a_line_is_parsed_and_judged_once(spark):
+    """However many columns are made of it; FAILFAST names the judgement in the test and in its error."""
+    lines = spark.createDataFrame([("",)], "value string")
+    for mode, judged in (("FAILFAST", 2), ("PERMISSIVE", 1)):
+        plan = logs.parse_lines(lines, mode=mode)._jdf.queryExecution().optimizedPlan().toString()
+        assert (plan.count("from_json("), plan.count("malformed record")) == (2, judged)
+
+
+def test_sound_lines_have_no_problem(spark):
+    """The quick judgement passes no line that the one field by field would not."""
+    names = [n for n in REQUEST_SCHEMA.fieldNames() if n != "seq"]
+    good = {n: None for n in names} | {"id": "1", "response_status": 200, "request_headers": {}, "tags": ["a", 1]}
+    odd = [good, {**good, "seq": 5}, {**good, "more": 1}, {**good, "id": None}, {**good, "tags": "x"}, {**good, "tags": ""}]
+    odd += [{**good, "duration_ms": v} for v in ("NaN", "x", "", [1], {"a": 1}, True)]
+    odd += [{**good, "response_status": v} for v in (200.0, 200.5, 1e12, "200", [])]
+    odd += [{k: v for k, v in good.items() if k != name} for name in names]
+    texts = [json.dumps(o) for o in odd]
+    texts += [texts[0][:-1] + tail for tail in (', "id": null}', ', "id": "2"}', ', "duration_ms": "x"}', ', "method": {}}', ",}", "}}")]
+    for strict in (True, False):
+        lines = spark.createDataFrame([(t,) for t in texts], "value string")
+        quick = logs.parse_lines(lines, strict, "PERMISSIVE").select("id", "duration_ms", logs.CORRUPT).collect()
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(logs, "_sound", lambda: F.lit(False))
+            full = logs.parse_lines(lines, strict, "PERMISSIVE").select("id", "duration_ms", logs.CORRUPT).collect()
+        assert [str(r) for r in quick] == [str(r) for r in full]
