@@ -23,7 +23,7 @@ BUCKET_BITS, MANTISSA_BITS, BAND_ROWS = 7, 10, 4
 BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // BAND_ROWS
 # Classes, and shingles, that one side of a tile has about.
-TILE_CLASSES, TILE_SHINGLES = 128, 500_000
+TILE_CLASSES, TILE_SHINGLES = 256, 500_000
 # Deviations of the estimate below the threshold at which a pair is still verified.
 SIGMAS = 6.0
 # Expected share of equal registers of disjoint sets of equal size, times 2 ** MANTISSA_BITS (fixed value).
@@ -129,46 +129,56 @@ def _sides(blocks: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
 
 
+def _components(group: pa.RecordBatch) -> np.ndarray:
+    """The component of each row of a tile: as found before, else its own id, or the hub where it is held by it."""
+    if "component" in group.schema.names:
+        return group.column("component").to_numpy()
+    own = group.column("class_id").to_numpy()
+    if "held" not in group.schema.names:
+        return own
+    return np.where(group.column("held").to_numpy(zero_copy_only=False), group.column("hub").to_numpy(), own)
+
+
 def _survivors(group: pa.RecordBatch, percent: int) -> pa.RecordBatch | None:
-    """The rows of a tile that have a possible partner in it."""
+    """The rows of a tile that have a possible partner of another component in it."""
     i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
     left, right = _sides(group.column("block").to_numpy(), i, j)
     registers = np.frombuffer(b"".join(group.column("registers").to_pylist()), dtype=np.uint16)
     registers, n = registers.reshape(-1, BUCKETS), group.column("n").to_numpy()
+    of = _components(group)
     maybe, _ = possible(registers[left], registers[right], n[left], n[right], percent)
-    if i == j:
-        np.fill_diagonal(maybe, False)
+    maybe &= of[left][:, None] != of[right]
     keep = np.union1d(left[maybe.any(axis=1)], right[maybe.any(axis=0)])
     return group.take(pa.array(keep)).select(_TILE) if len(keep) else None
 
 
-_TILE = ["hub", "i", "j", "block", "held", "class_id", "mark"]
-_TILE_SCHEMA = "hub long, i int, j int, block int, held boolean, class_id long, mark long"
+_TILE = ["hub", "i", "j", "block", "component", "class_id", "mark"]
+_TILE_SCHEMA = "hub long, i int, j int, block int, component long, class_id long, mark long"
 
 
 def _verified(group: pa.RecordBatch, percent: int) -> pa.RecordBatch | None:
-    """The trees that the links of a tile make, checked on the full sets, as stars.
+    """The trees that the links of a tile make between components, checked on the full sets, as stars.
 
     Pairs come in decreasing order of their estimate; pairs that links found
     before connect are skipped, as they change no component.  Different texts of
-    one id are verified each, and are connected from the start; so are the rows
-    marked as held, whose links to the hub are known.  The centre of a star is the hub
-    where the tree holds it, else the smallest id.
+    one id are verified each; rows of one component are connected from the
+    start.  The centre of a star is its smallest component.
     """
     versions = np.stack([group.column(c).to_numpy() for c in ("class_id", "mark")], axis=1)
     _, once = np.unique(versions, axis=0, return_index=True)
-    group, ids = group.take(pa.array(once)), versions[once, 0]
+    group = group.take(pa.array(once))
     i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
     left, right = _sides(group.column("block").to_numpy(), i, j)
+    components, of = np.unique(_components(group), return_inverse=True)
     sets = list(shingle_sets(group.column("text")))
     registers, n = np.array([sketch(s) for s in sets]), np.array([len(s) for s in sets])
     maybe, guess = possible(registers[left], registers[right], n[left], n[right], percent)
     if i == j:
         maybe &= np.tri(len(left), k=-1, dtype=bool)
+    maybe &= of[left][:, None] != of[right]
     rows, columns = np.nonzero(maybe)
     order = np.argsort(-guess[rows, columns], kind="stable")
-    _, first, of = np.unique(ids, return_index=True, return_inverse=True)
-    root, found = first[of].tolist(), False
+    root, found = list(range(len(components))), False
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -176,28 +186,16 @@ def _verified(group: pa.RecordBatch, percent: int) -> pa.RecordBatch | None:
             x = root[x]
         return x
 
-    hub = group.column("hub")[0].as_py()
-    held = ids == hub
-    if "held" in group.schema.names:
-        held |= group.column("held").to_numpy(zero_copy_only=False)
-    joined = np.flatnonzero(held).tolist()
-    for a, b in zip(joined, joined[1:], strict=False):
-        root[find(b)] = find(a)
     for a, b in zip(left[rows[order]].tolist(), right[columns[order]].tolist(), strict=True):
-        p, q = find(a), find(b)
+        p, q = find(int(of[a])), find(int(of[b]))
         if p != q and linked(sets[a], sets[b], percent):
-            root[p], found = q, True
+            # Components are in ascending order, so the root of a tree is its smallest.
+            root[max(p, q)], found = min(p, q), True
     if not found:
         return None
-    tree = np.array([find(at) for at in range(len(ids))])
-    centre = np.full(len(ids), np.iinfo(np.int64).max)
-    np.minimum.at(centre, tree, ids)
-    centre[tree[held]] = hub
-    of_row = centre[tree]
-    spokes = np.unique(ids[(of_row != ids) & ~held])
-    at = {int(i): int(c) for i, c in zip(ids, of_row, strict=True)}
-    arms = np.array([at[int(i)] for i in spokes], dtype=np.int64)
-    columns = [np.full(len(spokes), hub, np.int64), arms, spokes.astype(np.int64)]
+    centres = np.array([find(at) for at in range(len(components))])
+    spokes = np.flatnonzero(centres != np.arange(len(components)))
+    columns = [np.full(len(spokes), group.column("hub")[0].as_py(), np.int64), components[centres[spokes]], components[spokes]]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hub", "a", "b"])
 
 
@@ -215,20 +213,26 @@ def _first_tiles(families: DataFrame, sizes: DataFrame) -> DataFrame:
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     dealt = join_many_to_one(families, blocks, ["hub"], rows="members")
     return dealt.withColumn("block", F.explode(F.when(F.col("class_id") == F.col("hub"), every).otherwise(own))).select(
-        "hub", F.col("block").alias("i"), F.col("block").alias("j"), "block", F.lit(False).alias("held"), "class_id", "blocks"
+        "hub", F.col("block").alias("i"), F.col("block").alias("j"), "block", F.col("class_id").alias("component"), "class_id", "blocks"
     )
 
 
-def _rest_tiles(first: DataFrame, links: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Classes without a link to their hub, against their whole family, in tiles of two blocks.
+def _rest_tiles(first: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Classes outside the largest component of their family, against the whole family, in tiles of two blocks.
 
-    Classes that have one are held: they are in the hub's component and need no
-    comparison with each other.
+    The members of that component are held: whichever links made it, inside or
+    outside the family, they need no comparison with each other.
     """
     members = first.where("blocks > 1").select("hub", "class_id").distinct()
-    to_hub = links.where("a = hub").select("hub", F.col("b").alias("class_id"), F.lit(True).alias("with_hub"))
-    held = F.coalesce("with_hub", F.col("class_id") == F.col("hub"))
-    marked = members.join(to_hub, ["hub", "class_id"], "left").select("hub", "class_id", held.alias("held"))
+    component = F.coalesce("component", "class_id").alias("component")
+    named = members.join(found, members["class_id"] == found["node"], "left").select("hub", "class_id", component)
+    named = stored(named, "members")
+    parts = named.groupBy("hub", "component").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("hub").agg(F.sum("n").alias("members"), F.max(F.struct("n", "component")).alias("best"))
+    held = F.col("component") == F.col("best.component")
+    marked = join_many_to_one(named, largest, ["hub"], rows="members").select(
+        "hub", "class_id", "component", held.alias("held")
+    )
 
     def side(of: Column) -> Column:
         return _blocks(F.count_if(of), F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0)))
@@ -242,7 +246,7 @@ def _rest_tiles(first: DataFrame, links: DataFrame, sizes: DataFrame) -> DataFra
     last = F.when(F.col("held"), F.col("rest") - 1).otherwise(F.col("rest") + F.col("kin") - 1)
     others = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     return others.select(
-        "hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "held", "class_id"
+        "hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component", "class_id"
     )
 
 
@@ -270,11 +274,12 @@ def near_duplicates(
        collision-corrected estimates of all pairs sort out what cannot be a
        link, by registers alone; what is left gets its text, for the check on
        the full sets.  No task gets a whole family and no pair is written out.
-    4. Classes that this has linked with the hub, directly or by others, are in
-       one component and are not compared again.  Only the rest meets the whole
+    4. Each tile returns the stars of its trees, and these make components
+       across all families.  Classes of one component are not compared again.
+       Only those outside the largest component of their family meet the whole
        family, in tiles of two blocks, by the same two checks.
-    5. Each tile returns the stars of its trees; components of all are joined
-       back to the classes' documents.
+    5. The links that this finds between components join them; components are
+       joined back to the classes' documents.
 
     A link of the least similarity misses all 32 bands with a chance below
     1e-10 at 85 percent and below 1e-7 at 80.  Hashes of 64 bits stand for shingles; the sets themselves are exact.
@@ -316,12 +321,15 @@ def near_duplicates(
     wanted = texts.withColumnRenamed("doc_id", "class_id")
     first = stored(_first_tiles(families, sizes), "tiles")
     to_hubs = _tile_links(first.drop("blocks"), cards, wanted, percent)
-    others = _tile_links(_rest_tiles(first, to_hubs, sizes), cards, wanted, percent)
-    edges = to_hubs.unionByName(others).select("a", "b")
-    found = connected_components(edges)
+    found = connected_components(to_hubs)
+    others = _tile_links(_rest_tiles(first, found, sizes), cards, wanted, percent)
+    joined = connected_components(others).select(F.col("node").alias("component"), F.col("component").alias("least"))
 
-    named = classes.join(found, classes["class_id"] == found["node"], "left").select(
-        "set1", "set2", "n", "copies", F.coalesce("component", "class_id").alias("component_id")
+    part = classes.join(found, classes["class_id"] == found["node"], "left").withColumn(
+        "component", F.coalesce("component", "class_id")
+    )
+    named = part.join(joined, "component", "left").select(
+        "set1", "set2", "n", "copies", F.coalesce("least", "component").alias("component_id")
     )
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     result = ["doc_id", F.col("n").alias("n_shingles")]

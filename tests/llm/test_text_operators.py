@@ -296,3 +296,14 @@ def test_held_classes_connect_through_the_hub():
     }
     links = minhash._verified(pa.RecordBatch.from_pydict(columns), 85)
     assert sorted((r["hub"], r["a"], r["b"]) for r in links.to_pylist()) == [(1, 1, 3), (1, 1, 4)]
+
+
+def test_only_classes_outside_the_largest_component_meet_their_family(spark, monkeypatch):
+    """A hub without links: its family is one component by links of other families."""
+    monkeypatch.setattr(minhash, "TILE_CLASSES", 4)
+    first = spark.createDataFrame([(0, at, 5) for at in range(20)], "hub long, class_id long, blocks int")
+    sizes = spark.createDataFrame([(at, 10) for at in range(20)], "class_id long, n long")
+    found = spark.createDataFrame([(at, 1) for at in range(1, 20)], "node long, component long")
+    rows = minhash._rest_tiles(first, found, sizes).collect()
+    # The hub against itself and five blocks of the others, each of which stands in one tile.
+    assert sorted(Counter(r.class_id for r in rows).items()) == [(0, 6), *((at, 1) for at in range(1, 20))]
