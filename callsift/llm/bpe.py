@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 # Distinct pieces whose tokens a worker remembers, and the longest piece it remembers.
 CACHE_PIECES = 400_000
 CACHE_CHARS = 48
-# Distinct pieces whose number of tokens a worker remembers.
+# Distinct runs between spaces whose number of tokens a worker remembers.
 COUNTED_PIECES = 1_000_000
 
 # The split pattern of the byte-level vocabularies (fixed value); \s is the
@@ -38,23 +39,42 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+# The Unicode property White_Space (fixed value).
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+# Spaces with which white space begins: no piece of the split goes over the place before one.
+_BORDER = re.compile(f"(?<=[^{_WHITE}]) ")
+
+
 class _Counts(dict):
-    """The number of tokens of each piece, found when first asked for."""
+    """The number of tokens of a space and the characters after it up to the next border, found when first asked for."""
 
     def __init__(self, codec: Codec):
         super().__init__()
         self._codec = codec
 
-    def __missing__(self, piece: str) -> int:
-        count = len(self._codec.encode_piece(piece))
-        if len(piece) <= CACHE_CHARS:
+    def __missing__(self, run: str) -> int:
+        if not run or run[-1] in _WHITE:
+            raise _NoBorderError
+        codec = self._codec
+        if run.isalpha():
+            count = len(codec.encode_piece(f" {run}"))
+        elif run[-1] in ".,;:!?" and run[:-1].isalpha():
+            # A letter run and one mark, which is a token of its own.
+            count = self[run[:-1]] + 1
+        else:
+            count = codec._pieces_of(f" {run}")
+        if len(run) <= CACHE_CHARS:
             if len(self) >= COUNTED_PIECES:
                 self.clear()
-                self._codec._fits.clear()
-            self[piece] = count
+                codec._fits.clear()
+            self[run] = count
         return count
 
 
+class _NoBorderError(Exception):
+    """White space goes on after what was taken as the end of a run."""
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file.
 
@@ -201,10 +221,32 @@ class Codec:
 
     def count(self, text: str) -> int:
         """The number of tokens of a text, without making them a list."""
-        total, counted = 0, self._counts.__getitem__
-        for at, part in enumerate(self.specials.split(text) if self.specials else [text]):
-            total += 1 if at % 2 else sum(map(counted, self.pattern.findall(part)))
-        return total
+        if not any(map(text.__contains__, self.special)):
+            return self._count(text)
+        return sum(1 if at % 2 else self._count(part) for at, part in enumerate(self.specials.split(text)))
+
+    def _count(self, part: str) -> int:
+        """The tokens of a text without special tokens, run by run.
+
+        White space at the end is one piece, as is all of it that goes before the
+        last character elsewhere; so the split of a run does not depend on its
+        surroundings if it begins where white space does.
+        """
+        body = part.rstrip(_WHITE)
+        total = len(self._piece(part[len(body) :])) if len(body) < len(part) else 0
+        if not body:
+            return total
+        first, *runs = body.split(" ")
+        if first and first[-1] not in _WHITE:
+            try:
+                return total + self._pieces_of(first) + sum(map(self._counts.__getitem__, runs))
+            except _NoBorderError:
+                pass
+        first, *runs = _BORDER.split(body)
+        return total + self._pieces_of(first) + sum(map(self._counts.__getitem__, runs))
+
+    def _pieces_of(self, text: str) -> int:
+        return sum(len(self._piece(piece)) for piece in self.pattern.findall(text))
 
     def decode(self, ids: list[int]) -> str:
         """The text of token ids: their byte ranges gathered from the offset table."""

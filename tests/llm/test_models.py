@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from callsift.llm import embedding, license, toxicity
+from callsift.llm import bpe, embedding, license, toxicity
 from callsift.llm.bpe import encode_decode, load_codec
 from callsift.llm.embedding import embedding_duplicates
 from callsift.llm.packing import Bins, pack, pack_documents
@@ -452,3 +452,23 @@ def test_edited_notices_equal_the_twin(table):
     labels = {x[0]: x[6] for x in found}
     assert [labels[i] for i in (1, 8, 9, 14, 15, 16)] == ["bsd", "bsd", "bsd", "mit", "gpl", "apache-2.0"]
     assert {labels[10 + i] for i in range(4)} == {"apache-2.0", "bsd", "gpl", "mit"} and scores[16] == 1.0
+
+
+def test_token_counts_are_found_run_by_run():
+    """Counts are those of the encoder on every kind of white space; plain words need no split pattern."""
+    codec = bpe.Codec(vocabulary())
+    r, parts = random.Random(2), ["a", "word", "é", " ", "  ", "\n", "\t", "'s", "'", "12", ".", "\x85", "\x1c", "\u3000", "漢", *codec.special]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(3000)]
+    assert [codec.count(t) for t in texts] == [len(codec.encode(t)) for t in texts]
+    whole = len(codec.encode("plain words, and again plain words."))
+
+    class Counted:
+        calls = 0
+
+        def findall(self, text):
+            Counted.calls += 1
+            return pattern.findall(text)
+
+    pattern, codec.pattern = codec.pattern, Counted()
+    assert codec.count("plain words, and again plain words.") == whole
+    assert Counted.calls == 1 and codec._counts["words,"] == 2
