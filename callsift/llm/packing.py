@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callsift.llm.bpe import load_codec
 from callsift.llm.tables import WORD, whole_text
+from callsift.llm.token_counts import load_counter
 
 # Tokens of a sequence, and documents that one task packs together about.
 CAPACITY = 2048
@@ -99,19 +99,17 @@ def _token_counts(texts: DataFrame, vocabulary: str) -> DataFrame:
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = load_codec(vocabulary)
+        counter = load_counter(vocabulary)
         for batch in batches:
-            words, tokens, clusters = [], [], batch.column("cluster").to_pylist()
+            words, clusters = [], batch.column("cluster").to_pylist()
             for at, scalar in enumerate(batch.column("text")):
-                text = scalar.as_py()
                 # Bytes are split at U+0020 and U+0009 to U+000D, as the words of the other operators.
-                own = text.lower().encode().split()
+                own = scalar.as_py().lower().encode().split()
                 words.append(len(own))
-                tokens.append(codec.count(text))
                 if clusters[at] is None:
                     clusters[at] = hashlib.md5(b" ".join(own)).hexdigest()
             columns = [pa.array(clusters, pa.string()) if f.name == "cluster" else batch.column(f.name) for f in kept]
-            columns += [pa.array(words, pa.int64()), pa.array(tokens, pa.int64())]
+            columns += [pa.array(words, pa.int64()), pa.array(counter.count(batch.column("text")), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in kept], "n_words", "n_tokens"])
 
     return texts.mapInArrow(run, f"{fields}, n_words long, n_tokens long")

@@ -6,12 +6,14 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from tokenizers import Tokenizer
 
-from callsift.llm import bpe, embedding, license, toxicity
+from callsift.llm import bpe, embedding, license, packing, toxicity
 from callsift.llm.bpe import encode_decode, load_codec
 from callsift.llm.embedding import embedding_duplicates
 from callsift.llm.packing import Bins, pack, pack_documents
@@ -472,3 +474,47 @@ def test_token_counts_are_found_run_by_run():
     pattern, codec.pattern = codec.pattern, Counted()
     assert codec.count("plain words, and again plain words.") == whole
     assert Counted.calls == 1 and codec._counts["words,"] == 2
+
+
+def test_sizes_of_new_words_are_counted_together(monkeypatch):
+    """Words that no worker has met go through the merges at once; only a few rare kinds of pieces are encoded one by one."""
+
+    class Texts:
+        schema = StructType().add("doc_id", "string").add("cluster", "string").add("text", "string")
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    r = random.Random(9)
+    texts = ["".join(r.choice("abcdeéüñst") for _ in range(r.randint(1, 14))) + r.choice(["", ",", ".\n", "'s"]) for _ in range(6000)]
+    texts = [" ".join(texts[at : at + 30]) for at in range(0, len(texts), 30)]
+    wanted = [len(ids.ids) for ids in Tokenizer.from_file(VOCABULARY).encode_batch(texts, add_special_tokens=False)]
+    calls, one = [], bpe.Codec.encode_piece
+    monkeypatch.setattr(bpe.Codec, "encode_piece", lambda codec, piece: calls.append(piece) or one(codec, piece))
+    names = [str(at) for at in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(names), pa.array(names), pa.array(texts)], names=["doc_id", "cluster", "text"])
+    (sized,) = packing._token_counts(Texts(), VOCABULARY)(iter([batch]))
+    assert sized.column("n_tokens").to_pylist() == wanted
+    assert sized.column("n_words").to_pylist() == [len(t.split()) for t in texts]
+    assert len(calls) < 500
+
+
+@pytest.mark.parametrize("size", [1 << 24, 300, 1])
+def test_token_counts_of_tables_equal_the_library(monkeypatch, size):
+    from callsift.llm import token_counts
+
+    monkeypatch.setattr(token_counts, "SLICE_BYTES", size)
+    monkeypatch.setattr(token_counts, "STEP_ROWS", 2)
+    library, counter, r = Tokenizer.from_file(VOCABULARY), token_counts.load_counter(VOCABULARY), random.Random(3)
+    marks = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'", "'S", "s", "ll", "a", "Word", "é", "漢字", "😀", "12", "½", "!", "_", "\x00"]
+    marks += [" ", " ", "  ", "\n", "\t", "\x85", "\x1c", "\xa0", "\u2003", "\u3000", "\u0300", "<|endoftext|>", "<|end"]
+    texts = ["".join(r.choice(marks) for _ in range(r.randrange(16))) for _ in range(1500)]
+    letters = [chr(c) for c in (*range(1, 0x3100), *range(0x4E00, 0x4F00), *range(0x1F600, 0x1F700))]
+    texts += ["".join(r.choice(letters) for _ in range(r.randrange(60))) for _ in range(300)]
+    texts += ["".join(r.choice("一二三四五六七八九十") for _ in range(r.randrange(120))) for _ in range(300)]
+    texts += ["", None, "a" * 20_000, "ab" * 10_000, " " * 3000 + "x", "'", "'l", "x'", "漢 ", "漢\u2003"]
+    wanted = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert counter.count(pa.array(texts)).tolist() == wanted
+    assert counter.count(pa.array(texts).slice(1400, 90)).tolist() == wanted[1400:1490]
+    assert counter.count(pa.array([None, ""], pa.string())).tolist() == [0, 0]
+    assert counter.count(pa.array([], pa.string())).tolist() == []
