@@ -209,6 +209,7 @@ def _first_tiles(families: DataFrame, sizes: DataFrame) -> DataFrame:
     blocks = families.join(sizes, "class_id").groupBy("hub").agg(
         F.count("*").alias("members"), _blocks(F.count("*"), F.sum("n")).alias("blocks")
     )
+    blocks = stored(blocks, "blocks")
     own = F.array(F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     dealt = join_many_to_one(families, blocks, ["hub"], rows="members")
@@ -230,9 +231,10 @@ def _rest_tiles(first: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFra
     parts = named.groupBy("hub", "component").agg(F.count("*").alias("n"))
     largest = parts.groupBy("hub").agg(F.sum("n").alias("members"), F.max(F.struct("n", "component")).alias("best"))
     held = F.col("component") == F.col("best.component")
-    marked = join_many_to_one(named, largest, ["hub"], rows="members").select(
+    marked = join_many_to_one(named, stored(largest, "largest"), ["hub"], rows="members").select(
         "hub", "class_id", "component", held.alias("held")
     )
+    marked = stored(marked, "marked")
 
     def side(of: Column) -> Column:
         return _blocks(F.count_if(of), F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0)))
@@ -240,7 +242,7 @@ def _rest_tiles(first: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFra
     sides = marked.join(sizes, "class_id").groupBy("hub").agg(
         F.count("*").alias("members"), side(~F.col("held")).alias("rest"), side(F.col("held")).alias("kin")
     )
-    dealt = join_many_to_one(marked, sides.where("rest > 0"), ["hub"], rows="members")
+    dealt = join_many_to_one(marked, stored(sides.where("rest > 0"), "sides"), ["hub"], rows="members")
     hashed = F.xxhash64("class_id")
     block = F.when(F.col("held"), F.col("rest") + F.pmod(hashed, F.col("kin"))).otherwise(F.pmod(hashed, F.col("rest"))).cast("int")
     last = F.when(F.col("held"), F.col("rest") - 1).otherwise(F.col("rest") + F.col("kin") - 1)
@@ -331,6 +333,7 @@ def near_duplicates(
     named = part.join(joined, "component", "left").select(
         "set1", "set2", "n", "copies", F.coalesce("least", "component").alias("component_id")
     )
+    named = stored(named, "named")
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     result = ["doc_id", F.col("n").alias("n_shingles")]
     grouped = join_many_to_one(able.select("doc_id", "set1", "set2", "n"), named, ["set1", "set2", "n"], rows="copies")
@@ -362,6 +365,6 @@ def keep_one_per_component(
     ids = docs.select(F.col(row_col).cast("long").alias("row"), F.col(id_col).cast("long").alias("id"))
     named = stored(found.join(ids, "row"), "components")
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")).getField("row").alias("first")
-    shared = named.groupBy("component_id").agg(F.count("*").alias("members"), first).where("members > 1")
+    shared = stored(named.groupBy("component_id").agg(F.count("*").alias("members"), first).where("members > 1"), "shared")
     dropped = join_many_to_one(named, shared, ["component_id"], rows="members").where("row <> first")
     return docs.join(dropped.select(F.col("row").alias(row_col)), row_col, "left_anti")

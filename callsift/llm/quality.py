@@ -87,18 +87,17 @@ class NBSVM:
             self.slope, self.shift = 0.0, float(np.log(share / (1 - share)))
             return self
         size = 1 << FEATURE_BITS
-        counts = [
-            np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y == side]), minlength=size)
-            + self.smoothing
-            for side in (True, False)
-        ]
+        counts = [self._counts([r for r, y in zip(rows, labels, strict=True) if y == side]) for side in (True, False)]
         ratio = np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
         # Each row is brought to length one; the constant feature has the value 1.
-        scaled = []
-        for row in rows:
-            values = ratio[row]
+        # The values of all rows are one array: freed as a whole, it goes back to the system.
+        ends = np.cumsum([len(row) for row in rows])
+        scaled = np.split(np.empty(ends[-1]), ends[:-1])
+        for row, values in zip(rows, scaled, strict=True):
+            values[:] = ratio[row]
             norm = np.sqrt(values @ values)
-            scaled.append(values / norm if norm else values)
+            if norm:
+                values /= norm
         signs = np.where(labels, 1.0, -1.0)
         # Both classes get the same total cost.
         caps = self.cost * np.where(labels, len(labels) / (2 * labels.sum()), len(labels) / (2 * (~labels).sum()))
@@ -123,6 +122,13 @@ class NBSVM:
         self._calibrate(np.array([self.margin(row) for row in rows]), labels)
         return self
 
+    def _counts(self, rows: list[np.ndarray]) -> np.ndarray:
+        """The smoothed number of rows with each feature, a block of rows at a time."""
+        total = np.zeros(1 << FEATURE_BITS, dtype=np.int64)
+        for at in range(0, len(rows), 256):
+            total += np.bincount(np.concatenate(rows[at : at + 256]), minlength=len(total))
+        return total + self.smoothing
+
     def margin(self, row: np.ndarray) -> float:
         values = self.ratio[row] if hasattr(self, "ratio") else np.zeros(len(row))
         norm = np.sqrt(values @ values)
@@ -180,9 +186,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows
     sample = labelled_sample(docs, labels, label, rows)
     table = sample.mapInArrow(extract, "doc_id long, label int, features binary").toArrow()
     order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
-    packed, marks = table["features"], table["label"].to_numpy()
-    lists = [np.frombuffer(packed[int(at)].as_py(), dtype=np.int32) for at in order]
-    return NBSVM().fit(lists, marks[order])
+    marks = table["label"].to_numpy()
+    # Views of the table, without a copy.
+    lists = [np.frombuffer(packed.as_buffer(), dtype=np.int32) for packed in table["features"]]
+    model = NBSVM().fit([lists[at] for at in order], marks[order])
+    del lists, table
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def quality_scores(docs: DataFrame, model: NBSVM, threshold: float = 0.5) -> DataFrame:

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import random
 
+from callsift.llm import components, minhash
 from callsift.llm.components import connected_components
+from callsift.llm.tables import stored
 from callsift.plans import skew
 from tests.llm import brute
 
@@ -19,3 +21,20 @@ def test_components_of_chains_hubs_and_noise(spark, monkeypatch):
     assert {x.node: x.component for x in found} == brute.components(nodes, [e for e in edges if e[0] != e[1]])
     assert len(found) == len(nodes)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_no_written_plan_is_large(spark, monkeypatch):
+    """The driver plans, and plans anew after every stage, a table at a time: joins of joins made plans of 900 nodes."""
+    lines = {}
+
+    def noting(df, label):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        lines[label] = max(lines.get(label, 0), len(plan.splitlines()))
+        return stored(df, label)
+
+    monkeypatch.setattr(components, "stored", noting)
+    monkeypatch.setattr(minhash, "stored", noting)
+    texts = [(i, " ".join(f"w{i % 7}-{at}" for at in range(40))) for i in range(30)]
+    found = minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in found.collect()} == {i: i % 7 for i, _ in texts}
+    assert {"tiles", "survivors", "links", "stars"} <= set(lines) and max(lines.values()) <= 100, lines
